@@ -1,0 +1 @@
+"""Nothing lives here: every source is a finite table, so all plans are batch plans."""
