@@ -24,8 +24,9 @@ def exact_quantiles(
 
     A first pass keeps a bounded sketch per group and takes from it, for each quantile, two
     values that surely enclose it. The second pass counts what lies below and ranks only
-    the distinct values between the two. So a group of any size leaves about
-    ``8 / accuracy`` of its rows to one task, and equal values are counted before they move.
+    the distinct values between the two. So a large group leaves about ``8 / accuracy`` of
+    its rows to one task, and equal values are counted before they move. A group too small
+    for the sketch to separate ranks is ranked whole.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
@@ -38,10 +39,12 @@ def exact_quantiles(
         F.max("__v").alias("__max"),
         F.percentile_approx("__v", outer, accuracy).alias("__q"),
     )
+    few = F.col("__n") < 2 * accuracy
     targets = []
     for i, n in enumerate(names):
-        low = F.col("__min") if probs[n] <= margin else F.col("__q")[i]
-        high = F.col("__max") if probs[n] >= 1 - margin else F.col("__q")[i + len(names)]
+        low, high = F.col("__q")[i], F.col("__q")[i + len(names)]
+        low = F.col("__min") if probs[n] <= margin else F.when(few, F.col("__min")).otherwise(low)
+        high = F.col("__max") if probs[n] >= 1 - margin else F.when(few, F.col("__max")).otherwise(high)
         targets.append(
             F.struct(F.lit(i).alias("i"), F.lit(probs[n]).alias("p"), low.alias("low"), high.alias("high"))
         )
@@ -73,7 +76,10 @@ def exact_quantiles(
         F.min_by("v", F.when(F.col("__upto") > F.floor(position), F.col("__upto"))).alias("lo"),
         F.min_by("v", F.when(F.col("__upto") > F.ceil(position), F.col("__upto"))).alias("hi"),
     )
-    result = interpolate(F.col("lo"), F.col("hi"), position - F.floor(position))
+    enclosed = F.col("lo").isNotNull() & F.col("hi").isNotNull()
+    result = F.when(
+        enclosed, interpolate(F.col("lo"), F.col("hi"), position - F.floor(position))
+    ).otherwise(F.raise_error(F.lit("a quantile lies outside its enclosing values")).cast("double"))
     solved = picked.select(*keys, "i", result.alias("q"))
     return solved.groupBy(*keys).agg(
         *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]

@@ -103,8 +103,9 @@ def low_salinity_zone(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seasonal_index_zone(spark: SparkSession, d: str) -> DataFrame:
+    zone = _zone(spark, d).join(views.region_map(spark, d), "subregion")
     index = indices.seasonal_index(
-        views.obs(spark, d), ["temperature", "secchi"], views.polygons(spark, d), _zone(spark, d), "lsz"
+        views.obs(spark, d), ["temperature", "secchi"], views.polygons(spark, d), zone, "lsz", unit="region"
     )
     return snapped(index)
 
@@ -343,21 +344,21 @@ def anova2_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anova2(spark: SparkSession, d: str) -> DataFrame:
-    return snapped(anova.anova2(_cells(spark, d), MODELS), 4)
+    return snapped(anova.anova2(_cells(spark, d), MODELS), 3)
 
 
 def anova_stack(spark: SparkSession, d: str) -> DataFrame:
-    return snapped(anova.anova_stack(anova.anova2(_cells(spark, d), MODELS)), 4)
+    return snapped(anova.anova_stack(anova.anova2(_cells(spark, d), MODELS)), 3)
 
 
 def partial_r2(spark: SparkSession, d: str) -> DataFrame:
     table = settle(anova.anova2(_cells(spark, d), MODELS), "anova")
-    return snapped(anova.partial_r2(table), 8)
+    return snapped(anova.partial_r2(table))
 
 
 def marginal_means(spark: SparkSession, d: str) -> DataFrame:
-    means = anova.marginal_means(_cells(spark, d)).drop("letters")
-    return snapped(means.select("model", "factor", "level", "emmean", "se", "df", "max_y"))
+    means = anova.marginal_means(_cells(spark, d))
+    return snapped(means.select("model", "factor", "level", "emmean", "df", "max_y"))
 
 
 def tukey_letters(spark: SparkSession, d: str) -> DataFrame:
@@ -368,7 +369,7 @@ def fitted_resid(spark: SparkSession, d: str) -> DataFrame:
     rows = settle(_labelled(spark, d), "labelled")
     cells = anova.settled_cells(rows, "temperature", {"m": ("drought", "region")})
     out = anova.fitted_residuals(rows, cells, "temperature", "m", "drought", "region")
-    return snapped(out.select("source", "station", "datetime", "temperature", "fitted", "resid"))
+    return snapped(out.select("source", "station", "date", "temperature", "fitted", "resid"))
 
 
 def _taxa(spark: SparkSession, d: str) -> DataFrame:

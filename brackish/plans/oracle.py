@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def snap(expression: str, digits: int = 6) -> str:
     """Value on a decimal grid; see ``views.snap``."""
@@ -415,6 +417,55 @@ cells AS (
  SELECT model, a, b, count(*) AS n, sum(y) AS sum_y, sum(y * y) AS sum_y2, max(y) AS max_y
  FROM factors WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY model, a, b)"""
 
+# Additive fit by alternating between the effects of the two factors until they settle.
+FIT = f"""{CELLS}, b_steps AS (
+ SELECT 0 AS step, model, b, 0.0::DOUBLE AS effect FROM (SELECT DISTINCT model, b FROM cells)
+ UNION ALL
+ SELECT a.step + 1, c.model, c.b, sum(c.sum_y - c.n * a.effect) / sum(c.n)
+ FROM cells c JOIN (
+  SELECT s.step, k.model, k.a, sum(k.sum_y - k.n * s.effect) / sum(k.n) AS effect
+  FROM cells k JOIN b_steps s ON s.model = k.model AND s.b = k.b WHERE s.step < 60 GROUP BY s.step, k.model, k.a) a
+  ON a.model = c.model AND a.a = c.a
+ GROUP BY a.step, c.model, c.b),
+b_effects AS (SELECT model, b, effect FROM b_steps WHERE step = 60),
+a_effects AS (
+ SELECT model, a, sum(sum_y - n * effect) / sum(n) AS effect FROM cells JOIN b_effects USING (model, b) GROUP BY model, a),
+fitted AS (
+ SELECT c.*, x.effect + z.effect AS fit FROM cells c JOIN a_effects x USING (model, a) JOIN b_effects z USING (model, b)),
+residual AS (
+ SELECT model, sum(sum_y2 - 2 * fit * sum_y + n * fit * fit) AS rss,
+  (sum(n) - count(DISTINCT a) - count(DISTINCT b) + 1)::INT AS df FROM fitted GROUP BY model),
+one_way AS (
+ SELECT model, 'a' AS factor, sum(y2) - sum(s * s / n) AS rss, count(*) AS levels
+ FROM (SELECT model, a, sum(n) AS n, sum(sum_y) AS s, sum(sum_y2) AS y2 FROM cells GROUP BY model, a) GROUP BY model
+ UNION ALL
+ SELECT model, 'b', sum(y2) - sum(s * s / n), count(*)
+ FROM (SELECT model, b, sum(n) AS n, sum(sum_y) AS s, sum(sum_y2) AS y2 FROM cells GROUP BY model, b) GROUP BY model),
+names AS (SELECT * FROM (VALUES ('Regional_Drought', 'drought', 'region'), ('Regional_Year', 'year', 'region'),
+ ('Seasonal_Drought', 'drought', 'season'), ('Seasonal_Year', 'year', 'season')) n(model, name_a, name_b)),
+effects AS (
+ SELECT r.model, CASE o.factor WHEN 'b' THEN name_a ELSE name_b END AS parameter, o.rss - r.rss AS sum_sq,
+  (p.levels - 1)::INT AS df, ((o.rss - r.rss) / (p.levels - 1)) / (r.rss / r.df) AS f_value, r.df AS df2, r.rss AS rss
+ FROM residual r JOIN one_way o USING (model) JOIN one_way p ON p.model = r.model AND p.factor <> o.factor
+  JOIN names n ON n.model = r.model)"""
+
+
+def f_tails(source: str, keys: str, f: str, df1: str, df2: str, name: str = "tails") -> str:
+    """P(F > f) by Simpson's rule; the CTE has the keys and ``p``."""
+    return f"""{name} AS (
+ SELECT {keys}, 1 - sum(CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+   * CASE WHEN k = 0 AND d1 > 1 THEN 0 WHEN k = 0 THEN exp(scale)
+      ELSE exp(scale + (d2 - 1) * ln(cos(k * h)) + (d1 - 1) * ln(sin(k * h))) END) * any_value(h) / 3 AS p
+ FROM (SELECT {keys}, ({df1})::DOUBLE AS d1, ({df2})::DOUBLE AS d2, asin(sqrt({df1} * {f} / ({df2} + {df1} * {f}))) / 2000 AS h,
+   lgamma(({df1} + {df2}) / 2.0) - lgamma({df1} / 2.0) - lgamma({df2} / 2.0) + ln(2) AS scale FROM {source})
+  CROSS JOIN range(0, 2001) r(k)
+ GROUP BY {keys})"""
+
+
+ANOVA = f"""{FIT}, {f_tails("effects", "model, parameter", "f_value", "df", "df2")}, anova AS (
+ SELECT e.model, e.parameter, sum_sq, df, f_value, p AS p_value FROM effects e JOIN tails USING (model, parameter)
+ UNION ALL SELECT model, 'Residuals', rss, df, NULL, NULL FROM residual)"""
+
 TAXA = f"""{ZOOP}, {YEAR_TYPES}, matrix AS (
  SELECT year, sum(cpue) AS "All taxa", {", ".join(
      f"sum(CASE WHEN split_part(taxlifestage, ' ', 1) = '{k}' {'AND year >= 1998 ' if k == 'SMALL' else ''}THEN cpue END) AS \"{k}\""
@@ -450,10 +501,19 @@ fenced AS (
  FROM seasonal_rows r JOIN quartiles USING (season, region))"""
 
 
+def renamed(ctes: str, prefix: str, names: str) -> str:
+    """The same CTEs under other names, so that they can appear twice in a query."""
+    return re.sub(rf"\b({'|'.join(names.split())})\b", rf"{prefix}\1", ctes)
+
+
 def q(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
+def qr(ctes: str, select: str) -> str:
+    return f"WITH RECURSIVE {ctes}\n{select}"
+
+
 INDEX_OUT = f"SELECT variable, season, year, {snap('value')} AS value, n FROM index"
 RATIO_COLUMNS = [f"{s}_{label}" for s in SCENARIOS for label, _ in BAND]
 
@@ -503,16 +563,12 @@ ORACLE: dict[str, str] = {
     ),
     "low_salinity_zone": q(ZONE, "SELECT * FROM zone"),
     "seasonal_index_zone": q(
-        ZONE.replace("usable", "sal_usable").replace("chosen", "sal_chosen").replace("located", "sal_located")
-        .replace("timed", "sal_timed").replace("long AS", "sal_long AS").replace("FROM long", "FROM sal_long")
-        .replace(" FROM (SELECT *, datetime - INTERVAL 7 HOUR AS clock FROM long)", " FROM (SELECT *, datetime - INTERVAL 7 HOUR AS clock FROM sal_long)")
-        .replace("inside AS", "sal_inside AS").replace("FROM inside", "FROM sal_inside")
-        .replace("spread AS", "sal_spread AS").replace("JOIN spread", "JOIN sal_spread")
-        + ", "
-        + usable("temperature, secchi").split(f"{EDGES}, ", 1)[1]
-        + f""", eligible AS (
- SELECT u.* FROM usable u JOIN zone z USING (season, subregion, year) WHERE long_term OR short_term),
-{monthly("eligible", "subregion")}, {seasonal("subregion", "strict")}""",
+        f"""{renamed(ZONE, "sal_", "usable chosen located timed long inside spread")},
+{usable("temperature, secchi").split(f"{EDGES}, ", 1)[1]},
+eligible AS (
+ SELECT u.*, r_name AS region FROM usable u JOIN zone z USING (season, subregion, year)
+  JOIN nation ON n_name = subregion JOIN region ON n_regionkey = r_regionkey WHERE long_term OR short_term),
+{monthly("eligible", "region")}, {seasonal("region", "strict")}""",
         f"""SELECT variable, season, year, {snap(strict("value"))} AS value, sum(n)::BIGINT AS n
  FROM seasonal WHERE year BETWEEN 1975 AND 2021 GROUP BY variable, season, year""",
     ),
@@ -645,7 +701,34 @@ steps AS (SELECT region, unnest(range(lo, hi + 1))::INT AS tenths FROM span)""",
  {snap('avg(temperature)')} AS temperature FROM recent GROUP BY ALL""",
     ),
     "anova2_cells": q(CELLS, f"SELECT model, a, b, n, {snaps('sum_y sum_y2 max_y')} FROM cells"),
-    "fitted_resid": "",
+    "anova2": qr(ANOVA, f"SELECT model, parameter, {snaps('sum_sq f_value p_value', 3)}, df FROM anova"),
+    "anova_stack": qr(
+        ANOVA,
+        f"""SELECT parameter, {snaps('sum_sq f_value', 3)}, df, model,
+ CASE WHEN p_value < 0.001 THEN '< 0.001' ELSE round_even(p_value, 4)::DOUBLE::VARCHAR END AS p_text FROM anova""",
+    ),
+    "partial_r2": qr(FIT, f"SELECT model, parameter, {snap('sum_sq / (sum_sq + rss)')} AS partial_r2 FROM effects"),
+    "marginal_means": qr(
+        FIT,
+        f"""SELECT model, 'a' AS factor, x.a AS level, {snap('x.effect + m.effect')} AS emmean, df, max_y
+ FROM a_effects x JOIN (SELECT model, avg(effect) AS effect FROM b_effects GROUP BY model) m USING (model)
+  JOIN residual USING (model) JOIN (SELECT model, a, max(max_y) AS max_y FROM cells GROUP BY model, a) t USING (model, a)
+ UNION ALL
+ SELECT model, 'b', x.b, {snap('x.effect + m.effect')}, df, max_y
+ FROM b_effects x JOIN (SELECT model, avg(effect) AS effect FROM a_effects GROUP BY model) m USING (model)
+  JOIN residual USING (model) JOIN (SELECT model, b, max(max_y) AS max_y FROM cells GROUP BY model, b) t USING (model, b)""",
+    ),
+    "fitted_resid": qr(
+        FIT,
+        f"""SELECT source, station, date, {snap('temperature')} AS temperature, {snap('fit')} AS fitted,
+ {snap('temperature - fit')} AS resid FROM labelled JOIN fitted ON model = 'Regional_Drought' AND a = drought AND b = region""",
+    ),
+    "grouped_lm_p": q(
+        f"""{LM}, {f_tails("lm", "taxa", "f_value", "1", "df_resid", "tails_f")},
+{f_tails("lm", "taxa", "(t_intercept * t_intercept)", "1", "df_resid", "tails_i")}""",
+        f"""SELECT taxa, {snap('f.p')} AS p_slope, {snap('i.p')} AS p_intercept, {snap('f.p')} AS p_f
+ FROM tails_f f JOIN tails_i i USING (taxa)""",
+    ),
     "taxa_long": q(TAXA, f"SELECT year, drought, {snaps('index index_s')}, taxa, {snap('bpue')} AS bpue FROM taxa_long"),
     "grouped_lm": q(
         LM,

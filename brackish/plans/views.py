@@ -22,7 +22,8 @@ def snap(c: Column, digits: int = 6) -> Column:
     points, and so never at the step.
     """
     scale = 10.0**digits
-    return F.floor(c * scale + 0.6371937) / scale
+    snapped_value = F.floor(c * scale + 0.6371937) / scale
+    return F.when(F.abs(c) == float("inf"), c).otherwise(snapped_value)
 
 
 def snapped(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
