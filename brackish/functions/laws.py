@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 
+NODES_64 = np.polynomial.legendre.leggauss(64)
+NODES_96 = np.polynomial.legendre.leggauss(96)
+
 
 def _beta_tail(x: float, a: float, b: float) -> float:
     """Regularised incomplete beta I_x(a, b), by Gauss-Legendre quadrature of the tail.
@@ -19,7 +21,7 @@ def _beta_tail(x: float, a: float, b: float) -> float:
         return 1.0
     top = math.asin(math.sqrt(x))
     log_scale = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + math.log(2)
-    nodes, weights = _nodes(64)
+    nodes, weights = NODES_64
     # Halving intervals towards both ends keep precision for sharp peaks and tiny tails.
     cuts = np.concatenate([[0.0], top * 0.5 ** np.arange(24, 0, -1), top * (1 - 0.5 ** np.arange(2, 25)), [top]])
     cuts = np.unique(cuts)
@@ -30,11 +32,6 @@ def _beta_tail(x: float, a: float, b: float) -> float:
     return float(np.sum(half * weights * np.exp(log_f)))
 
 
-@lru_cache(maxsize=8)
-def _nodes(n: int):
-    return np.polynomial.legendre.leggauss(n)
-
-
 def f_tail(f: float, df1: float, df2: float) -> float:
     """P(F > f)."""
     if f is None or df2 is None or math.isnan(f) or df2 <= 0:
@@ -66,11 +63,10 @@ def _normal_cdf(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
 
 
-@lru_cache(maxsize=8)
-def _range_table(k: int):
-    """P(range of k normals <= w) on a grid of w."""
+def range_table(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A grid of w and P(range of k normals <= w) on it."""
     w = np.linspace(0, 14, 1401)
-    nodes, weights = _nodes(96)
+    nodes, weights = NODES_96
     z = nodes * 9.0
     density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
     spread = _normal_cdf(z[None, :] + w[:, None]) - _normal_cdf(z)[None, :]
@@ -78,14 +74,14 @@ def _range_table(k: int):
     return w, np.clip(k * 9.0 * inner @ weights, 0, 1)
 
 
-def studentized_range_tail(q: float, k: int, df: float) -> float:
-    """P(Q > q) for k means and df degrees of freedom."""
+def studentized_range_tail(q: float, table: tuple[np.ndarray, np.ndarray], df: float) -> float:
+    """P(Q > q) for df degrees of freedom and the range table of the number of means."""
     if q is None or math.isnan(q):
         return float("nan")
     if q <= 0:
         return 1.0
-    w, cdf = _range_table(int(k))
-    nodes, weights = _nodes(96)
+    w, cdf = table
+    nodes, weights = NODES_96
     # s is chi / sqrt(df): integrate over where it has any weight.
     reach = 10 / math.sqrt(2 * df)
     low, high = max(1e-9, 1 - reach), 1 + reach

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brackish.functions.laws import f_tail, studentized_range_tail, t_quantile
+from brackish.functions.laws import f_tail, range_table, studentized_range_tail, t_quantile
 from brackish.functions.text import p_label
 from brackish.operators.attach import attach
 from brackish.session import settle
@@ -199,11 +199,12 @@ def _marginal_means(cells: pd.DataFrame) -> pd.DataFrame:
         variance = np.diag(spread)[:, None] + np.diag(spread)[None, :] - 2 * spread
         q = np.abs(means[:, None] - means[None, :]) * np.sqrt(2 / np.clip(variance, 1e-300, None))
         k = len(levels)
+        table = range_table(k)
         order = np.argsort(means, kind="stable")
         different = np.zeros((k, k), dtype=bool)
         for i in range(k):
             for j in range(i):
-                different[i, j] = different[j, i] = studentized_range_tail(q[i, j], k, df_resid) < LEVEL
+                different[i, j] = different[j, i] = studentized_range_tail(q[i, j], table, df_resid) < LEVEL
         ranked = compact_letters(different[np.ix_(order, order)])
         letters = [""] * k
         for position, original in enumerate(order):

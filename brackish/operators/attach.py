@@ -18,11 +18,6 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]):
-    """Equality over the keys in which a missing key matches a missing key."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on same-named keys with missing matching missing, keys kept once."""
     held = {k: f"__{k}" for k in keys}
@@ -33,6 +28,21 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*held.values())
 
 
+def known_small(df: DataFrame) -> bool:
+    """Does Catalyst's own estimate put the table under its broadcast threshold?
+
+    An aggregate is estimated by its input, so this holds for tables that come from small
+    files, and not for statistics of large ones. Exploded rows are not in the estimate:
+    settle such a table first. Without access to the estimate the answer is no.
+    """
+    try:
+        threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    except AttributeError:
+        return False
+    return int(str(size)) <= threshold
+
+
 def attach(
     rows: DataFrame,
     table: DataFrame,
@@ -43,12 +53,15 @@ def attach(
 ) -> DataFrame:
     """Left, inner or left-semi join of ``table`` (few rows per key) onto ``rows``.
 
-    The table is settled first, so its size is known. A small one is broadcast and the
-    rows do not move. A large one is joined on the keys plus a salt, so that one key
-    holding much of the data is spread over several tasks.
+    Spark joins a table from small files on its own. Any other is settled first, so its size
+    is known. A small one is broadcast and the rows do not move. A large one is joined on
+    the keys plus a salt, so that one key holding much of the data is spread over several
+    tasks.
     """
     keys = list(keys)
     if not settled:
+        if known_small(table):
+            return join_null_safe(rows, table, keys, how)
         table = settle(table, "attach")
     if table.count() <= broadcast_rows:
         return join_null_safe(rows, F.broadcast(table), keys, how)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from brackish.functions.calendar import SEASONS, season, season_year
 from brackish.functions.numeric import band_overlaps
 from brackish.functions.strict import strict_avg, strict_sd, strict_sum, strict_var
-from brackish.operators.attach import attach, lookup
-from brackish.operators.dedupe import LOCAL_ZONE, complete_observations, nearest_noon
+from brackish.operators.attach import attach
+from brackish.operators.dedupe import LOCAL_ZONE, STATION_DAY, by_variable, complete_observations, nearest_noon
 from brackish.operators.densify import complete, expand_grid
 from brackish.operators.reshape import lengthen, set_difference, widen
 from brackish.operators.spatial import assign_subregion
@@ -63,10 +63,12 @@ def usable_observations(
     zone: str = LOCAL_ZONE,
 ) -> DataFrame:
     """One value per variable, station and day, in a sub-region, outliers out, season set."""
-    long = complete_observations(observations, variables, place)
-    chosen = nearest_noon(long, ("variable", "station", "source", "date"), zone)
-    placed = assign_subregion(chosen, polygons, *place, cell=cell)
-    narrow = settle(placed.select("variable", "subregion", "month", "year", "value"), "observations")
+    wanted = ["source", "station", "date", "datetime", *place, "month", "year", *variables]
+    complete_rows = complete_observations(observations.select(*wanted), place)
+    chosen = nearest_noon(complete_rows, STATION_DAY, variables, zone)
+    placed = assign_subregion(chosen, polygons, *place, cell=cell, positions=observations)
+    narrow = by_variable(placed.select("subregion", "month", "year", *variables), variables)
+    narrow = settle(narrow, "observations")
     kept = drop_high_outliers(narrow, ["variable", "subregion"])
     return with_season(kept)
 
@@ -143,6 +145,18 @@ def seasonal_index(
     _one_of("month_na", month_na, ("strict", "relaxed"))
     unit = unit or ("subregion" if region == "lsz" else "region")
     rows = usable_observations(observations, variables, polygons, place, cell)
+    return index_of_rows(rows, eligibility, region, kind, month_na, unit)
+
+
+def index_of_rows(
+    rows: DataFrame,
+    eligibility: DataFrame,
+    region: str = "lsz",
+    kind: str = "season",
+    month_na: str = "strict",
+    unit: str = "region",
+) -> DataFrame:
+    """The index from usable observations, for callers that draw several tables from them."""
     eligible = join_eligibility(rows, eligibility, region)
     monthly = settle(monthly_means(eligible, unit), "monthly")
     return roll_up(seasonal_means(monthly, unit, month_na), kind, unit)

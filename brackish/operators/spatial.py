@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brackish.functions.geometry import Datum, edges_near_cell, ring_edges, touches, transverse_mercator
-from brackish.operators.attach import attach
+from brackish.operators.attach import BROADCAST_ROWS, attach
+from brackish.session import settle
 
 # A polygon is cut into cells along its bounding box; each cell keeps only the edges a
 # point in it can meet.
@@ -56,7 +57,7 @@ def locate(
             "cell_y": F.floor(F.col(y) / cell).cast("long"),
         }
     )
-    met = attach(celled, cover, ["cell_x", "cell_y"])
+    met = attach(celled, settle(cover, "cells"), ["cell_x", "cell_y"], settled=True)
     hits = F.transform(
         F.filter("candidates", lambda c: touches(c["edges"], F.col(x), F.col(y))), lambda c: c[name]
     )
@@ -73,19 +74,33 @@ def assign_subregion(
     cell: float = 10.0,
     datum: Datum | None = None,
     keep: Sequence[str] | None = None,
+    positions: DataFrame | None = None,
 ) -> DataFrame:
     """Rows with the sub-region they lie in; rows outside all polygons are dropped.
 
     With a datum, x and y are longitude and latitude and are projected first. ``keep``
     limits the polygons to named sub-regions.
+
+    Stations are visited again and again, so the polygons are met once per position and
+    the answer is joined to the rows. ``positions`` is a table cheaper to read than
+    ``rows`` that holds all their positions. If positions turn out to be many, each row
+    meets the polygons itself.
     """
     if keep is not None:
         polygons = polygons.filter(F.col(name).isin(list(keep)))
-    if datum is None:
-        return locate(rows, polygons, x, y, name, cell, how="inner")
-    east, north = transverse_mercator(F.col(x), F.col(y), datum)
-    projected = rows.withColumns({"__east": east, "__north": north})
-    return locate(projected, polygons, "__east", "__north", name, cell, how="inner").drop("__east", "__north")
+
+    def meet(points: DataFrame) -> DataFrame:
+        if datum is None:
+            return locate(points, polygons, x, y, name, cell, how="inner")
+        east, north = transverse_mercator(F.col(x), F.col(y), datum)
+        projected = points.withColumns({"__east": east, "__north": north})
+        return locate(projected, polygons, "__east", "__north", name, cell, how="inner").drop("__east", "__north")
+
+    source = rows if positions is None else positions
+    places = settle(source.select(x, y).dropna().distinct(), "positions")
+    if places.count() > BROADCAST_ROWS:
+        return meet(rows)
+    return attach(rows, meet(places), [x, y], "inner")
 
 
 def datum_check(

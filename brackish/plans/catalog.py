@@ -24,8 +24,9 @@ YEARS = range(1995, 2003)
 
 
 def nearest_noon(spark: SparkSession, d: str) -> DataFrame:
-    rows = dedupe.nearest_noon(dedupe.complete_observations(views.obs_t(spark, d), ["temperature"], ["x", "y"]))
-    return snapped(rows.select("source", "station", "date", "obs_id", "value", "tod", "noon_diff"))
+    rows = dedupe.complete_observations(views.obs_t(spark, d), ["x", "y"])
+    kept = dedupe.by_variable(dedupe.nearest_noon(rows, variables=["temperature"]), ["temperature"])
+    return snapped(kept.select("source", "station", "date", "obs_id", "value", "tod", "noon_diff"))
 
 
 def drop_high_outliers(spark: SparkSession, d: str) -> DataFrame:
@@ -82,55 +83,50 @@ def index_wide(spark: SparkSession, d: str) -> DataFrame:
     return snapped(indices.index_wide(_index_table(spark, d), VARIABLES, columns))
 
 
-def _salinity_rows(spark: SparkSession, d: str) -> DataFrame:
-    return indices.usable_observations(views.obs(spark, d), ["salinity"], views.polygons(spark, d))
+def _rows(spark: SparkSession, d: str, *variables: str) -> DataFrame:
+    return indices.usable_observations(views.obs(spark, d), variables, views.polygons(spark, d))
 
 
 def salinity_field(spark: SparkSession, d: str) -> DataFrame:
-    return snapped(indices.salinity_field(_salinity_rows(spark, d)))
-
-
-def _zone(spark: SparkSession, d: str) -> DataFrame:
-    return indices.low_salinity_zone(indices.salinity_field(_salinity_rows(spark, d)), _eligibility(spark, d))
+    return snapped(indices.salinity_field(_rows(spark, d, "salinity")))
 
 
 def salinity_zone_flags(spark: SparkSession, d: str) -> DataFrame:
-    return snapped(indices.with_zone_flags(indices.salinity_field(_salinity_rows(spark, d))))
+    return snapped(indices.with_zone_flags(indices.salinity_field(_rows(spark, d, "salinity"))))
 
 
 def low_salinity_zone(spark: SparkSession, d: str) -> DataFrame:
-    return _zone(spark, d)
+    return indices.low_salinity_zone(indices.salinity_field(_rows(spark, d, "salinity")), _eligibility(spark, d))
 
 
 def seasonal_index_zone(spark: SparkSession, d: str) -> DataFrame:
-    zone = _zone(spark, d).join(views.region_map(spark, d), "subregion")
-    index = indices.seasonal_index(
-        views.obs(spark, d), ["temperature", "secchi"], views.polygons(spark, d), zone, "lsz", unit="region"
-    )
-    return snapped(index)
+    rows = _rows(spark, d, *VARIABLES)
+    field = indices.salinity_field(rows.filter("variable = 'salinity'"))
+    zone = indices.low_salinity_zone(field, _eligibility(spark, d)).join(views.region_map(spark, d), "subregion")
+    return snapped(indices.index_of_rows(rows.filter("variable <> 'salinity'"), zone, "lsz"))
 
 
 def region_eligibility(spark: SparkSession, d: str) -> DataFrame:
     return indices.region_eligibility(views.placed_obs(spark, d), views.SHORT_TERM_NATIONS, views.SEASONAL_NATIONS)
 
 
-def _effort(spark: SparkSession, d: str) -> DataFrame:
-    rows = indices.usable_observations(views.obs(spark, d), ["temperature", "secchi"], views.polygons(spark, d))
+def _effort(rows: DataFrame, eligibility: DataFrame) -> DataFrame:
     monthly = settle(indices.monthly_means(rows, "subregion"), "effort")
-    return indices.sampling_effort(monthly, _eligibility(spark, d).drop("region"), "All")
+    return indices.sampling_effort(monthly, eligibility.drop("region"), "All")
 
 
 def sampling_effort(spark: SparkSession, d: str) -> DataFrame:
-    return _effort(spark, d)
+    return _effort(_rows(spark, d, "temperature", "secchi"), _eligibility(spark, d))
 
 
 def effort_min(spark: SparkSession, d: str) -> DataFrame:
-    return indices.effort_min(_effort(spark, d))
+    return indices.effort_min(sampling_effort(spark, d))
 
 
 def effort_vs_index(spark: SparkSession, d: str) -> DataFrame:
-    index = _index(spark, d, "season", "strict").filter("variable <> 'salinity'")
-    return indices.effort_disagreement(indices.effort_min(_effort(spark, d)), index)
+    rows, eligibility = _rows(spark, d, "temperature", "secchi"), _eligibility(spark, d)
+    index = indices.index_of_rows(rows, eligibility, "all")
+    return indices.effort_disagreement(indices.effort_min(_effort(rows, eligibility)), index)
 
 
 def assign_subregion(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +213,8 @@ def plankton_biomass_lenient(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _placed_biomass(spark: SparkSession, d: str, **options) -> DataFrame:
-    placed = spatial.assign_subregion(_biomass(spark, d, **options), views.polygons(spark, d))
+    rows = _biomass(spark, d, **options)
+    placed = spatial.assign_subregion(rows, views.polygons(spark, d), positions=views.zoop(spark, d))
     return placed.withColumn("month", F.month("date"))
 
 
