@@ -35,8 +35,9 @@ def complete(
     grid = df.groupBy(*within).agg(*gathered)
     for axis in axes:
         if axis[0] in levels:
-            values = F.array(*[F.lit(v) for v in levels[axis[0]]])
-            grid = grid.withColumn(axis[0], F.explode(values).cast(df.schema[axis[0]].dataType))
+            kind = df.schema[axis[0]].dataType
+            values = F.array(*[F.lit(v).cast(kind) for v in levels[axis[0]]])
+            grid = grid.withColumn(axis[0], F.explode(values))
         else:
             name = "__" + "_".join(axis)
             grid = grid.withColumn(name, F.explode(name)).select(
