@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brackish.functions.numeric import interpolate
@@ -25,44 +25,54 @@ def exact_quantiles(
     A first pass keeps a bounded sketch per group and takes from it, for each quantile, two
     values that surely enclose it. The second pass counts what lies below and ranks only
     the distinct values between the two. So a large group leaves about ``8 / accuracy`` of
-    its rows to one task, and equal values are counted before they move. A group too small
-    for the sketch to separate ranks is ranked whole.
+    its rows to one task, and equal values are counted before they move. Smaller groups get
+    wider limits, and those too small for the sketch to separate ranks are ranked whole.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
     names = list(probs)
-    margin = 4.0 / accuracy
-    outer = [max(0.0, probs[n] - margin) for n in names] + [min(1.0, probs[n] + margin) for n in names]
+    narrow, wide = 4.0 / accuracy, max(0.01, 4.0 / accuracy)
+    edges = [p + side * m for m in (narrow, wide) for side in (-1, 1) for p in probs.values()]
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"),
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
-        F.percentile_approx("__v", outer, accuracy).alias("__q"),
+        F.percentile_approx("__v", [min(1.0, max(0.0, e)) for e in edges], accuracy).alias("__q"),
+    )
+
+    def enclosing(i: int, side: int) -> Column:
+        """Lower (0) or upper (1) enclosing value of quantile i, by the size of the group."""
+        end = F.col("__max") if side else F.col("__min")
+        out = end
+        for at, m, least in ((2, wide, 1000), (0, narrow, 2 * accuracy)):
+            reach = probs[names[i]] + (m if side else -m)
+            value_there = F.col("__q")[(at + side) * len(names) + i] if 0 < reach < 1 else end
+            out = F.when(F.col("__n") >= least, value_there).otherwise(out)
+        return out
+
+    bounds = sketch.select(
+        *keys,
+        "__n",
+        *[enclosing(i, side).alias(f"__{i}_{side}") for i in range(len(names)) for side in (0, 1)],
     )
-    few = F.col("__n") < 2 * accuracy
-    targets = []
-    for i, n in enumerate(names):
-        low, high = F.col("__q")[i], F.col("__q")[i + len(names)]
-        low = F.col("__min") if probs[n] <= margin else F.when(few, F.col("__min")).otherwise(low)
-        high = F.col("__max") if probs[n] >= 1 - margin else F.when(few, F.col("__max")).otherwise(high)
-        targets.append(
-            F.struct(F.lit(i).alias("i"), F.lit(probs[n]).alias("p"), low.alias("low"), high.alias("high"))
-        )
-    bounds = sketch.select(*keys, "__n", F.array(*targets).alias("__t"))
     # One entry per quantile a row can matter for: its value if it lies in between,
     # missing if it lies below and is only counted.
-    entries = F.transform(
-        F.filter("__t", lambda t: F.col("__v") <= t["high"]),
-        lambda t: F.struct(
-            t["i"].alias("i"),
-            t["p"].alias("p"),
-            F.when(F.col("__v") >= t["low"], F.col("__v")).alias("v"),
-        ),
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(probs[n]).alias("p"),
+                F.col(f"__{i}_0").alias("low"),
+                F.col(f"__{i}_1").alias("high"),
+            )
+            for i, n in enumerate(names)
+        ]
     )
     counted = (
         attach(rows, bounds, keys, "inner")
-        .select(*keys, "__n", F.explode(entries).alias("e"))
-        .groupBy(*keys, "__n", "e.i", "e.p", "e.v")
+        .select(*keys, "__n", "__v", F.inline(entries))
+        .filter("__v <= high")
+        .groupBy(*keys, "__n", "i", "p", F.expr("CASE WHEN __v >= low THEN __v END").alias("v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     order = (

@@ -151,6 +151,7 @@ def test_hot_pile_of_equal_rows_is_kept_and_split(spark):
         {"date": F.lit(dt.date(2024, 1, 1)), "datetime": F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.col("h") + 7, F.lit(0), F.lit(0))}
     ).repartition(6)
     settings = {
+        "spark.sql.shuffle.partitions": "16",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
@@ -158,6 +159,7 @@ def test_hot_pile_of_equal_rows_is_kept_and_split(spark):
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
     }
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
@@ -169,6 +171,7 @@ def test_hot_pile_of_equal_rows_is_kept_and_split(spark):
     finally:
         for k in settings:
             spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
 
 
 # --- space ----------------------------------------------------------------------------
