@@ -6,9 +6,9 @@ result missing, unless a skipping form is asked for (then use the plain Spark ag
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -76,3 +76,13 @@ def positive_log(c: ColumnLike) -> Column:
     """Natural logarithm; zero and negative values are missing."""
     c = _col(c)
     return F.when(c > 0, F.ln(c))
+
+
+def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows in which none of the columns is missing (NaN counts as missing).
+
+    The plain NULL tests come first because only they are pushed down to a scan.
+    """
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull())
+    return df.dropna(subset=list(columns))

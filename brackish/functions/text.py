@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,3 +49,9 @@ def split_part(c: Column, sep: str, parts: int, index: int) -> Column:
 def p_label(p: Column) -> Column:
     """p-value for print: '< 0.001' or four decimals."""
     return F.when(p < 0.001, "< 0.001").otherwise(F.bround(p, 4).cast("string"))
+
+
+def level_order(c: Column, levels: Sequence[str]) -> Column:
+    """Place of a value in an ordered list of levels, from 1; other values are missing."""
+    place = F.array_position(F.array(*[F.lit(v) for v in levels]), c)
+    return F.nullif(place, F.lit(0)).cast("int")

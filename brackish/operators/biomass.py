@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackish.functions.calendar import month_day_year
-from brackish.functions.strict import is_member, share
+from brackish.functions.strict import is_member, present, share
 from brackish.functions.text import categorise, paste, recode, remove_first
 from brackish.operators.attach import attach, join_null_safe, lookup
 from brackish.operators.reshape import group_all_but
@@ -119,7 +119,8 @@ def taxon_biomass(
 
     ``weights`` has taxlifestage and carbonweight_ug, ``groups`` taxlifestage and ibmr.
     """
-    clean = samples.withColumn("taxlifestage", remove_first(F.col("taxlifestage"), "_UnID"))
+    usable = present(samples, ["salsurf", *place])
+    clean = usable.withColumn("taxlifestage", remove_first(F.col("taxlifestage"), "_UnID"))
     named = clean.filter(net_rule(rules)).withColumn(
         "taxlifestage", recode(F.col("taxlifestage"), rules.renamed)
     )
@@ -130,7 +131,7 @@ def taxon_biomass(
     bpue = F.when(F.col("taxlifestage") == rules.single_taxon, F.col("bpue_mysid")).when(
         F.col("taxlifestage").isNotNull(), F.col("cpue") * F.col("carbonweight_ug")
     )
-    return grouped.withColumn("bpue", bpue).dropna(subset=["bpue", "salsurf", *place])
+    return present(grouped.withColumn("bpue", bpue), ["bpue"])
 
 
 def same_gear_only(rows: DataFrame, rules: BiomassRules = BiomassRules()) -> DataFrame:

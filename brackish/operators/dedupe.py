@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brackish.functions.calendar import NOON, local_clock, noon_distance, seconds_of_day
+from brackish.functions.strict import present
 from brackish.functions.text import paste
 from brackish.operators.attach import join_null_safe
 
@@ -48,14 +49,15 @@ def nearest_noon(
     chosen = ranked.groupBy(*keys).agg(*[F.min(c).alias(name) for name, c in best.items()])
     times = F.array_distinct(F.array_compact(F.array(*best)))
     chosen = chosen.select("*", F.explode(times).alias("noon_order"))
-    met = join_null_safe(ranked, chosen, [*keys, "noon_order"], "inner")
+    # A row per station and day grows with the data: never to be broadcast.
+    met = join_null_safe(ranked, chosen.hint("merge"), [*keys, "noon_order"], "inner")
     kept = {v: F.when(F.col(f"__best_{v}") == F.col("noon_order"), F.col(v)) for v in variables}
     return met.withColumns(kept).drop("noon_order", *best) if kept else met.drop("noon_order", *best)
 
 
 def complete_observations(df: DataFrame, place: Sequence[str]) -> DataFrame:
     """Observations with time and place, the station named with its source."""
-    usable = df.dropna(subset=["datetime", "date", *place])
+    usable = present(df, ["datetime", "date", *place])
     return usable.withColumn("station", paste(F.col("source"), F.col("station")))
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brackish.functions.geometry import Datum, edges_near_cell, ring_edges, touches, transverse_mercator
+from brackish.functions.strict import present
 from brackish.operators.attach import BROADCAST_ROWS, attach
 from brackish.session import settle
 
@@ -124,4 +126,9 @@ def datum_check(
 
 def station_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Observations per station position."""
-    return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return present(df, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def unmatched(checked: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Stations outside all polygons under any of the datums."""
+    return checked.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackish.functions.calendar import shifted_year
+from brackish.functions.calendar import SEASONS, shifted_year
+from brackish.functions.text import level_order
 from brackish.operators import anova, biomass, dedupe, hydro, indices, regression, scenario, spatial, summaries, surface
 from brackish.operators.attach import attach
 from brackish.operators.densify import expand_grid
@@ -40,6 +41,14 @@ def season_year(spark: SparkSession, d: str) -> DataFrame:
     return snapped(out)
 
 
+def season_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Counts in the order of the seasons, not of their names."""
+    rows = indices.with_season(views.obs(spark, d))
+    order = level_order(F.col("season"), SEASONS)
+    counts = rows.groupBy("season", order.alias("ord")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy("ord")
+
+
 def _eligibility(spark: SparkSession, d: str) -> DataFrame:
     regions = views.region_map(spark, d)
     cells = indices.region_eligibility(regions, views.SHORT_TERM_NATIONS, views.SEASONAL_NATIONS)
@@ -139,6 +148,10 @@ def datum_check(spark: SparkSession, d: str) -> DataFrame:
     return spatial.datum_check(stations, views.polygons(spark, d), {"a": (x, y), "b": (x + 0.7, y - 0.4)})
 
 
+def datum_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.unmatched(datum_check(spark, d), ["subregion_a", "subregion_b"])
+
+
 # --- flows --------------------------------------------------------------------------------
 
 
@@ -481,6 +494,7 @@ QUERIES: dict[str, Query] = {
         nearest_noon,
         drop_high_outliers,
         season_year,
+        season_levels,
         seasonal_index_strict,
         seasonal_index_relaxed,
         yearly_index,
@@ -497,6 +511,7 @@ QUERIES: dict[str, Query] = {
         effort_vs_index,
         assign_subregion,
         datum_check,
+        datum_unmatched,
         water_year_flow,
         month_starts,
         drought_series,

@@ -501,6 +501,15 @@ fenced AS (
  FROM seasonal_rows r JOIN quartiles USING (season, region))"""
 
 
+DATUMS = f"""{OBS}, {EDGES}, stations AS (SELECT station, x, y, count(*) AS n FROM obs GROUP BY ALL),
+{located("stations", "at_a")},
+moved AS (SELECT station, x + 0.7 AS x, y - 0.4 AS y FROM stations), {located("moved", "at_b")},
+datums AS (
+ SELECT s.station, s.x, s.y, s.n, a.subregion AS subregion_a, b.subregion AS subregion_b
+ FROM stations s JOIN moved m USING (station) LEFT JOIN at_a a ON a.x = s.x AND a.y = s.y
+ LEFT JOIN at_b b ON b.x = m.x AND b.y = m.y)"""
+
+
 def renamed(ctes: str, prefix: str, names: str) -> str:
     """The same CTEs under other names, so that they can appear twice in a query."""
     return re.sub(rf"\b({'|'.join(names.split())})\b", rf"{prefix}\1", ctes)
@@ -533,6 +542,11 @@ ORACLE: dict[str, str] = {
         f"{OBS}, rows AS (SELECT {SEASON} AS season, CASE WHEN month = 12 THEN year + 1 ELSE year END AS year, secchi FROM obs)",
         f"SELECT season, year, count(*) AS n, {snap('avg(secchi)')} AS secchi FROM rows GROUP BY season, year",
     ),
+    "season_levels": q(
+        f"{OBS}, rows AS (SELECT {SEASON} AS season FROM obs)",
+        """SELECT season, CASE season WHEN 'Winter' THEN 1 WHEN 'Spring' THEN 2 WHEN 'Summer' THEN 3 WHEN 'Fall' THEN 4 END AS ord,
+ count(*) AS n FROM rows GROUP BY season""",
+    ),
     "seasonal_index_strict": q(index("strict"), INDEX_OUT),
     "seasonal_index_relaxed": q(index("relaxed"), INDEX_OUT),
     "yearly_index": q(
@@ -596,14 +610,8 @@ indexed AS (SELECT variable, year, season FROM index WHERE value IS NOT NULL)"""
     "assign_subregion": q(
         f"{OBS_T}, {EDGES}, {located('obs_t')}", "SELECT obs_id, subregion FROM obs_t JOIN located USING (x, y)"
     ),
-    "datum_check": q(
-        f"""{OBS}, {EDGES}, stations AS (SELECT station, x, y, count(*) AS n FROM obs GROUP BY ALL),
-{located("stations", "at_a")},
-moved AS (SELECT station, x + 0.7 AS x, y - 0.4 AS y FROM stations), {located("moved", "at_b")}""",
-        """SELECT s.station, s.x, s.y, s.n, a.subregion AS subregion_a, b.subregion AS subregion_b
- FROM stations s JOIN moved m USING (station) LEFT JOIN at_a a ON a.x = s.x AND a.y = s.y
- LEFT JOIN at_b b ON b.x = m.x AND b.y = m.y""",
-    ),
+    "datum_check": q(DATUMS, "SELECT * FROM datums"),
+    "datum_unmatched": q(DATUMS, "SELECT * FROM datums WHERE subregion_a IS NULL OR subregion_b IS NULL"),
     "water_year_flow": q(
         WATER,
         f"SELECT date, {snaps(' '.join(FLOWS), 1)}, wy, wdoy, {snaps(' '.join(f'{f}_cum {f}_sum' for f in FLOWS), 1)} FROM water",

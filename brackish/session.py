@@ -41,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/brackish/{label}-{uuid.uuid4().hex}"
+    """A new path below the application's own folder, which may go when the application ends."""
+    return f"{shared_dir(spark)}/brackish/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
