@@ -125,8 +125,10 @@ def taxon_biomass(
         "taxlifestage", recode(F.col("taxlifestage"), rules.renamed)
     )
     weighed = attach(named, weights, ["taxlifestage"])
-    # Samples and mysid masses both grow with the surveys: a plain shuffled join.
-    with_mysid = join_null_safe(weighed, mysids, ["sampleid", "taxlifestage", "sizeclass"])
+    # Weighed masses are of one taxon. Only its rows are shuffled to meet them.
+    single = F.coalesce(F.col("taxlifestage") == rules.single_taxon, F.lit(False))
+    met = join_null_safe(weighed.filter(single), mysids, ["sampleid", "taxlifestage", "sizeclass"])
+    with_mysid = met.unionByName(weighed.filter(~single).withColumn("bpue_mysid", F.lit(None).cast("double")))
     grouped = lookup(with_mysid, groups, ["taxlifestage"])
     bpue = F.when(F.col("taxlifestage") == rules.single_taxon, F.col("bpue_mysid")).when(
         F.col("taxlifestage").isNotNull(), F.col("cpue") * F.col("carbonweight_ug")
