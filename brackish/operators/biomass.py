@@ -107,6 +107,21 @@ def net_rule(rules: BiomassRules) -> Column:
     return keep & not_dropped & single
 
 
+def taxon_names(samples: DataFrame, weights: DataFrame, groups: DataFrame, rules: BiomassRules) -> DataFrame:
+    """Each name as written with its clean and its final form, carbon weight and group.
+
+    Names are few, so text work and lookups are done once per name and not per row.
+    """
+    written = settle(samples.select("taxlifestage").distinct(), "names")
+    clean = remove_first(F.col("taxlifestage"), "_UnID")
+    named = written.select(
+        F.col("taxlifestage").alias("__written"), clean.alias("__clean"), recode(clean, rules.renamed).alias("taxlifestage")
+    )
+    known = lookup(attach(named, weights, ["taxlifestage"]), groups, ["taxlifestage"])
+    final = known.withColumnsRenamed({"taxlifestage": "__name", "__written": "taxlifestage"})
+    return settle(final, "taxon-names")
+
+
 def taxon_biomass(
     samples: DataFrame,
     weights: DataFrame,
@@ -120,20 +135,22 @@ def taxon_biomass(
     ``weights`` has taxlifestage and carbonweight_ug, ``groups`` taxlifestage and ibmr.
     """
     usable = present(samples, ["salsurf", *place])
-    clean = usable.withColumn("taxlifestage", remove_first(F.col("taxlifestage"), "_UnID"))
-    named = clean.filter(net_rule(rules)).withColumn(
-        "taxlifestage", recode(F.col("taxlifestage"), rules.renamed)
+    weighed = (
+        attach(usable, taxon_names(usable, weights, groups, rules), ["taxlifestage"], settled=True)
+        .drop("taxlifestage")
+        .withColumnRenamed("__clean", "taxlifestage")
+        .filter(net_rule(rules))
+        .drop("taxlifestage")
+        .withColumnRenamed("__name", "taxlifestage")
     )
-    weighed = attach(named, weights, ["taxlifestage"])
     # Weighed masses are of one taxon. Only its rows are shuffled to meet them.
     single = F.coalesce(F.col("taxlifestage") == rules.single_taxon, F.lit(False))
     met = join_null_safe(weighed.filter(single), mysids, ["sampleid", "taxlifestage", "sizeclass"])
     with_mysid = met.unionByName(weighed.filter(~single).withColumn("bpue_mysid", F.lit(None).cast("double")))
-    grouped = lookup(with_mysid, groups, ["taxlifestage"])
     bpue = F.when(F.col("taxlifestage") == rules.single_taxon, F.col("bpue_mysid")).when(
         F.col("taxlifestage").isNotNull(), F.col("cpue") * F.col("carbonweight_ug")
     )
-    return present(grouped.withColumn("bpue", bpue), ["bpue"])
+    return present(with_mysid.withColumn("bpue", bpue), ["bpue"])
 
 
 def same_gear_only(rows: DataFrame, rules: BiomassRules = BiomassRules()) -> DataFrame:
