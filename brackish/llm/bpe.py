@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import regex
 
+from .common import map_texts, sha256
+
 NONE = np.int32(2**31 - 1)
 SPECIAL_MARK = "<|"
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -183,7 +185,7 @@ class Encoder:
     def encoded(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
         """For each text, of its parts in order: ids (joined by commas), their number, the bytes that they decode to."""
         cut = [t.split(" ") for t in texts]
-        new = set().union(*(c[1:] for c in cut)) - self.words.keys()
+        new = {w for c in cut for w in c[1:] if w not in self.words}
         if len(self.words) + len(new) > self.entries:
             self.words.clear()
             new = set().union(*(c[1:] for c in cut))
@@ -227,8 +229,6 @@ def encode_documents(docs, path: str, keep: list[str], text: str = "text", with_
     Null text counts as empty: no tokens, digests of nothing. ``path`` is the vocabulary file, which every executor must
     reach (or ship with ``spark.files``).
     """
-    from .common import map_texts, sha256
-
     held: list[Encoder] = []
 
     def work(texts: list[str]) -> list[dict]:

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import SPECIAL_MARK, Vocabulary
+from .bpe import PIECES, SPECIAL_MARK, Vocabulary
 from .common import settle, slices
 
 CAPACITY = 2048
@@ -36,10 +37,6 @@ class IdBytes:
     """
 
     def __init__(self, path: str, entries: int = WORDS_HELD):
-        import tiktoken
-
-        from .bpe import PIECES
-
         voc = Vocabulary(path)
         if not (np.diff(voc.made) > 0).all():
             raise ValueError("merges must be numbered in the order of their ranks")
@@ -53,11 +50,11 @@ class IdBytes:
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         words = self.words
-        if new := set(rest) - words.keys():
+        if new := {w for w in rest if w not in words}:
             if len(words) + len(new) > self.entries:
                 words.clear()
                 new = set(rest)
-            plain = self.coder._core_bpe.encode_ordinary if hasattr(self.coder, "_core_bpe") else self.coder.encode_ordinary
+            plain = self.coder.encode_ordinary
             for w in new:
                 usable = w and not w[0].isspace() and not w[-1].isspace() and SPECIAL_MARK not in w
                 words[w] = np.array(plain(" " + w), "<u4").tobytes() if usable else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash
+from . import bpe, ordinal, packing, simhash, toxicity
 from .common import table
 
 
@@ -16,6 +16,27 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 for low quality, 1 for good quality that is toxic, 2 for good quality that is not."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rating = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
+    model = ordinal.learn(docs, labels, rating, allowed=~toxicity.held_out("doc_id"))
+    graded = ordinal.grade(docs, model, ["doc_id"], least=1)
+    return graded.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "expected_grade", "tail",
+        (F.col("tail") >= ordinal.TAIL).alias("kept"),
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -29,5 +50,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-LLM_QUERIES = {"op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
+LLM_QUERIES = {"op2_ordinal": op2_ordinal, "op4_toxicity": op4_toxicity, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
 LLM_ORACLE: dict[str, str] = {}
