@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ordinal, packing, simhash, toxicity
+from . import bpe, ordinal, packing, simhash, suffix_array, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op2_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), ["doc_id"])
@@ -50,5 +54,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-LLM_QUERIES = {"op2_ordinal": op2_ordinal, "op4_toxicity": op4_toxicity, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
+LLM_QUERIES = {"op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
 LLM_ORACLE: dict[str, str] = {}
