@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ordinal, packing, simhash, suffix_array, toxicity
+from . import bpe, ordinal, packing, quality, simhash, suffix_array, toxicity
 from .common import table
 
 
@@ -16,6 +16,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.POLICIES["v2"]).alias("kept"), "fail_bits",
+    )
+
+
 def op2_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 for low quality, 1 for good quality that is toxic, 2 for good quality that is not."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -54,5 +62,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-LLM_QUERIES = {"op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
-LLM_ORACLE: dict[str, str] = {}
+LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
+LLM_ORACLE: dict[str, str] = {"op1_quality_ledger": quality.ORACLE}
