@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ordinal, packing, quality, simhash, suffix_array, toxicity
+from . import bpe, cws, ordinal, packing, pii, quality, simhash, suffix_array, toxicity
 from .common import table
 
 
+#: The key of the registered query; a real corpus passes its own.
+PII_KEY = "public demonstration key"
+
+
 def vocabulary() -> str:
     """The vocabulary file; a cluster ships it with the package of that name."""
     import public_tokenizers
@@ -49,6 +53,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, count="n_replaced")
+    return found.select("doc_id", "text", "n_replaced")
+
+
+def op7_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cws.compared(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", cws.as_text(F.col("samples")).alias("fingerprint"),
+        cws.as_text(F.col("edited_samples")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -62,5 +79,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
+LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op7_weighted_samples": op7_weighted_samples, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
 LLM_ORACLE: dict[str, str] = {"op1_quality_ledger": quality.ORACLE}
