@@ -10,37 +10,63 @@ moment, and every position keeps one number, a bid above a sample, whose minimum
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
 
-POSITIONS = 64
+POSITIONS = 32
 SAMPLE_BITS = 16
+#: -ln(1 - v/2) on [0, 1] is nearly the sum of these times v, v^2 and so on.
+BETWEEN = (0.4999241, 0.1262991, 0.0340854, 0.0357665, -0.0195213, 0.0165896)
 WHITE = r"[\x20\x09-\x0D]+"
 #: What stands for the samples of a text without words; no sample has it.
 NOTHING = 0
 
 
-def term_weights(words: Column) -> Column:
-    """(h, w) of each distinct word of the sorted hashes ``words``."""
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(words) - 1),
-        lambda i: (i == 0) | (F.get(words, i) != F.get(words, F.greatest(i - 1, F.lit(0)))),
-    )
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(words)))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(words, a).alias("h"), (b - a).alias("w")))
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is worked out once a row, however often lambdas behind it look at it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def terms(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys``, h, w: a row for each distinct word of a text with its hash and its count; one of nulls if there is none."""
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WHITE), lambda x: x != "")
+    held = _once(rows, "__words", F.sort_array(F.transform(words, lambda x: F.xxhash64(x)))).select(*keys, "__words")
+    w = F.col("__words")
+    new = F.zip_with(w, F.concat(F.array(F.lit(None).cast("long")), w), lambda a, b: ~a.eqNullSafe(b))
+    first = F.filter(F.transform(F.slice(new, 1, F.greatest(F.size(w), F.lit(1))), lambda n, i: F.when(n, i)), lambda i: i.isNotNull())
+    held = _once(held, "__first", first)
+    ends = F.concat(F.slice("__first", 2, F.size(w) + 1), F.array(F.size(w)))
+    pairs = F.zip_with("__first", ends, lambda a, b: F.struct(F.get(w, a).alias("h"), (b - a).alias("w")))
+    some = F.when(F.size(w) > 0, pairs)
+    return held.select(*keys, F.explode_outer(some).alias("__t")).select(*keys, F.col("__t.h").alias("h"), F.col("__t.w").alias("w"))
+
 
+def _exponential(bits: Column, at: int) -> Column:
+    """An exponential variable of 27 bits of a hash: zeros at the end count halvings, twenty more bits what is between.
 
-def bid(term: Column, weight: Column, position: int) -> Column:
+    The part between is -ln(1 - v/2) for a uniform v, as a polynomial that is right to five digits.
+    """
+    low = F.shiftrightunsigned(bits, at).bitwiseOR(F.lit(1 << 12))  # a bit that ends the count
+    halvings = F.bit_count(low.bitwiseAND(-low) - 1)
+    v = F.shiftrightunsigned(bits, at + 12).bitwiseAND(F.lit((1 << 20) - 1)) / float(1 << 20)
+    between = F.lit(0.0)
+    for factor in reversed(BETWEEN):
+        between = (between + factor) * v
+    return halvings * math.log(2) + between
+
+
+def bid(term: Column, weight_log: Column, position: int) -> Column:
     """The bid in the upper bits and the sample below, as a long whose order is the bids'."""
     first, second = F.xxhash64(term, F.lit(2 * position)), F.xxhash64(term, F.lit(2 * position + 1))
-    unit = lambda h, shift: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)) + 1) / float((1 << 21) + 1)
-    scale = -F.log(unit(first, 0) * unit(first, 21))
-    cost = -F.log(unit(second, 0) * unit(second, 21))
-    shift = unit(first, 42)
-    level = F.floor(F.log(weight.cast("double")) / scale + shift)
-    value = F.log(cost) - scale * (level - shift + 1)
+    scale = _exponential(first, 0) + _exponential(first, 32) + 1e-9
+    cost = F.log(_exponential(second, 0) + _exponential(second, 32) + 1e-9)
+    shift = F.shiftrightunsigned(first.bitwiseXOR(second), 40) / float(1 << 24)
+    level = F.floor(weight_log / scale + shift)
+    value = cost - scale * (level - shift + 1)
     sample = F.pmod(F.hash(term, level), F.lit((1 << SAMPLE_BITS) - 1)) + 1
     return F.shiftleft(((value + 512.0) * float(1 << 30)).cast("long"), SAMPLE_BITS).bitwiseOR(sample.cast("long"))
 
@@ -50,14 +76,12 @@ def signatures(rows: DataFrame, keys: list[str], text: str, positions: int = POS
 
     Null and empty texts, and texts of white space, have ``NOTHING`` at every position.
     """
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WHITE), lambda x: x != "")
-    hashed = rows.select(*keys, F.sort_array(F.transform(words, lambda x: F.xxhash64(x))).alias("__words"))
-    terms = hashed.select(*keys, F.when(F.size("__words") > 0, term_weights(F.col("__words"))).alias("__terms"))
-    each = terms.select(*keys, F.explode_outer("__terms").alias("__t")).select(
-        *keys, F.col("__t.h").alias("__h"), F.col("__t.w").alias("__w")
-    )
+    each = terms(rows, keys, text)
+    each = each.withColumn("w", F.log(F.col("w").cast("double")))
     # bids are formed inside the aggregate, whose functions are compiled one by one
-    least = each.groupBy(*keys).agg(*(F.min(bid(F.col("__h"), F.col("__w"), k)).alias(f"__b{k}") for k in range(positions)))
+    least = each.groupBy(*keys).agg(
+        *(F.min(bid(F.col("h"), F.col("w"), k)).alias(f"__b{k}") for k in range(positions))
+    )
     mask = F.lit((1 << SAMPLE_BITS) - 1).cast("long")
     samples = (F.coalesce(F.col(f"__b{k}").bitwiseAND(mask), F.lit(NOTHING)).cast("int") for k in range(positions))
     return least.select(*keys, F.array(*samples).alias("samples"))

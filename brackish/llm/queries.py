@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cws, ordinal, packing, pii, quality, simhash, suffix_array, toxicity
+from . import bpe, cws, html_mincut, ordinal, packing, pii, quality, simhash, suffix_array, toxicity
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_replaced")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op7_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cws.compared(table(spark, sf_dir, "documents"))
     return found.select(
@@ -79,5 +83,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op7_weighted_samples": op7_weighted_samples, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
+LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_html": op6_html, "op7_weighted_samples": op7_weighted_samples, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
 LLM_ORACLE: dict[str, str] = {"op1_quality_ledger": quality.ORACLE}
