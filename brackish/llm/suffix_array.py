@@ -29,9 +29,9 @@ LENGTH = 200
 GRAM = 16
 WIDE = 8
 WINDOWS = 1024  # most windows of a string; longer runs of a class are more strings of it
-SHARD_BYTES = 1 << 20
-BUCKET_BYTES = 4 << 20
-CLASS_BYTES = 16 << 20
+SHARD_BYTES = 1 << 18
+BUCKET_BYTES = 2 << 20
+CLASS_BYTES = 4 << 20
 ODD, EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -88,24 +88,35 @@ def strings_of(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarra
     return value.view(np.int64), first, end - first, (np.cumsum(marks[:-1]) > 0).astype(np.int64)
 
 
-def _shard_order(keys: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes of a shard in the order of their first bytes, to ``length`` at least. left: bytes to the string's end."""
-    rank = np.unique(keys, return_inverse=True)[1].astype(np.int64) + 1
-    depth = WIDE
-    order = None
+def _sorted_places(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Places in the order of (high, low), both below 2^31 and not negative. Sorts plain numbers where they fit in one."""
+    n = len(high)
+    bits = max(1, (n - 1).bit_length())
+    wide = max(1, int(high.max(initial=0)).bit_length()), max(1, int(low.max(initial=0)).bit_length())
+    if sum(wide) + bits > 63:
+        return np.argsort((high << 32) | low, kind="stable")
+    keys = (high << (wide[1] + bits)) | (low << bits) | np.arange(n)
+    keys.sort()
+    return keys & ((1 << bits) - 1)
+
+
+def _shard_order(numbers: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes of a shard in the order of their first bytes, to ``length`` at least, by doubling.
+
+    numbers: ranks of the first eight bytes; left: bytes to the string's end.
+    """
+    rank, depth = numbers.astype(np.int64) + 1, WIDE
     while True:
-        if order is None or depth < length and rank.max() < len(rank):
-            after = np.zeros(len(rank), np.int64)
-            inside = np.flatnonzero(left > depth)
-            after[inside] = rank[inside + depth]
-            pair = (rank << 32) | after
-            order = np.argsort(pair, kind="stable")
-            sorted_ = pair[order]
-            rank = np.empty(len(rank), np.int64)
-            rank[order] = np.cumsum(np.concatenate([[1], sorted_[1:] != sorted_[:-1]]))
-            depth *= 2
-        else:
+        after = np.zeros(len(rank), np.int64)
+        inside = np.flatnonzero(left > depth)
+        after[inside] = rank[inside + depth]
+        order = _sorted_places(rank, after)
+        high, low = rank[order], after[order]
+        split = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        depth *= 2
+        if depth >= length or split.all():
             return order
+        rank[order] = np.cumsum(np.concatenate([[1], split]))
 
 
 def _distributed(symbols: np.ndarray) -> np.ndarray:
@@ -115,15 +126,17 @@ def _distributed(symbols: np.ndarray) -> np.ndarray:
     return keys & 0xFFFFFFFF
 
 
-def repeated_windows(strings: list[bytes], weights: list[int], length: int = LENGTH, shard: int = SHARD_BYTES) -> list[np.ndarray]:
+def repeated_windows(
+    strings: list[bytes], weights: list[int], length: int = LENGTH, shard: int = SHARD_BYTES
+) -> list[np.ndarray]:
     """For each string, which of its windows occur more than once, a string counting as often as its weight says."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     windows = np.maximum(sizes - length + 1, 0)
     data = np.frombuffer(b"".join(strings), np.uint8)
     begin = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(strings)), sizes)
-    offset = np.arange(len(data)) - begin[owner]
-    left = sizes[owner] - offset
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
+    offset = np.arange(len(data), dtype=np.int32) - np.repeat(begin.astype(np.int32), sizes)
+    left = np.repeat(sizes.astype(np.int32), sizes) - offset
     keys = packed(data)
     short = np.flatnonzero(left < WIDE)  # what follows belongs to the next string
     keys[short] &= ~np.uint64(0) << ((WIDE - left[short]) * 8).astype(np.uint64)
@@ -135,13 +148,13 @@ def repeated_windows(strings: list[bytes], weights: list[int], length: int = LEN
     order = []
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(strings)]):
         lo, hi = int(begin[a]), int(begin[b - 1] + sizes[b - 1])
-        order.append(_shard_order(keys[lo:hi], left[lo:hi], length) + lo)
+        order.append(_shard_order(numbers[lo:hi], left[lo:hi], length) + lo)
     counts = np.array([len(o) for o in order])
     suffixes = np.concatenate(order)
     shard_of = np.repeat(np.arange(len(order)), counts).astype(np.uint8)
-    away = offset[suffixes].astype(np.int32)
-    until = away - windows[owner[suffixes]].astype(np.int32)
-    before = numbers[np.maximum(suffixes - WIDE, 0)]  # the transform: of each suffix, in its shard's order, what stands before
+    away = offset[suffixes]
+    until = (offset - np.repeat(windows.astype(np.int32), sizes))[suffixes]
+    before = np.concatenate([np.zeros(WIDE, np.int32), numbers])[suffixes]  # the transform: of each suffix, in its shard's order, what stands before
 
     def taking_part(depth: int) -> np.ndarray:
         """Suffixes that are the last ``depth`` bytes of a window."""
