@@ -42,7 +42,7 @@ def swaps(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> li
     pattern = re.compile(r"\b(" + "|".join(map(re.escape, sorted(place, key=len, reverse=True))) + r")\b", re.I)
     if not pattern.search(text):
         return []
-    parts, found = SENTENCE.split(text), []
+    parts, found = [p for p in SENTENCE.split(text) if p], []
     for n, part in enumerate(parts):
         named = {place[m.lower()] for m in pattern.findall(part)}
         for shift in range(1, max((len(g) for g, _ in named), default=1)):
