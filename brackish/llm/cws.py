@@ -4,8 +4,8 @@ For each position and each term of weight w, gamma variables r and c and a unifo
 With t = floor(ln w / r + b) the term bids ln c - r (t - b + 1); the lowest bid's term and t are the sample. Two weighted
 sets take the same sample with the probability sum of minima over sum of maxima of their weights.
 
-Terms are words, weights their counts. Words are hashed and counted inside the row; each term then is a row for a
-moment, and every position keeps one number, a bid above a sample, whose minimum is taken before anything is shuffled.
+Terms are words, weights their counts. Texts are dealt by id once; counting words and taking the lowest bids group by the
+id among other columns, so that neither moves a row again. A position keeps one number, a bid above a sample.
 """
 
 from __future__ import annotations
@@ -26,23 +26,11 @@ WHITE = r"[\x20\x09-\x0D]+"
 NOTHING = 0
 
 
-def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """``rows`` with a column that is worked out once a row, however often lambdas behind it look at it."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
-def terms(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys``, h, w: a row for each distinct word of a text with its hash and its count; one of nulls if there is none."""
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WHITE), lambda x: x != "")
-    held = _once(rows, "__words", F.sort_array(F.transform(words, lambda x: F.xxhash64(x)))).select(*keys, "__words")
-    w = F.col("__words")
-    new = F.zip_with(w, F.concat(F.array(F.lit(None).cast("long")), w), lambda a, b: ~a.eqNullSafe(b))
-    first = F.filter(F.transform(F.slice(new, 1, F.greatest(F.size(w), F.lit(1))), lambda n, i: F.when(n, i)), lambda i: i.isNotNull())
-    held = _once(held, "__first", first)
-    ends = F.concat(F.slice("__first", 2, F.size(w) + 1), F.array(F.size(w)))
-    pairs = F.zip_with("__first", ends, lambda a, b: F.struct(F.get(w, a).alias("h"), (b - a).alias("w")))
-    some = F.when(F.size(w) > 0, pairs)
-    return held.select(*keys, F.explode_outer(some).alias("__t")).select(*keys, F.col("__t.h").alias("h"), F.col("__t.w").alias("w"))
+def term_counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys``, h, w: each distinct word of a text by its hash and its count; h is null for what is no word."""
+    words = rows.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), WHITE)).alias("__word"))
+    hashed = words.select(*keys, F.when(F.col("__word") != "", F.xxhash64("__word")).alias("h"))
+    return hashed.groupBy(*keys, "h").agg(F.count("*").alias("w"))
 
 
 def _exponential(bits: Column, at: int) -> Column:
@@ -67,8 +55,8 @@ def bid(term: Column, weight_log: Column, position: int) -> Column:
     shift = F.shiftrightunsigned(first.bitwiseXOR(second), 40) / float(1 << 24)
     level = F.floor(weight_log / scale + shift)
     value = cost - scale * (level - shift + 1)
-    sample = F.pmod(F.hash(term, level), F.lit((1 << SAMPLE_BITS) - 1)) + 1
-    return F.shiftleft(((value + 512.0) * float(1 << 30)).cast("long"), SAMPLE_BITS).bitwiseOR(sample.cast("long"))
+    sample = (F.shiftrightunsigned(term, 20) + level * 40503).bitwiseAND(F.lit((1 << (SAMPLE_BITS - 1)) - 1)) + 1
+    return F.shiftleft(((value + 512.0) * float(1 << 30)).cast("long"), SAMPLE_BITS).bitwiseOR(sample)
 
 
 def signatures(rows: DataFrame, keys: list[str], text: str, positions: int = POSITIONS) -> DataFrame:
@@ -76,8 +64,8 @@ def signatures(rows: DataFrame, keys: list[str], text: str, positions: int = POS
 
     Null and empty texts, and texts of white space, have ``NOTHING`` at every position.
     """
-    each = terms(rows, keys, text)
-    each = each.withColumn("w", F.log(F.col("w").cast("double")))
+    each = term_counts(rows, keys, text)
+    each = each.select(*keys, "h", F.when(F.col("h").isNotNull(), F.log(F.col("w").cast("double"))).alias("w"))
     # bids are formed inside the aggregate, whose functions are compiled one by one
     least = each.groupBy(*keys).agg(
         *(F.min(bid(F.col("h"), F.col("w"), k)).alias(f"__b{k}") for k in range(positions))
@@ -148,10 +136,10 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text: str = "text", positi
     )
     both = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")),
                    F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))
-    each = pairs.select(*keys, F.explode(both).alias("t")).select("k1", "k2", "t.which", "t.body")
-    made = signatures(each, ["k1", "k2", "which"], "body", positions)
+    each = pairs.select("id", *keys, F.explode(both).alias("t")).select("id", "k1", "k2", "t.which", "t.body")
+    made = signatures(each, ["id", "k1", "k2", "which"], "body", positions)
     one = lambda n: F.max(F.when(F.col("which") == n, F.col("samples")))
-    made = made.groupBy("k1", "k2").agg(one(0).alias("samples"), one(1).alias("edited_samples"))
+    made = made.groupBy("id", "k1", "k2").agg(one(0).alias("samples"), one(1).alias("edited_samples")).drop("id")
     table = settle(facts.join(made, ["k1", "k2"]).drop("k1", "k2"), "samples")
     by_id = table.groupBy(F.col("id").alias("other")).agg(F.min("samples").alias("next_samples"))
     found = table.join(by_id, table.next_id == by_id.other, "left")
