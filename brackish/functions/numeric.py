@@ -24,11 +24,6 @@ def band_overlaps(mean: Column, spread: Column, low: float, high: float) -> Colu
     return (mean - spread <= high) & (mean + spread >= low)
 
 
-def step_sequence(low: Column, high: Column) -> Column:
-    """Integer tenths from low to high, to be exploded."""
-    return F.sequence(low, high)
-
-
 def interpolate(low: Column, high: Column, weight: Column) -> Column:
     """Value between two neighbours; equal neighbours are returned as they are,
     so that two infinities do not turn into NaN."""

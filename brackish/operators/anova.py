@@ -179,7 +179,8 @@ def compact_letters(different: np.ndarray) -> list[str]:
             columns = [c for c in unique if not any(c < other for other in unique)]
     columns.sort(key=lambda c: sorted(c))
     alphabet = string.ascii_lowercase + string.ascii_uppercase
-    names = [alphabet[i % 52] * (1 + i // 52) for i in range(len(columns))]
+    # from the 53rd on a letter has a number, so that no name reads as two others
+    names = [alphabet[i % 52] + (str(i // 52) if i >= 52 else "") for i in range(len(columns))]
     return ["".join(name for name, c in zip(names, columns) if i in c) for i in range(k)]
 
 

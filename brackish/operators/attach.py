@@ -1,4 +1,4 @@
-"""Join a small-per-group table onto rows without trusting the key distribution."""
+"""Join a small-per-group table onto rows, missing keys matching missing ones."""
 
 from __future__ import annotations
 
@@ -8,16 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackish.session import settle
-
-# A settled table of at most this many rows is broadcast. Its rows are one key and a few
-# numbers, so this stays in the tens of megabytes on every executor.
-BROADCAST_ROWS = 200_000
-# Beyond that the rows of each key are spread over this many tasks. AQE can split a
-# larger task further, because the salted join shuffles both sides directly.
-SALTS = 16
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on same-named keys with missing matching missing, keys kept once."""
     held = {k: f"__{k}" for k in keys}
@@ -28,50 +18,13 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*held.values())
 
 
-def known_small(df: DataFrame) -> bool:
-    """Does Catalyst's own estimate put the table under its broadcast threshold?
-
-    An aggregate is estimated by its input, so this holds for tables that come from small
-    files, and not for statistics of large ones. Exploded rows are not in the estimate:
-    settle such a table first. Without access to the estimate the answer is no.
-    """
-    try:
-        threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    except AttributeError:
-        return False
-    return int(str(size)) <= threshold
-
-
-def attach(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    settled: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Left, inner or left-semi join of ``table`` (few rows per key) onto ``rows``.
 
-    Spark joins a table from small files on its own. Any other is settled first, so its size
-    is known. A small one is broadcast and the rows do not move. A large one is joined on
-    the keys plus a salt, so that one key holding much of the data is spread over several
-    tasks.
+    One lazy plan at every size: a null-safe equi-join. Catalyst and AQE broadcast the table by
+    its bytes where they are known to be few, and split the tasks of a hot key where they are not.
     """
-    keys = list(keys)
-    if not settled:
-        if known_small(table):
-            return join_null_safe(rows, table, keys, how)
-        table = settle(table, "attach")
-    if table.count() <= broadcast_rows:
-        return join_null_safe(rows, F.broadcast(table), keys, how)
-    names = rows.columns
-    value_columns = [c for c in table.columns if c not in keys]
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    joined = join_null_safe(salted, copies, [*keys, "__salt"], how)
-    kept = names if how in ("left_semi", "left_anti") else [*names, *value_columns]
-    return joined.select(*kept)
+    return join_null_safe(rows, table, list(keys), how)
 
 
 def shared_left_join(left: DataFrame, right: DataFrame) -> DataFrame:

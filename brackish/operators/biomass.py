@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackish.functions.calendar import month_day_year
-from brackish.functions.strict import is_member, present, share
+from brackish.functions.strict import is_member, present, share, strict_avg, strict_sd
 from brackish.functions.text import categorise, paste, recode, remove_first
 from brackish.operators.attach import attach, join_null_safe, lookup
 from brackish.operators.reshape import group_all_but
@@ -136,7 +136,7 @@ def taxon_biomass(
     """
     usable = present(samples, ["salsurf", *place])
     weighed = (
-        attach(usable, taxon_names(usable, weights, groups, rules), ["taxlifestage"], settled=True)
+        attach(usable, taxon_names(usable, weights, groups, rules), ["taxlifestage"])
         .drop("taxlifestage")
         .withColumnRenamed("__clean", "taxlifestage")
         .filter(net_rule(rules))
@@ -163,9 +163,6 @@ def same_gear_only(rows: DataFrame, rules: BiomassRules = BiomassRules()) -> Dat
     return attach(rows, mixed, ["ibmr"]).filter(~(F.col("__mixed") & (F.col("source") != rules.gear_source))).drop("__mixed")
 
 
-SAMPLE_COLUMNS = ("sampleid", "station", "salsurf", "date", "year")
-
-
 def plankton_biomass(
     samples: DataFrame,
     weights: DataFrame,
@@ -198,14 +195,17 @@ def with_covariates(biomass: DataFrame) -> DataFrame:
 
 
 def standardise(df: DataFrame, reference: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add ``{c}_s``: centred and scaled by the mean and deviation of ``reference``."""
+    """Add ``{c}_s``: centred and scaled by the mean and deviation of ``reference``.
+
+    One missing value of ``reference`` makes them missing.
+    """
 
     def stat(agg, c):
         return reference.select(agg(c)).scalar()
 
     return df.withColumns(
         {
-            f"{c}_s": (F.col(c) - stat(F.avg, c)) / F.nullif(stat(F.stddev_samp, c), F.lit(0.0))
+            f"{c}_s": (F.col(c) - stat(strict_avg, c)) / F.nullif(stat(strict_sd, c), F.lit(0.0))
             for c in columns
         }
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brackish.functions.calendar import SEASONS, season, season_year
 from brackish.functions.numeric import band_overlaps
+from brackish.functions.geometry import Datum
 from brackish.functions.strict import strict_avg, strict_sd, strict_sum, strict_var
 from brackish.operators.attach import attach
 from brackish.operators.dedupe import LOCAL_ZONE, STATION_DAY, by_variable, complete_observations, nearest_noon
@@ -59,14 +60,18 @@ def usable_observations(
     variables: Sequence[str],
     polygons: DataFrame,
     place: tuple[str, str] = ("x", "y"),
-    cell: float = 10.0,
+    cell: float | None = None,
     zone: str = LOCAL_ZONE,
+    datum: Datum | None = None,
 ) -> DataFrame:
-    """One value per variable, station and day, in a sub-region, outliers out, season set."""
+    """One value per variable, station and day, in a sub-region, outliers out, season set.
+
+    With a datum, ``place`` names longitude and latitude.
+    """
     wanted = ["source", "station", "date", "datetime", *place, "month", "year", *variables]
     complete_rows = complete_observations(observations.select(*wanted), place)
     chosen = nearest_noon(complete_rows, STATION_DAY, variables, zone)
-    placed = assign_subregion(chosen, polygons, *place, cell=cell, positions=observations)
+    placed = assign_subregion(chosen, polygons, *place, cell=cell, datum=datum, positions=observations)
     narrow = by_variable(placed.select("subregion", "month", "year", *variables), variables)
     narrow = settle(narrow, "observations")
     kept = drop_high_outliers(narrow, ["variable", "subregion"])
@@ -134,7 +139,8 @@ def seasonal_index(
     month_na: str = "strict",
     unit: str | None = None,
     place: tuple[str, str] = ("x", "y"),
-    cell: float = 10.0,
+    cell: float | None = None,
+    datum: Datum | None = None,
 ) -> DataFrame:
     """The index of each variable: long rows (variable, season or unit, year, value, n).
 
@@ -144,7 +150,7 @@ def seasonal_index(
     _one_of("kind", kind, ("season", "year"))
     _one_of("month_na", month_na, ("strict", "relaxed"))
     unit = unit or ("subregion" if region == "lsz" else "region")
-    rows = usable_observations(observations, variables, polygons, place, cell)
+    rows = usable_observations(observations, variables, polygons, place, cell, datum=datum)
     return index_of_rows(rows, eligibility, region, kind, month_na, unit)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackish.functions.laws import f_tail, t_tail
-from brackish.functions.strict import is_member, positive_log
+from brackish.functions.strict import is_member, positive_log, strict_avg, strict_sd
 from brackish.operators.attach import attach
 from brackish.operators.reshape import lengthen
 
@@ -22,12 +22,12 @@ def taxa_long(matrix: DataFrame, years: DataFrame, year: str = "year", index: st
     """Taxa matrix by year joined to the year table and unpivoted.
 
     The index is standardised over the years of the matrix before the unpivot, so each
-    year counts once.
+    year counts once. One missing year makes all standardised values missing.
     """
     taxa = [c for c in matrix.columns if c != year]
     joined = attach(matrix, years, [year])
-    mean = joined.select(F.avg(index)).scalar()
-    spread = joined.select(F.stddev_samp(index)).scalar()
+    mean = joined.select(strict_avg(index)).scalar()
+    spread = joined.select(strict_sd(index)).scalar()
     scaled = joined.withColumn(f"{index}_s", (F.col(index) - mean) / spread)
     return lengthen(scaled, taxa, "taxa", "bpue")
 

@@ -108,34 +108,44 @@ def scenario_ratio(
 
     ``salinities`` is long (region, year, month, scenario, tenths, and region2, the region
     the draws know); ``draws`` has region2, month, ibmr, tenths and the array ``draws``.
-    Draws stay in arrays: the scenarios of a cell meet by one shuffle of short keys, and
-    ratios and quantiles are computed inside the row.
+    Draws stay in arrays and meet only where they differ: cells and scenarios are short rows, each
+    distinct pair of salinities of a region, month and group is compared once, and three numbers
+    travel back to the cells.
     """
     groups = settle(draws.select("ibmr").distinct(), "groups")
     all_groups = groups.select(F.array_sort(F.collect_set("ibmr"))).scalar()
-    wanted = salinities.withColumn("ibmr", F.explode(all_groups))
-    matched = join_null_safe(
-        wanted, draws.select("region2", "month", "ibmr", "tenths", "draws"), ["region2", "month", "ibmr", "tenths"]
+    keys = ["region", "year", "month", "ibmr"]
+    cells = salinities.groupBy("region", "year", "month").agg(
+        F.any_value("region2", True).alias("region2"),
+        *[F.any_value(F.when(F.col("scenario") == s, F.col("tenths")), True).alias(s) for s in scenarios],
+    )
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), F.col(s).alias("tenths")) for s in scenarios]))
+    long = (
+        cells.withColumn("ibmr", F.explode(all_groups))
+        .select(*keys, "region2", F.col(base).alias("base_tenths"), each.alias("own"))
+        .select(*keys, "region2", "base_tenths", "own.*")
     )
+    where = ["region2", "month", "ibmr"]
     biomass = F.transform("draws", lambda d: F.expm1(d.cast("double")))
     if clamp_at_zero:
         biomass = F.transform(biomass, lambda b: F.when(b < 0, 0.0).otherwise(b))
-    cells = (
-        matched.withColumn("biomass", biomass)
-        .groupBy("region", "year", "month", "ibmr")
-        .agg(*[F.any_value(F.when(F.col("scenario") == s, F.col("biomass")), True).alias(s) for s in scenarios])
+    held = draws.select(*where, "tenths", biomass.alias("biomass"))
+    pairs = long.select(*where, "base_tenths", "tenths").distinct()
+    compared = join_null_safe(pairs, held, [*where, "tenths"])
+    compared = join_null_safe(
+        compared, held.withColumnsRenamed({"tenths": "base_tenths", "biomass": "base_biomass"}), [*where, "base_tenths"]
     )
-    keys = ["region", "year", "month", "ibmr"]
-    relative = cells.select(
-        *keys,
+    relative = F.array_sort(F.array_compact(F.zip_with("biomass", "base_biomass", ratio)))
+    bands = compared.withColumn("relative", relative).select(
+        *where, "base_tenths", "tenths", *[array_quantile(F.col("relative"), p).alias(label) for label, p in BAND.items()]
+    )
+    found = join_null_safe(long, bands, [*where, "base_tenths", "tenths"])
+    return found.groupBy(*keys).agg(
         *[
-            F.array_sort(F.array_compact(F.zip_with(F.col(s), F.col(base), ratio))).alias(s)
+            F.any_value(F.when(F.col("scenario") == s, F.col(label)), True).alias(f"{s}_{label}")
             for s in scenarios
-        ],
-    )
-    return relative.select(
-        *keys,
-        *[array_quantile(F.col(s), p).alias(f"{s}_{label}") for s in scenarios for label, p in BAND.items()],
+            for label in BAND
+        ]
     )
 
 

@@ -10,11 +10,22 @@ from pyspark.sql import functions as F
 
 from brackish.functions.geometry import Datum, edges_near_cell, ring_edges, touches, transverse_mercator
 from brackish.functions.strict import present
-from brackish.operators.attach import BROADCAST_ROWS, attach
-from brackish.session import settle
+from brackish.operators.attach import attach
 
 # A polygon is cut into cells along its bounding box; each cell keeps only the edges a
-# point in it can meet.
+# point in it can meet. The largest polygon has this many cells a side, whatever the unit.
+CELLS_A_SIDE = 32
+
+
+def cell_size(polygons: DataFrame) -> float:
+    """Side of a cell, from the longest side of any polygon's bounding box."""
+
+    def side(axis: str):
+        values = F.transform("ring", lambda p: p[axis])
+        return F.array_max(values) - F.array_min(values)
+
+    longest = polygons.agg(F.max(F.greatest(side("x"), side("y")).cast("double"))).first()[0]
+    return longest / CELLS_A_SIDE if longest else 1.0
 
 
 def cell_cover(polygons: DataFrame, cell: float, name: str = "subregion") -> DataFrame:
@@ -43,13 +54,15 @@ def locate(
     x: str = "x",
     y: str = "y",
     name: str = "subregion",
-    cell: float = 10.0,
+    cell: float | None = None,
     how: str = "left",
 ) -> DataFrame:
     """Left spatial join: each point with the polygons it lies in or on the border of.
 
     A point on a shared border meets both polygons; a point in none keeps a missing name.
+    The cells follow from the polygons unless a size is given.
     """
+    cell = cell or cell_size(polygons)
     cover = cell_cover(polygons, cell, name).groupBy("cell_x", "cell_y").agg(
         F.collect_list(F.struct(name, "edges")).alias("candidates")
     )
@@ -59,7 +72,7 @@ def locate(
             "cell_y": F.floor(F.col(y) / cell).cast("long"),
         }
     )
-    met = attach(celled, settle(cover, "cells"), ["cell_x", "cell_y"], settled=True)
+    met = attach(celled, cover, ["cell_x", "cell_y"])
     hits = F.transform(
         F.filter("candidates", lambda c: touches(c["edges"], F.col(x), F.col(y))), lambda c: c[name]
     )
@@ -73,7 +86,7 @@ def assign_subregion(
     x: str = "x",
     y: str = "y",
     name: str = "subregion",
-    cell: float = 10.0,
+    cell: float | None = None,
     datum: Datum | None = None,
     keep: Sequence[str] | None = None,
     positions: DataFrame | None = None,
@@ -85,8 +98,7 @@ def assign_subregion(
 
     Stations are visited again and again, so the polygons are met once per position and
     the answer is joined to the rows. ``positions`` is a table cheaper to read than
-    ``rows`` that holds all their positions. If positions turn out to be many, each row
-    meets the polygons itself.
+    ``rows`` that holds all their positions.
     """
     if keep is not None:
         polygons = polygons.filter(F.col(name).isin(list(keep)))
@@ -99,10 +111,7 @@ def assign_subregion(
         return locate(projected, polygons, "__east", "__north", name, cell, how="inner").drop("__east", "__north")
 
     source = rows if positions is None else positions
-    places = settle(source.select(x, y).dropna().distinct(), "positions")
-    if places.count() > BROADCAST_ROWS:
-        return meet(rows)
-    return attach(rows, meet(places), [x, y], "inner")
+    return attach(rows, meet(source.select(x, y).dropna().distinct()), [x, y], "inner")
 
 
 def datum_check(
@@ -110,7 +119,7 @@ def datum_check(
     polygons: DataFrame,
     moved: dict[str, tuple],
     name: str = "subregion",
-    cell: float = 10.0,
+    cell: float | None = None,
 ) -> DataFrame:
     """Sub-region of each station under several source datums, side by side.
 

@@ -20,7 +20,7 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     quartiles = settle(exact_quantiles(df, keys, value, QUARTILES), "quartiles")
     v, reach = F.col(value), WHISKER * (F.col("q3") - F.col("q1"))
     inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
-    rows = attach(df.select(*keys, value).dropna(subset=[value]), quartiles, keys, settled=True)
+    rows = attach(df.select(*keys, value).dropna(subset=[value]), quartiles, keys)
     return rows.groupBy(*keys, *QUARTILES).agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
@@ -50,7 +50,7 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 30) ->
         F.least(F.floor((F.col("__v") - F.col("low")) / F.nullif(width, F.lit(0.0))) + 1, F.lit(bins))
     )
     counts = (
-        attach(rows, span, keys, settled=True)
+        attach(rows, span, keys)
         .groupBy(*keys, place.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -339,7 +339,7 @@ def surface_terms(grid: DataFrame, fits: DataFrame, surface: Surface, group: str
                 se[at] = np.sqrt(np.clip(np.einsum("ij,jk,ik->i", b, v, b), 0, None))
             yield batch[columns].assign(fit=fit, se=se)
 
-    joined = attach(grid, fits.select(group, "beta", "covariance", "centre"), [group], "inner", broadcast_rows=2000)
+    joined = attach(grid, fits.select(group, "beta", "covariance", "centre"), [group], "inner")
     schema = T.StructType([*grid.schema, T.StructField("fit", T.DoubleType()), T.StructField("se", T.DoubleType())])
     return joined.mapInPandas(predict, schema)
 
@@ -374,7 +374,7 @@ def posterior_draws(
             yield batch[columns].assign(draws=list(draws))
 
     model = fits.select(group, "beta", "covariance", F.hash(group).alias("group_hash"))
-    joined = attach(grid, model, [group], "inner", broadcast_rows=2000)
+    joined = attach(grid, model, [group], "inner")
     schema = T.StructType([*grid.schema, T.StructField("draws", T.ArrayType(T.DoubleType()))])
     return joined.mapInPandas(predict, schema)
 

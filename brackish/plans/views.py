@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackish.functions.calendar import season, season_year
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,12 +117,6 @@ def placed_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def seasonal_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placed observations with the season and its year."""
-    month, year = F.col("month"), F.col("year")
-    return placed_obs(spark, sf_dir).withColumns({"season": season(month), "season_year": season_year(month, year)})
-
-
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily flows from orders."""
     price, priority, status = F.col("o_totalprice"), F.col("o_orderpriority"), F.col("o_orderstatus")

@@ -48,10 +48,6 @@ def header_names(table: DataFrame, piece: str) -> list[str]:
     return [c for c in table.columns if piece in c]
 
 
-def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-
-
 def survey_observations(
     spark: SparkSession, path: str, sources: Sequence[str] | None = SURVEYS, end_year: int | None = None
 ) -> DataFrame:

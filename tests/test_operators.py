@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brackish.operators import biomass, dedupe, hydro, indices, reshape, scenario, spatial, summaries
+from brackish.operators import biomass, dedupe, hydro, indices, regression, reshape, scenario, spatial, summaries
 from brackish.operators.attach import assert_unique, attach, duplicated_keys, shared_left_join
 from brackish.operators.densify import complete, expand_grid
 from brackish.operators.quantiles import exact_quantiles
@@ -18,12 +18,14 @@ from brackish.session import settle
 # --- joins ----------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("broadcast_rows", [100, 0])
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
-def test_attach_small_and_large_agree(spark, rows, broadcast_rows, how):
+def test_attach_small_and_large_agree(spark, rows, threshold, how):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     left = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (4, "d")], "k int, v string")
     right = settle(spark.createDataFrame([(1, 10), (None, 20), (2, 30)], "k int, w int"), "t")
-    got = rows(attach(left, right, ["k"], how, settled=True, broadcast_rows=broadcast_rows))
+    got = rows(attach(left, right, ["k"], how))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     if how == "left_semi":
         assert got == [(1, "a"), (1, "a"), (2, "b"), (None, "c")]
     else:
@@ -189,7 +191,7 @@ def squares(spark):
     )
 
 
-@pytest.mark.parametrize("cell", [3.0, 10.0, 100.0])
+@pytest.mark.parametrize("cell", [3.0, 10.0, 100.0, None])
 def test_locate(spark, rows, squares, cell):
     points = spark.createDataFrame(
         [(1, 5.0, 5.0), (2, 10.0, 5.0), (3, 50.0, 5.0), (4, 5.0, 26.0), (5, 2.0, 24.0), (6, None, 1.0)], "id int, x double, y double"
@@ -201,10 +203,23 @@ def test_locate(spark, rows, squares, cell):
     assert rows(spatial.assign_subregion(points, squares, cell=cell, keep=["east"]), "id") == [(2,)]
 
 
-def test_many_positions_meet_polygons_row_by_row(spark, rows, squares, monkeypatch):
-    points = spark.createDataFrame([(1, 5.0, 5.0), (2, 10.0, 5.0)], "id int, x double, y double")
-    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 0)
-    assert rows(spatial.assign_subregion(points, squares), "id", "subregion") == [(1, "west"), (2, "east"), (2, "west")]
+def test_cells_follow_from_the_polygons(spark):
+    """Thirty polygons of 20 km have some thousand cells each at most, whatever the unit of their coordinates."""
+    corners = [(0, 0), (20000, 0), (20000, 20000), (0, 20000), (0, 0)]
+    rings = [(f"r{i}", [(float(x + 20000 * i), float(y)) for x, y in corners]) for i in range(30)]
+    polygons = spark.createDataFrame(rings, "subregion string, ring array<struct<x: double, y: double>>")
+    assert spatial.cell_cover(polygons, spatial.cell_size(polygons)).count() <= 30 * 34 * 34
+
+
+def test_strict_standardising(spark, rows):
+    years = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "year int, index double")
+    matrix = spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 7.0)], "year int, taxon double")
+    assert [r.index_s for r in regression.taxa_long(matrix, years).collect()] == [None] * 3
+    whole = regression.taxa_long(matrix, years.where("year < 3"))
+    assert whole.where("year = 3 AND index_s IS NOT NULL").isEmpty()
+    grid = spark.createDataFrame([(4.0,)], "v double")
+    reference = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double")
+    assert rows(biomass.standardise(grid, reference, ["v"]), "v_s") == [(2.0,)]
 
 
 def test_datum_check(spark, rows, squares):
