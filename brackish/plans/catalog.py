@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brackish.functions.calendar import SEASONS, shifted_year
-from brackish.functions.text import level_order
+from brackish.functions.numeric import signed_expm1, signed_log1p
+from brackish.functions.text import level_order, remove_all, split_part
 from brackish.operators import anova, biomass, dedupe, hydro, indices, regression, scenario, spatial, summaries, surface
 from brackish.operators.attach import attach
 from brackish.operators.densify import expand_grid
+from brackish.operators.reshape import union_tagged
 from brackish.plans import views
 from brackish.plans.views import snapped
 from brackish.session import fresh_path, settle
@@ -320,6 +322,56 @@ def draws_long(spark: SparkSession, d: str) -> DataFrame:
     return snapped(rows.groupBy("ibmr", "month", "draw").agg(F.avg(F.col("fit").cast("double")).alias("fit")), 8)
 
 
+# --- helpers on whole tables ------------------------------------------------------------------
+
+
+def signed_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Means on the signed log scale, and back."""
+    off = F.col("secchi") - 50
+    rows = views.obs(spark, d).select("source", "year", signed_log1p(off).alias("log"))
+    means = rows.groupBy("source", "year").agg(F.avg("log").alias("log"))
+    return snapped(means.withColumn("back", signed_expm1(F.col("log"))), 6)
+
+
+def priority_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by the pieces of their priority, and by its text without a letter."""
+    c = F.col("o_orderpriority")
+    rows = views.table(spark, d, "orders").select(
+        split_part(c, "-", 2, 0).alias("rank"), split_part(c, "-", 2, 1).alias("label"), remove_all(c, "E").alias("short")
+    )
+    return rows.groupBy("rank", "label", "short").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tagged_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables of observations under one header, with what each lacks as missing."""
+    timed = views.obs_t(spark, d).select("station", "year", "temperature")
+    whole = views.obs(spark, d).select("station", "year", "temperature", "secchi")
+    rows = union_tagged({"timed": timed, "whole": whole}, "origin")
+    out = rows.groupBy("origin", "year").agg(
+        F.count(F.lit(1)).alias("n"), F.count("secchi").alias("n_secchi"), F.avg("temperature").alias("temperature")
+    )
+    return snapped(out)
+
+
+def filled_days(spark: SparkSession, d: str) -> DataFrame:
+    """Daily smallest value by source, two days of three filled from the day before."""
+    daily = views.obs(spark, d).groupBy("source", "year", "date").agg(F.min("temperature").alias("low"))
+    gaps = daily.withColumn("low", F.when(F.dayofmonth("date") % 3 == 0, F.col("low").cast("double")))
+    return hydro.fill_down(gaps, "low", ["source", "year"], ["date"])
+
+
+def yearly_band(spark: SparkSession, d: str) -> DataFrame:
+    means = views.obs(spark, d).groupBy("source", "year").agg(F.avg("secchi").alias("mean"), F.stddev_samp("secchi").alias("sd"))
+    return snapped(summaries.band(means, "mean", "sd"), 6)
+
+
+def far_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values beyond the whiskers of their source."""
+    value = F.pow(F.col("secchi").cast("double"), F.lit(3.0))
+    rows = views.obs(spark, d).select("source", "station", "date", "datetime", value.alias("cubed"))
+    return snapped(summaries.box_outliers(rows, ["source"], "cubed"), 2)
+
+
 # --- statistics -------------------------------------------------------------------------------
 
 
@@ -532,6 +584,12 @@ QUERIES: dict[str, Query] = {
         missing_results,
         draw_band,
         draws_long,
+        signed_logs,
+        priority_parts,
+        tagged_sources,
+        filled_days,
+        yearly_band,
+        far_values,
         recent_year_labels,
         anova2_cells,
         anova2,

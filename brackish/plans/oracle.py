@@ -692,6 +692,35 @@ steps AS (SELECT region, unnest(range(lo, hi + 1))::INT AS tenths FROM span)""",
             for s in SCENARIOS
         ),
     ),
+    "signed_logs": q(
+        f"""{OBS}, logs AS (
+ SELECT source, year, avg(sign(secchi - 50) * ln(1 + abs(secchi - 50))) AS log FROM obs GROUP BY ALL)""",
+        f"SELECT source, year, {snap('log')} AS log, {snap('sign(log) * (exp(abs(log)) - 1)')} AS back FROM logs",
+    ),
+    "priority_parts": """SELECT split_part(o_orderpriority, '-', 1) AS rank, split_part(o_orderpriority, '-', 2) AS label,
+ replace(o_orderpriority, 'E', '') AS short, count(*) AS n FROM orders GROUP BY ALL""",
+    "tagged_sources": q(
+        f"""{OBS_T}, {OBS}, tagged AS (
+ SELECT 'timed' AS origin, station, year, temperature, NULL AS secchi FROM obs_t
+ UNION ALL SELECT 'whole', station, year, temperature, secchi FROM obs)""",
+        f"""SELECT origin, year, count(*) AS n, count(secchi) AS n_secchi, {snap('avg(temperature)')} AS temperature
+ FROM tagged GROUP BY ALL""",
+    ),
+    "filled_days": q(
+        f"""{OBS}, daily AS (SELECT source, year, date, min(temperature) AS low FROM obs GROUP BY ALL)""",
+        """SELECT source, year, date, last_value(CASE WHEN day(date) % 3 = 0 THEN low END::DOUBLE IGNORE NULLS)
+ OVER (PARTITION BY source, year ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low FROM daily""",
+    ),
+    "yearly_band": q(
+        f"""{OBS}, means AS (SELECT source, year, avg(secchi) AS mean, stddev_samp(secchi) AS sd FROM obs GROUP BY ALL)""",
+        f"""SELECT source, year, {snaps('mean sd')}, {snap('mean - sd')} AS ymin, {snap('mean + sd')} AS ymax FROM means""",
+    ),
+    "far_values": q(
+        f"""{OBS}, cubes AS (SELECT source, station, date, datetime, pow(secchi::DOUBLE, 3.0) AS cubed FROM obs),
+quartiles AS (SELECT source, quantile_cont(cubed, 0.25) AS q1, quantile_cont(cubed, 0.75) AS q3 FROM cubes GROUP BY source)""",
+        f"""SELECT source, station, date, datetime, {snap('cubed', 2)} AS cubed FROM cubes JOIN quartiles USING (source)
+ WHERE NOT cubed BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""",
+    ),
     "draw_band": q(
         f"{DRAWS}, ordered AS (SELECT ibmr, month, region2, tenths, list_sort(draws) AS s FROM draws)",
         f"SELECT ibmr, month, region2, tenths, {', '.join(f'{snap(quantile(chr(115), p), 9)} AS {label}' for label, p in BAND)} FROM ordered",
