@@ -243,14 +243,14 @@ def _restricted_score(xx, xy, yy, n, penalty, log_det_extra):
 
 
 def _choose(xx, xy, yy, n, penalties, extra):
-    """Coordinate search of the ridge exponents on a grid."""
+    """Coordinate search of the ridge exponents on a grid, until the score has settled."""
     logs = np.ones(len(penalties)) * 2.0
 
     def at(logs):
         return _restricted_score(xx, xy, yy, n, sum(10.0**e * p for e, p in zip(logs, penalties)), extra)
 
     best = at(logs)
-    for _ in range(3):
+    while True:  # ends, since every sweep but the last lowers the score on a finite grid
         before = best[0]
         for i in range(len(penalties)):
             for e in LOG_RIDGES:
@@ -260,8 +260,7 @@ def _choose(xx, xy, yy, n, penalties, extra):
                 if candidate[0] < best[0] - 1e-9:
                     best, logs = candidate, trial
         if before - best[0] < 1e-6:
-            break
-    return best, logs
+            return best, logs
 
 
 SURFACE_SCHEMA = (
