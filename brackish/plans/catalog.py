@@ -367,9 +367,9 @@ def yearly_band(spark: SparkSession, d: str) -> DataFrame:
 
 def far_values(spark: SparkSession, d: str) -> DataFrame:
     """Values beyond the whiskers of their source."""
-    value = F.pow(F.col("secchi").cast("double"), F.lit(3.0))
-    rows = views.obs(spark, d).select("source", "station", "date", "datetime", value.alias("cubed"))
-    return snapped(summaries.box_outliers(rows, ["source"], "cubed"), 2)
+    value = F.pow(F.col("secchi").cast("double"), F.lit(5.0))
+    rows = views.obs(spark, d).select("source", "station", "date", "datetime", value.alias("power"))
+    return snapped(summaries.box_outliers(rows, ["source"], "power"), 2)
 
 
 # --- statistics -------------------------------------------------------------------------------

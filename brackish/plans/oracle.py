@@ -716,10 +716,10 @@ steps AS (SELECT region, unnest(range(lo, hi + 1))::INT AS tenths FROM span)""",
         f"""SELECT source, year, {snaps('mean sd')}, {snap('mean - sd')} AS ymin, {snap('mean + sd')} AS ymax FROM means""",
     ),
     "far_values": q(
-        f"""{OBS}, cubes AS (SELECT source, station, date, datetime, pow(secchi::DOUBLE, 3.0) AS cubed FROM obs),
-quartiles AS (SELECT source, quantile_cont(cubed, 0.25) AS q1, quantile_cont(cubed, 0.75) AS q3 FROM cubes GROUP BY source)""",
-        f"""SELECT source, station, date, datetime, {snap('cubed', 2)} AS cubed FROM cubes JOIN quartiles USING (source)
- WHERE NOT cubed BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""",
+        f"""{OBS}, powers AS (SELECT source, station, date, datetime, pow(secchi::DOUBLE, 5.0) AS power FROM obs),
+quartiles AS (SELECT source, quantile_cont(power, 0.25) AS q1, quantile_cont(power, 0.75) AS q3 FROM powers GROUP BY source)""",
+        f"""SELECT source, station, date, datetime, {snap('power', 2)} AS power FROM powers JOIN quartiles USING (source)
+ WHERE NOT power BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""",
     ),
     "draw_band": q(
         f"{DRAWS}, ordered AS (SELECT ibmr, month, region2, tenths, list_sort(draws) AS s FROM draws)",
