@@ -367,8 +367,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, other columns as they are; characters are removed whole or stay."""
     packed_rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    keyed = _keyed(packed_rows, "id", "text").select("row", "key", "body")
-    found = keyed.join(repeated_spans(keyed.select("key", "body"), length), "key", "left").select("row", "body", "spans")
+    keyed = _keyed(packed_rows, "id", "text")
+    spans = repeated_spans(keyed.select("key", "body"), length)
+    body = F.coalesce(F.col(f"row.`{text}`"), F.lit("")).cast("binary")  # taken behind the join, so that text travels once
+    found = keyed.select("row", "key").join(spans, "key", "left").select("row", body.alias("body"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
