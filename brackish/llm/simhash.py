@@ -104,7 +104,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size
 
     Rows that repeat id and text count once. Rows with a null id have no place in the order of ids and stay.
     """
-    found = settle(components(docs, id_col, text, size), "classes")
+    return first_of(docs, components(docs, id_col, text, size), id_col, text)
+
+
+def first_of(docs: DataFrame, classes: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``docs`` with the row of the smallest id of each of ``classes`` (id, component_id)."""
+    found = settle(classes, "classes")
     lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
     repeated = settle(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1"), "repeated")
     rest = docs.join(lost.union(repeated.select(id_col)).distinct(), id_col, "left_anti").select(docs.columns)

@@ -1,0 +1,49 @@
+"""The pipeline's near-copy stage against brute force over all pairs."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from brackish.llm import likeness, simhash
+
+
+def _first_of_each(texts):
+    """Smallest ids of the components of all pairs at a similarity of 0.8 of five-word shingles."""
+    sets = {i: frozenset(simhash.shingles(t, 5)) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for n, b in enumerate(ids):
+        for a in ids[:n]:
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {find(i) for i in ids}
+
+
+def test_stage_drops_near_copies_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    single = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert single.columns == docs.columns and {r.doc_id for r in single.collect()} == _first_of_each(texts)
+
+
+def test_large_group_and_odd_rows(spark):
+    rnd = random.Random(3)
+    base, texts = [f"w{rnd.randrange(5000)}" for _ in range(300)], {}
+    for i in range(70):  # more than a round compares, at similarities on both sides of 0.8 to each other
+        words = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            words[rnd.randrange(300)] = f"x{rnd.randrange(5000)}"
+        texts[500 - i] = " ".join(words)
+    texts |= {1: "", 2: " \n", 3: "four words are here", 4: "Four  words are HERE", 5: "other words are here"}
+    rows = [*texts.items(), (5, texts[5]), (None, texts[3]), (None, None), (6, None)]
+    kept = likeness.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(_first_of_each(texts | {6: ""}))
+    assert sum(r.doc_id is None for r in kept) == 2
+    assert likeness.keep_first(spark.createDataFrame([], "doc_id long, text string")).count() == 0
