@@ -73,13 +73,11 @@ def fit(marks: np.ndarray, found: list[np.ndarray], owner: np.ndarray, other: li
     row, column = tm.positions(found, chosen)
     row2, column2 = tm.positions(other, chosen)
     n, k, y = len(marks), len(chosen), marks.astype(float)
-    weight = np.where(y == 1, (n - y.sum()) / y.sum(), 1.0)  # both classes weigh alike
-    weight /= weight.sum()
 
     def slope(at: np.ndarray) -> np.ndarray:
         w = at[:k]
         plain = np.bincount(row, w[column], n)
-        error = (tm.sigmoid(plain + at[k]) - y) * weight
+        error = (tm.sigmoid(plain + at[k]) - y) / n  # each row weighs alike, so that the score is a probability at the labels' own rate
         g = np.bincount(column, error[row], k) + RIDGE * w
         if len(owner):
             change = (np.bincount(row2, w[column2], len(owner)) - plain[owner]) * (2 * fairness / len(owner))

@@ -120,6 +120,17 @@ def test_toxicity_of_the_tables(spark, odd, empty):
     assert toxicity.score(odd, nothing, ["doc_id"]).where("score > 0.01").count() == 0
 
 
+def test_toxicity_rejects_few_clean_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out("doc_id"))
+    got = toxicity.score(known, toxicity.learn(docs, labels), ["n_chars", "toxic"]).collect()
+    share = lambda rows: sum(r.score >= toxicity.THRESHOLD for r in rows) / len(rows)
+    clean = [r for r in got if r.toxic == 0]
+    assert share(clean) < 0.01 and share([r for r in clean if r.n_chars >= 2000]) < 0.01
+    assert share([r for r in got if r.toxic == 1]) > 0.85
+
+
 def test_ordinal_thresholds_and_grades(spark, odd, empty):
     rnd = random.Random(5)
     marks = np.array([i % 3 for i in range(600)])
