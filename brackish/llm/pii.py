@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Days from 1900-01-01 that a date may be, 270 * 270 of them.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (270, 270)
+#: Days after the 12th of a month that a date in month/day order may be, from the same day on.
+LATE_PARTS = (210, 210)
 
 MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 CARD = r"(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\d-]|\.\d)"
-PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\d-]|\.\d)"
+PHONE = (
+    r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}"  # by the numbering plan
+    r"|(?:(?:\+1[ .-]?|1[ .-])(?:\(\d{3}\) ?|\d{3}[ .-])|\(\d{3}\) ?)\d{3})[ .-]\d{4}(?![\d-]|\.\d)"  # by its form
+)
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"
@@ -79,13 +84,25 @@ def card(value: Column, key: Column) -> Column:
 
 
 def phone(value: Column, key: Column) -> Column:
-    """Area and exchange stay in 200 to 999; country code and signs stay."""
+    """Country code and signs stay. Numbers whose area and exchange are 200 to 999 are permuted among themselves, as are all others."""
     form = r"^(.*?)(\d{3})(\D+)(\d{3})(\D)(\d{4})$"
     part = [F.regexp_extract(value, form, i) for i in range(1, 7)]
-    number = ((part[1].try_cast("long") - 200) * 800 + part[3].try_cast("long") - 200) * 10000 + part[5].try_cast("long")
-    new = permuted(number, 80000, 80000, key, "phone")
-    area, exchange = F.floor(new / 8000000) + 200, F.floor(new / 10000) % 800 + 200
-    return F.concat(part[0], _digits(area, 3), part[2], _digits(exchange, 3), part[4], _digits(new % 10000, 4))
+    area, exchange, line = (part[i].try_cast("long") for i in (1, 3, 5))
+
+    def made(new: Column, area: Column, exchange: Column) -> Column:
+        return F.concat(part[0], _digits(area, 3), part[2], _digits(exchange, 3), part[4], _digits(new % 10000, 4))
+
+    planned = permuted(((area - 200) * 800 + exchange - 200) * 10000 + line, 80000, 80000, key, "phone")
+    low = F.when(area < 200, area * 1000 + exchange).otherwise(200000 + (area - 200) * 200 + exchange)  # 360,000 places
+    other = permuted(low * 10000 + line, 60000, 60000, key, "phone-other")
+    place = F.floor(other / 10000)
+    return F.when((area >= 200) & (exchange >= 200), made(planned, F.floor(planned / 8000000) + 200, F.floor(planned / 10000) % 800 + 200)).otherwise(
+        made(
+            other,
+            F.when(place < 200000, F.floor(place / 1000)).otherwise(F.floor((place - 200000) / 200) + 200),
+            F.when(place < 200000, place % 1000).otherwise((place - 200000) % 200),
+        )
+    )
 
 
 def social(value: Column, key: Column) -> Column:
@@ -110,7 +127,7 @@ def address(value: Column, key: Column) -> Column:
 
 
 def date(value: Column, key: Column) -> Column:
-    """Dates of the days that ``FIRST_DAY`` and ``DAY_PARTS`` give, in their form; no other is touched."""
+    """Dates of the days that ``FIRST_DAY`` and the parts give, in their form; no other is touched. 12/11/1999 is read day first."""
     found, (a, b) = value, DAY_PARTS
     for sign, form in (("-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), (".", "dd.MM.yyyy")):
         part = F.split(value, r"\." if sign == "." else sign)
@@ -120,7 +137,22 @@ def date(value: Column, key: Column) -> Column:
         made = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), form)
         valid = value.contains(sign) & day.between(0, a * b - 1)
         found = F.when(valid, made).otherwise(found)
-    return found
+    return F.when(value.rlike(r"^\d{2}/(?:1[3-9]|2\d|3[01])/"), _month_first(value, key)).otherwise(found)
+
+
+def _month_first(value: Column, key: Column) -> Column:
+    """Dates in month/day order of a day after the 12th, which are no dates in the other order; they are permuted among themselves."""
+    first, (a, b) = F.lit(FIRST_DAY).cast("date"), LATE_PARTS
+    month, day, year = (F.element_at(F.split(value, "/"), i) for i in (1, 2, 3))
+    whole = F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-MM-dd")).cast("date")
+    months = (year.try_cast("int") - int(FIRST_DAY[:4])) * 12 + month.try_cast("int")
+    place = F.datediff(whole, first) - 12 * months  # late days before this one
+    new = permuted(place.cast("long"), a, b, key, "date-month-first").cast("int")
+    start = lambda m: F.add_months(first, m)
+    about = F.floor(new / 18.437).cast("int")
+    back = F.array_max(F.filter(F.sequence(about - 2, about + 2), lambda m: F.datediff(start(m), first) - 12 * m <= new))
+    made = F.date_format(F.date_add(first, new + 12 * (back + 1)), "MM/dd/yyyy")
+    return F.when(place.between(0, a * b - 1), made).otherwise(value)
 
 
 def mail(value: Column, key: Column) -> Column:

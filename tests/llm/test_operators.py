@@ -265,6 +265,32 @@ def test_pseudonyms_keep_their_format(spark, odd, empty):
     assert pii.pseudonymise(empty, "secret").count() == 0
 
 
+def test_phones_of_any_area_and_month_first_dates(spark):
+    forms = ["+1 (017) 555-7713", "+1 (974) 155-3436", "+1 171.555.0199", "1-136-555-0100", "(132) 555-0123", "+1-319-055-5132"]
+    late = [date(1900, 1, 1) + timedelta(n) for n in range(0, 72000, 7)]
+    days = [d.strftime("%m/%d/%Y") for d in late if d.day > 12]
+    plain = ["017-555-7713", "13/13/1999", "02/30/1999", "12/31/1812"]
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate([*forms, *days, *plain])], "doc_id long, text string")
+    new = [r.text for r in pii.pseudonymise(docs, "secret").orderBy("doc_id").collect()]
+    assert new[-len(plain) :] == plain and len(set(new)) == len(new)
+    for old, made in zip(forms, new):
+        assert made != old and re.sub(r"\d", "0", made) == re.sub(r"\d", "0", old) and made[:1] == old[:1]
+        area, exchange, _ = re.fullmatch(r"(?:\+?1[ -])?\(?(\d{3})\D+(\d{3})\D(\d{4})", made).groups()
+        assert int(area) < 200 or int(exchange) < 200
+    for old, made in zip(days, new[len(forms) :]):
+        number = (date(int(old[6:]), int(old[:2]), int(old[3:5])) - date(1900, 1, 1)).days
+        place = number - 12 * ((int(old[6:]) - 1900) * 12 + int(old[:2]))
+        if place < 210 * 210:
+            month, day, year = map(int, made.split("/"))
+            back = (date(year, month, day) - date(1900, 1, 1)).days - 12 * ((year - 1900) * 12 + month)
+            assert day > 12 and back == _feistel(place, 210, 210, "secret", "date-month-first")
+
+
+def test_every_phone_of_the_tables_is_a_value(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text LIKE '%+1 (%'").collect():
+        assert all(re.fullmatch(pii.PHONE, m) for m in re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", r.text))
+
+
 def test_only_values_change_in_the_tables(spark, texts):
     for r in queries.op5_pii(spark, SF).collect():
         old, new = re.split(pii.VALUE, texts[r.doc_id]), re.split(pii.VALUE, r.text)
