@@ -1,16 +1,17 @@
-"""Queries of the ten operators over whole tables, and their SQL twins."""
+"""Queries of the numbered operators over whole tables, and their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cws, html_mincut, ordinal, packing, pii, quality, simhash, suffix_array, toxicity
+from . import bpe, cws, hash_tree, html_mincut, ordinal, packing, pii, quality, simhash, suffix_array, toxicity
 from .common import table
 
 
 #: The key of the registered query; a real corpus passes its own.
 PII_KEY = "public demonstration key"
+SHARDS = 40
 
 
 def vocabulary() -> str:
@@ -83,5 +84,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_html": op6_html, "op7_weighted_samples": op7_weighted_samples, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
+def op11_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty shards by the law `key`: id and number of shards decide."""
+    return hash_tree.sharded(table(spark, sf_dir, "documents"), SHARDS)
+
+
+LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_html": op6_html, "op7_weighted_samples": op7_weighted_samples, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing, "op11_hash_tree": op11_hash_tree}
 LLM_ORACLE: dict[str, str] = {"op1_quality_ledger": quality.ORACLE}
