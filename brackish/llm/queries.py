@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cws, hash_tree, html_mincut, ordinal, packing, pii, quality, simhash, suffix_array, toxicity
+from . import bpe, count_trie, cws, hash_tree, html_mincut, ordinal, packing, pii, quality, simhash, suffix_array, toxicity
 from .common import table
 
 
@@ -89,5 +89,9 @@ def op11_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.sharded(table(spark, sf_dir, "documents"), SHARDS)
 
 
-LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_html": op6_html, "op7_weighted_samples": op7_weighted_samples, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing, "op11_hash_tree": op11_hash_tree}
+def op12_count_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_trie.variants(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_html": op6_html, "op7_weighted_samples": op7_weighted_samples, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing, "op11_hash_tree": op11_hash_tree, "op12_count_trie": op12_count_trie}
 LLM_ORACLE: dict[str, str] = {"op1_quality_ledger": quality.ORACLE}
