@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, count_trie, cws, hash_tree, html_mincut, ordinal, packing, pii, quality, simhash, suffix_array, toxicity
+from . import alignment, bpe, count_trie, cws, hash_tree, html_mincut, ordinal, packing, pii, quality, simhash, suffix_array, toxicity
 from .common import table
 
 
@@ -14,11 +14,11 @@ PII_KEY = "public demonstration key"
 SHARDS = 40
 
 
-def vocabulary() -> str:
-    """The vocabulary file; a cluster ships it with the package of that name."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file; a cluster ships it with the package of that name."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,5 +93,9 @@ def op12_count_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_trie.variants(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_html": op6_html, "op7_weighted_samples": op7_weighted_samples, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing, "op11_hash_tree": op11_hash_tree, "op12_count_trie": op12_count_trie}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_html": op6_html, "op7_weighted_samples": op7_weighted_samples, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing, "op11_hash_tree": op11_hash_tree, "op12_count_trie": op12_count_trie, "op13_alignment": op13_alignment}
 LLM_ORACLE: dict[str, str] = {"op1_quality_ledger": quality.ORACLE}
