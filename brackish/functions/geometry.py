@@ -11,17 +11,62 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Datum:
-    """Ellipsoid and offset to the common centre, in metres."""
+    """Ellipsoid, and how its geocentric axes lie in those of the common datum.
+
+    ``shift`` in metres, ``turn`` in seconds of arc as the rotation of a position, ``stretch`` in millionths: the seven
+    parameters of a similarity; three of them are the shift alone.
+    """
 
     radius: float
     flattening: float
-    shift_east: float = 0.0
-    shift_north: float = 0.0
+    shift: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    turn: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    stretch: float = 0.0
 
 
-# Published ellipsoid constants of the two datums.
+# Published ellipsoids and their published parameters to WGS 84.
 WGS84 = Datum(6378137.0, 1 / 298.257223563)
-NAD83 = Datum(6378137.0, 1 / 298.257222101)
+NAD83 = Datum(
+    6378137.0, 1 / 298.257222101, (-0.991, 1.9072, 0.5129), (-0.02579, -0.00965, -0.01166)
+)  # EPSG 1515, whose rotations are those of the frame
+NAD27 = Datum(6378206.4, 1 / 294.978698214, (-8.0, 159.0, 175.0))  # western states
+
+
+def geocentric(lon: Column, lat: Column, datum: Datum) -> tuple[Column, Column, Column]:
+    """Geocentric metres of a point on the ellipsoid."""
+    phi, lam = F.radians(lat), F.radians(lon)
+    e2 = datum.flattening * (2 - datum.flattening)
+    normal = datum.radius / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
+    flat = normal * F.cos(phi)
+    return flat * F.cos(lam), flat * F.sin(lam), normal * (1 - e2) * F.sin(phi)
+
+
+def similarity(
+    x: Column, y: Column, z: Column, datum: Datum, inverse: bool = False
+) -> tuple[Column, Column, Column]:
+    """Geocentric metres of ``datum`` in the common datum, or back. Rotations are small, so that their products vanish."""
+    sign = -1.0 if inverse else 1.0
+    (dx, dy, dz), scale = datum.shift, 1 + sign * datum.stretch * 1e-6
+    rx, ry, rz = (sign * math.radians(t / 3600) for t in datum.turn)
+    if inverse:
+        x, y, z = x - dx, y - dy, z - dz
+        dx = dy = dz = 0.0
+    return (
+        scale * (x - rz * y + ry * z) + dx,
+        scale * (rz * x + y - rx * z) + dy,
+        scale * (-ry * x + rx * y + z) + dz,
+    )
+
+
+def geodetic(x: Column, y: Column, z: Column, datum: Datum) -> tuple[Column, Column]:
+    """Longitude and latitude of geocentric metres near the ellipsoid, by the closed form of one reduced latitude."""
+    a, b = datum.radius, datum.radius * (1 - datum.flattening)
+    e2, second = (a * a - b * b) / (a * a), (a * a - b * b) / (b * b)
+    flat = F.sqrt(x * x + y * y)
+    reduced = F.atan2(z * a, flat * b)
+    sin, cos = F.sin(reduced), F.cos(reduced)
+    lat = F.atan2(z + second * b * sin * sin * sin, flat - e2 * a * cos * cos * cos)
+    return F.degrees(F.atan2(y, x)), F.degrees(lat)
 
 
 def transverse_mercator(
@@ -48,10 +93,7 @@ def transverse_mercator(
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     scale = 0.9996 * rectifying
-    return (
-        500000.0 + scale * east + datum.shift_east,
-        scale * north + datum.shift_north,
-    )
+    return 500000.0 + scale * east, scale * north
 
 
 def ring_edges(ring: Column) -> Column:

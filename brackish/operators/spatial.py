@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackish.functions.geometry import Datum, edges_near_cell, ring_edges, touches, transverse_mercator
+from brackish.functions.geometry import (
+    NAD83,
+    Datum,
+    edges_near_cell,
+    geocentric,
+    geodetic,
+    ring_edges,
+    similarity,
+    touches,
+    transverse_mercator,
+)
 from brackish.functions.strict import present
 from brackish.operators.attach import attach
 
@@ -80,6 +90,42 @@ def locate(
     return met.select(*points.columns, explode(hits).alias(name))
 
 
+def shift_datum(points: DataFrame, lon: str, lat: str, source: Datum, target: Datum) -> DataFrame:
+    """``points`` with longitude and latitude taken from one datum to another, through geocentric metres.
+
+    Each step is a projection of its own, so that no step's expression is repeated in the next.
+    """
+    if source == target:
+        return points
+    steps = (
+        lambda x, y, z: geocentric(x, y, source),
+        lambda x, y, z: similarity(x, y, z, source),
+        lambda x, y, z: similarity(x, y, z, target, inverse=True),
+    )
+    at, names = (F.col(lon), F.col(lat), F.lit(0.0)), ("__cx", "__cy", "__cz")
+    for step in steps:
+        points = points.withColumns(dict(zip(names, step(*at))))
+        at = tuple(F.col(n) for n in names)
+    new_lon, new_lat = geodetic(*at, target)
+    return points.withColumns({lon: new_lon, lat: new_lat}).drop(*names)
+
+
+def with_grid_position(
+    points: DataFrame,
+    lon: str,
+    lat: str,
+    datum: Datum,
+    grid: Datum = NAD83,
+    zone: int = 10,
+    names: tuple[str, str] = ("east", "north"),
+) -> DataFrame:
+    """``points`` with easting and northing in a zone of the grid's datum; longitude and latitude stay in their own."""
+    held = points.withColumns({"__lon": F.col(lon), "__lat": F.col(lat)})
+    moved = shift_datum(held, "__lon", "__lat", datum, grid)
+    east, north = transverse_mercator(F.col("__lon"), F.col("__lat"), grid, zone)
+    return moved.withColumns(dict(zip(names, (east, north)))).drop("__lon", "__lat")
+
+
 def assign_subregion(
     rows: DataFrame,
     polygons: DataFrame,
@@ -90,11 +136,13 @@ def assign_subregion(
     datum: Datum | None = None,
     keep: Sequence[str] | None = None,
     positions: DataFrame | None = None,
+    grid: Datum = NAD83,
+    zone: int = 10,
 ) -> DataFrame:
     """Rows with the sub-region they lie in; rows outside all polygons are dropped.
 
-    With a datum, x and y are longitude and latitude and are projected first. ``keep``
-    limits the polygons to named sub-regions.
+    With a datum, x and y are longitude and latitude in it, and are first taken to the polygons' grid: its datum, then its
+    zone. ``keep`` limits the polygons to named sub-regions.
 
     Stations are visited again and again, so the polygons are met once per position and
     the answer is joined to the rows. ``positions`` is a table cheaper to read than
@@ -106,8 +154,7 @@ def assign_subregion(
     def meet(points: DataFrame) -> DataFrame:
         if datum is None:
             return locate(points, polygons, x, y, name, cell, how="inner")
-        east, north = transverse_mercator(F.col(x), F.col(y), datum)
-        projected = points.withColumns({"__east": east, "__north": north})
+        projected = with_grid_position(points, x, y, datum, grid, zone, ("__east", "__north"))
         return locate(projected, polygons, "__east", "__north", name, cell, how="inner").drop("__east", "__north")
 
     source = rows if positions is None else positions
@@ -117,19 +164,20 @@ def assign_subregion(
 def datum_check(
     stations: DataFrame,
     polygons: DataFrame,
-    moved: dict[str, tuple],
+    datums: Mapping[str, Datum],
+    lon: str = "lon",
+    lat: str = "lat",
     name: str = "subregion",
     cell: float | None = None,
+    grid: Datum = NAD83,
+    zone: int = 10,
 ) -> DataFrame:
-    """Sub-region of each station under several source datums, side by side.
-
-    ``moved`` gives the x and y expression for each datum.
-    """
+    """Sub-region of each station if its longitude and latitude were in each of ``datums``, side by side."""
     out = stations
-    for label, (x, y) in moved.items():
-        placed = out.withColumns({"__x": x, "__y": y})
-        out = locate(placed, polygons, "__x", "__y", name, cell).withColumnRenamed(name, f"{name}_{label}")
-        out = out.drop("__x", "__y")
+    for label, datum in datums.items():
+        placed = with_grid_position(out, lon, lat, datum, grid, zone, ("__east", "__north"))
+        out = locate(placed, polygons, "__east", "__north", name, cell).withColumnRenamed(name, f"{name}_{label}")
+        out = out.drop("__east", "__north")
     return out
 
 

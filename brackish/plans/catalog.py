@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brackish.functions.calendar import SEASONS, shifted_year
+from brackish.functions.geometry import NAD27, NAD83, WGS84
 from brackish.functions.numeric import signed_expm1, signed_log1p
 from brackish.functions.text import level_order, remove_all, split_part
 from brackish.operators import anova, biomass, dedupe, hydro, indices, regression, scenario, spatial, summaries, surface
@@ -144,14 +145,40 @@ def assign_subregion(spark: SparkSession, d: str) -> DataFrame:
     return spatial.assign_subregion(views.obs_t(spark, d), views.polygons(spark, d)).select("obs_id", "subregion")
 
 
+DATUMS = {"wgs84": WGS84, "nad83": NAD83, "nad27": NAD27}
+
+
+def assign_subregion_projected(spark: SparkSession, d: str) -> DataFrame:
+    """Sub-regions of observations given by longitude and latitude, the polygons in metres of another datum."""
+    rows = views.on_earth(views.obs_t(spark, d))
+    placed = spatial.assign_subregion(rows, views.grid_polygons(spark, d), "lon", "lat", datum=WGS84)
+    return placed.select("obs_id", "subregion")
+
+
+def seasonal_index_projected(spark: SparkSession, d: str) -> DataFrame:
+    """The relaxed index of one variable from longitude and latitude in an older datum."""
+    index = indices.seasonal_index(
+        views.on_earth(views.obs(spark, d)), ["salinity"], views.grid_polygons(spark, d), _eligibility(spark, d),
+        "all", "season", "relaxed", place=("lon", "lat"), datum=NAD27,
+    )
+    return snapped(index)
+
+
 def datum_check(spark: SparkSession, d: str) -> DataFrame:
-    stations = spatial.station_counts(views.obs(spark, d), ["station", "x", "y"])
-    x, y = F.col("x"), F.col("y")
-    return spatial.datum_check(stations, views.polygons(spark, d), {"a": (x, y), "b": (x + 0.7, y - 0.4)})
+    stations = spatial.station_counts(views.on_earth(views.obs(spark, d)), ["station", "lon", "lat"])
+    return spatial.datum_check(stations, views.grid_polygons(spark, d), DATUMS).drop("lon", "lat")
 
 
 def datum_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.unmatched(datum_check(spark, d), ["subregion_a", "subregion_b"])
+    return spatial.unmatched(datum_check(spark, d), [f"subregion_{n}" for n in DATUMS])
+
+
+def grid_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Easting and northing of each station under each datum, in centimetres."""
+    out = views.on_earth(views.obs(spark, d)).select("station", "lon", "lat").distinct()
+    for label, datum in DATUMS.items():
+        out = spatial.with_grid_position(out, "lon", "lat", datum, names=(f"east_{label}", f"north_{label}"))
+    return snapped(out.drop("lon", "lat"), 2)
 
 
 # --- flows --------------------------------------------------------------------------------
@@ -562,8 +589,11 @@ QUERIES: dict[str, Query] = {
         effort_min,
         effort_vs_index,
         assign_subregion,
+        assign_subregion_projected,
+        seasonal_index_projected,
         datum_check,
         datum_unmatched,
+        grid_positions,
         water_year_flow,
         month_starts,
         drought_series,

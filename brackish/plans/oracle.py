@@ -57,15 +57,72 @@ edges AS (
   JOIN lattice q ON q.i = n_nationkey % 5 + bi AND q.j = n_nationkey // 5 + bj)"""
 
 
+INSIDE = """sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1
+   THEN 1 ELSE 0 END) % 2 = 1
+  OR bool_or((x - x1) * (y2 - y1) = (y - y1) * (x2 - x1) AND x BETWEEN least(x1, x2) AND greatest(x1, x2)
+   AND y BETWEEN least(y1, y2) AND greatest(y1, y2))"""
+
+
 def located(points: str, name: str = "located") -> str:
     """Distinct points of a table with the polygons they touch."""
     return f"""{name} AS (
  SELECT x, y, subregion FROM (SELECT DISTINCT x, y FROM {points}) p CROSS JOIN edges
  GROUP BY x, y, subregion
- HAVING sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1
-   THEN 1 ELSE 0 END) % 2 = 1
-  OR bool_or((x - x1) * (y2 - y1) = (y - y1) * (x2 - x1) AND x BETWEEN least(x1, x2) AND greatest(x1, x2)
-   AND y BETWEEN least(y1, y2) AND greatest(y1, y2)))"""
+ HAVING {INSIDE})"""
+
+
+GRID_EDGES = """grid_edges AS (
+ SELECT subregion, x1 * 100 + 587900 AS x1, y1 * 100 + 4206400 AS y1, x2 * 100 + 587900 AS x2, y2 * 100 + 4206400 AS y2
+ FROM edges)"""
+
+# Radius, 1 / flattening, shift in metres and turn in seconds of arc to the common datum.
+DATUM = {
+    "wgs84": (6378137.0, 298.257223563, (0, 0, 0), (0, 0, 0)),
+    "nad83": (6378137.0, 298.257222101, (-0.991, 1.9072, 0.5129), (-0.02579, -0.00965, -0.01166)),
+    "nad27": (6378206.4, 294.978698214, (-8, 159, 175), (0, 0, 0)),
+}
+
+
+def on_grid(points: str, datum: str, grid: str = "nad83") -> str:
+    """The CTE ``grid_<datum>``: easting and northing of each point (x, y), taken as longitude and latitude in a datum."""
+    radius, inverse, (tx, ty, tz), (rx, ry, rz) = DATUM[datum]
+    to_radius, to_inverse, (ux, uy, uz), (sx, sy, sz) = DATUM[grid]
+    f, g = 1 / inverse, 1 / to_inverse
+    e2, to_e2 = f * (2 - f), g * (2 - g)
+    n = g / (2 - g)
+    minor = to_radius * (1 - g)
+    arc = "pi() / 648000"
+    moved = f"""SELECT x, y, degrees(atan2(cy, cx)) AS lon,
+  degrees(atan2(cz + {to_e2 / (1 - to_e2)!r} * {minor!r} * pow(sin(theta), 3), p - {to_e2!r} * {to_radius!r} * pow(cos(theta), 3))) AS lat
+ FROM (SELECT *, sqrt(cx * cx + cy * cy) AS p, atan2(cz * {to_radius!r}, sqrt(cx * cx + cy * cy) * {minor!r}) AS theta FROM (
+  SELECT x, y, wx + ({sz}) * {arc} * wy - ({sy}) * {arc} * wz AS cx, -({sz}) * {arc} * wx + wy + ({sx}) * {arc} * wz AS cy,
+   ({sy}) * {arc} * wx - ({sx}) * {arc} * wy + wz AS cz FROM (
+   SELECT x, y, cx - ({rz}) * {arc} * cy + ({ry}) * {arc} * cz + ({tx}) - ({ux}) AS wx,
+    ({rz}) * {arc} * cx + cy - ({rx}) * {arc} * cz + ({ty}) - ({uy}) AS wy,
+    -({ry}) * {arc} * cx + ({rx}) * {arc} * cy + cz + ({tz}) - ({uz}) AS wz FROM (
+    SELECT x, y, v * cos(radians(lat)) * cos(radians(lon)) AS cx, v * cos(radians(lat)) * sin(radians(lon)) AS cy,
+     v * {1 - e2!r} * sin(radians(lat)) AS cz
+    FROM (SELECT *, {radius!r} / sqrt(1 - {e2!r} * pow(sin(radians(lat)), 2)) AS v FROM placed_points)))))"""
+    if datum == grid:
+        moved = "SELECT * FROM placed_points"
+    series = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    east = " + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(series, 1))
+    north = " + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(series, 1))
+    scale = 0.9996 * to_radius / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    e = to_e2**0.5
+    return f"""grid_{datum} AS (
+ WITH placed_points AS (SELECT DISTINCT x, y, -122.0::DOUBLE + x * 0.00114 AS lon, 38.0::DOUBLE + y * 0.0009 AS lat FROM {points}),
+ moved AS ({moved}),
+ conformal AS (SELECT *, sinh(atanh(sin(radians(lat))) - {e!r} * atanh({e!r} * sin(radians(lat)))) AS t, radians(lon + 123) AS lam FROM moved),
+ angles AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM conformal)
+ SELECT x, y, 500000 + {scale!r} * (eta + {east}) AS east, {scale!r} * (xi + {north}) AS north FROM angles)"""
+
+
+def located_on_grid(datum: str, name: str) -> str:
+    """Points of ``grid_<datum>`` with the polygons they touch there."""
+    return f"""{name} AS (
+ SELECT px AS x, py AS y, subregion FROM (SELECT x AS px, y AS py, east AS x, north AS y FROM grid_{datum}) CROSS JOIN grid_edges
+ GROUP BY px, py, subregion HAVING {INSIDE})"""
 
 
 def noon(rows: str, name: str = "chosen") -> str:
@@ -80,12 +137,12 @@ def noon(rows: str, name: str = "chosen") -> str:
   FROM timed) WHERE place = 1)"""
 
 
-def usable(variables: str) -> str:
-    """Usable observations with season; the CTE ``usable``."""
+def usable(variables: str, meet: str = located("chosen")) -> str:
+    """Usable observations with season; the CTE ``usable``. ``meet`` makes ``located`` from the chosen rows."""
     return f"""{OBS}, {EDGES}, long AS (
  SELECT source, source || ' ' || station AS station, datetime, date, month, year, x, y, variable, value
  FROM obs UNPIVOT (value FOR variable IN ({variables}))),
-{noon("long")}, {located("chosen")},
+{noon("long")}, {meet},
 inside AS (SELECT variable, subregion, month, year, value FROM chosen JOIN located USING (x, y)),
 spread AS (SELECT variable, subregion, avg(value) AS m, nullif(stddev_samp(value), 0) AS s FROM inside GROUP BY ALL),
 usable AS (
@@ -501,13 +558,11 @@ fenced AS (
  FROM seasonal_rows r JOIN quartiles USING (season, region))"""
 
 
-DATUMS = f"""{OBS}, {EDGES}, stations AS (SELECT station, x, y, count(*) AS n FROM obs GROUP BY ALL),
-{located("stations", "at_a")},
-moved AS (SELECT station, x + 0.7 AS x, y - 0.4 AS y FROM stations), {located("moved", "at_b")},
+DATUMS = f"""{OBS}, {EDGES}, {GRID_EDGES}, stations AS (SELECT station, x, y, count(*) AS n FROM obs GROUP BY ALL),
+{", ".join(f"{on_grid('stations', d)}, {located_on_grid(d, 'at_' + d)}" for d in DATUM)},
 datums AS (
- SELECT s.station, s.x, s.y, s.n, a.subregion AS subregion_a, b.subregion AS subregion_b
- FROM stations s JOIN moved m USING (station) LEFT JOIN at_a a ON a.x = s.x AND a.y = s.y
- LEFT JOIN at_b b ON b.x = m.x AND b.y = m.y)"""
+ SELECT station, n, a.subregion AS subregion_wgs84, b.subregion AS subregion_nad83, c.subregion AS subregion_nad27
+ FROM stations LEFT JOIN at_wgs84 a USING (x, y) LEFT JOIN at_nad83 b USING (x, y) LEFT JOIN at_nad27 c USING (x, y))"""
 
 
 def renamed(ctes: str, prefix: str, names: str) -> str:
@@ -610,8 +665,26 @@ indexed AS (SELECT variable, year, season FROM index WHERE value IS NOT NULL)"""
     "assign_subregion": q(
         f"{OBS_T}, {EDGES}, {located('obs_t')}", "SELECT obs_id, subregion FROM obs_t JOIN located USING (x, y)"
     ),
+    "assign_subregion_projected": q(
+        f"{OBS_T}, {EDGES}, {GRID_EDGES}, {on_grid('obs_t', 'wgs84')}, {located_on_grid('wgs84', 'located')}",
+        "SELECT obs_id, subregion FROM obs_t JOIN located USING (x, y)",
+    ),
+    "seasonal_index_projected": q(
+        f"""{usable("salinity", f"{GRID_EDGES}, {on_grid('chosen', 'nad27')}, {located_on_grid('nad27', 'located')}")}, {ELIGIBILITY},
+eligible AS (SELECT u.*, e.region FROM usable u JOIN eligibility e USING (subregion, season) WHERE long_term),
+{monthly("eligible", "region")}, {seasonal("region", "relaxed")}""",
+        f"""SELECT variable, season, year, {snap(strict("value"))} AS value, sum(n)::BIGINT AS n
+ FROM seasonal WHERE year BETWEEN 1975 AND 2021 GROUP BY variable, season, year""",
+    ),
     "datum_check": q(DATUMS, "SELECT * FROM datums"),
-    "datum_unmatched": q(DATUMS, "SELECT * FROM datums WHERE subregion_a IS NULL OR subregion_b IS NULL"),
+    "datum_unmatched": q(
+        DATUMS, "SELECT * FROM datums WHERE subregion_wgs84 IS NULL OR subregion_nad83 IS NULL OR subregion_nad27 IS NULL"
+    ),
+    "grid_positions": q(
+        f"{OBS}, {', '.join(on_grid('obs', d) for d in DATUM)}",
+        f"""SELECT station, {", ".join(f"{snap(f'{d}.{axis}', 2)} AS {axis}_{short}" for short in DATUM for d, axis in ((f"grid_{short}", "east"), (f"grid_{short}", "north")))}
+ FROM (SELECT DISTINCT station, x, y FROM obs) JOIN grid_wgs84 USING (x, y) JOIN grid_nad83 USING (x, y) JOIN grid_nad27 USING (x, y)""",
+    ),
     "water_year_flow": q(
         WATER,
         f"SELECT date, {snaps(' '.join(FLOWS), 1)}, wy, wdoy, {snaps(' '.join(f'{f}_cum {f}_sum' for f in FLOWS), 1)} FROM water",

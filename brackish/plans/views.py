@@ -87,6 +87,26 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("subregion"), ring.alias("ring"))
 
 
+#: A unit of the patchwork as degrees and as metres of the zone's grid, and where its corner lies.
+DEGREES, METRES = (0.00114, 0.0009), 100.0
+LON_LAT, EAST_NORTH = (-122.0, 38.0), (587900.0, 4206400.0)
+
+
+def on_earth(rows: DataFrame) -> DataFrame:
+    """Rows with longitude and latitude in place of x and y."""
+    places = {n: F.lit(LON_LAT[i]) + F.col(c) * DEGREES[i] for i, (n, c) in enumerate((("lon", "x"), ("lat", "y")))}
+    return rows.withColumns(places).drop("x", "y")
+
+
+def grid_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons in metres of the grid."""
+    metres = F.transform(
+        "ring",
+        lambda p: F.struct((p["x"] * METRES + EAST_NORTH[0]).alias("x"), (p["y"] * METRES + EAST_NORTH[1]).alias("y")),
+    )
+    return polygons(spark, sf_dir).withColumn("ring", metres)
+
+
 def region_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(

@@ -135,6 +135,26 @@ def test_transverse_mercator(spark):
     assert project(-121.5, 38.0, geometry.NAD83)[0] == pytest.approx(east[0], abs=0.01)
 
 
+def test_datum_shift(spark):
+    def row(columns):
+        return tuple(spark.range(1).select(*columns).first())
+
+    # Published worked examples: geocentric metres of a point, and a similarity of seven parameters.
+    lat, lon = 53 + 48 / 60 + 33.82 / 3600, 2 + 7 / 60 + 46.38 / 3600
+    level = row(geometry.geocentric(F.lit(lon), F.lit(lat), geometry.WGS84))
+    up = (math.cos(math.radians(lat)) * math.cos(math.radians(lon)), math.cos(math.radians(lat)) * math.sin(math.radians(lon)), math.sin(math.radians(lat)))
+    assert [x + 73 * u for x, u in zip(level, up)] == pytest.approx([3771793.968, 140253.342, 5124304.349], abs=1e-3)
+    wgs72 = geometry.Datum(6378135.0, 1 / 298.26, (0.0, 0.0, 4.5), (0.0, 0.0, 0.554), 0.219)
+    point = [F.lit(v) for v in (3657660.66, 255768.55, 5201382.11)]
+    there = row(geometry.similarity(*point, wgs72))
+    assert there == pytest.approx((3657660.78, 255778.43, 5201387.75), abs=0.01)
+    back = row(geometry.similarity(*[F.lit(v) for v in there], wgs72, inverse=True))
+    assert back == pytest.approx((3657660.66, 255768.55, 5201382.11), abs=0.05)
+    for datum in (geometry.WGS84, geometry.NAD83, geometry.NAD27):
+        xyz = geometry.geocentric(F.lit(-121.7), F.lit(38.2), datum)
+        assert row(geometry.geodetic(*xyz, datum)) == pytest.approx((-121.7, 38.2), abs=1e-10)
+
+
 def test_tails():
     assert laws.f_tail(30.776834890730576, 2, 217) == pytest.approx(1.7e-12, rel=0.05)
     assert laws.t_tail(2.0, 10) == pytest.approx(0.036694017, abs=1e-8)

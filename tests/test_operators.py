@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brackish.functions.geometry import NAD27, NAD83, WGS84
 from brackish.operators import biomass, dedupe, hydro, indices, regression, reshape, scenario, spatial, summaries
 from brackish.operators.attach import assert_unique, attach, duplicated_keys, shared_left_join
 from brackish.operators.densify import complete, expand_grid
@@ -222,11 +223,25 @@ def test_strict_standardising(spark, rows):
     assert rows(biomass.standardise(grid, reference, ["v"]), "v_s") == [(2.0,)]
 
 
-def test_datum_check(spark, rows, squares):
-    stations = spark.createDataFrame([("a", 9.9, 5.0)], "station string, x double, y double")
-    x, y = F.col("x"), F.col("y")
-    got = spatial.datum_check(stations, squares, {"a": (x, y), "b": (x + 0.2, y)})
-    assert rows(got, "subregion_a", "subregion_b") == [("west", "east")]
+def test_datum_check(spark, rows):
+    # A position in the older datum lies some 90 m further west here: a station east of a border by less than that changes sides.
+    stations = spark.createDataFrame([("a", -122.0, 38.0), ("far", -100.0, 38.0), ("none", None, 38.0)], "station string, lon double, lat double")
+    named = [("here", WGS84), ("old", NAD27), ("own", NAD83)]
+    place = stations.where("station = 'a'")
+    at = {n: spatial.with_grid_position(place, "lon", "lat", d).select("east", "north").first() for n, d in named}
+    assert 80 < at["here"].east - at["old"].east < 100 and abs(at["old"].north - at["here"].north) < 30
+    assert 0.5 < math.dist(at["own"], at["here"]) < 2.5
+    border = (at["old"].east + at["here"].east) / 2
+    box = lambda left, right: [(x, y) for x, y in ((left, 4e6), (right, 4e6), (right, 5e6), (left, 5e6))]
+    squares = spark.createDataFrame(
+        [("west", box(border - 1e4, border)), ("east", box(border, border + 1e4))], "subregion string, ring array<struct<x:double,y:double>>"
+    )
+    got = rows(spatial.datum_check(stations, squares, dict(named)), "station", "subregion_here", "subregion_old", "subregion_own")
+    side = lambda e: "west" if e < border else "east"
+    assert got == [("a", *(side(at[n].east) for n, _ in named)), ("far", None, None, None), ("none", None, None, None)]
+    assert got[0][1] != got[0][2]
+    kept = spatial.assign_subregion(stations, squares, "lon", "lat", datum=NAD27)
+    assert rows(kept, "station", "subregion") == [("a", got[0][2])] and kept.first().lon == -122.0
 
 
 # --- indices --------------------------------------------------------------------------
