@@ -27,8 +27,8 @@ class Datum:
 # Published ellipsoids and their published parameters to WGS 84.
 WGS84 = Datum(6378137.0, 1 / 298.257223563)
 NAD83 = Datum(
-    6378137.0, 1 / 298.257222101, (-0.991, 1.9072, 0.5129), (-0.02579, -0.00965, -0.01166)
-)  # EPSG 1515, whose rotations are those of the frame
+    6378137.0, 1 / 298.257222101, (-0.991, 1.9072, 0.5129), (0.02579, 0.00965, 0.01166)
+)  # EPSG 1515, as rotations of a position
 NAD27 = Datum(6378206.4, 1 / 294.978698214, (-8.0, 159.0, 175.0))  # western states
 
 

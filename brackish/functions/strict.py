@@ -86,3 +86,15 @@ def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         df = df.filter(F.col(c).isNotNull())
     return df.dropna(subset=list(columns))
+
+
+def checked(condition: Column, value: Column, message: str) -> Column:
+    """``value`` where the condition holds; the query fails with ``message`` where it does not."""
+    return F.when(condition, value).otherwise(F.raise_error(F.lit(message)))
+
+
+def only_value(c: ColumnLike, what: str = "a group") -> Column:
+    """The one value that a group has, missing ones aside; the query fails if there are two. A map-side aggregate."""
+    c = _col(c)
+    nothing = F.count(c) == 0
+    return checked(nothing | F.min(c).eqNullSafe(F.max(c)), F.max(c), f"more than one value: {what}")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brackish.functions.strict import checked
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on same-named keys with missing matching missing, keys kept once."""
     held = {k: f"__{k}" for k in keys}
@@ -45,8 +48,17 @@ def duplicated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def assert_unique(df: DataFrame, keys: Sequence[str], message: str) -> DataFrame:
-    """Fail with ``message`` when a key repeats; otherwise hand the table on."""
-    if not duplicated_keys(df, keys).isEmpty():
-        raise ValueError(message)
-    return df
+def expect_unique(df: DataFrame, keys: Sequence[str], message: str) -> DataFrame:
+    """``df``, which has one row for each key; the query that reads it fails with ``message`` where a key repeats.
+
+    The guard is an aggregate on the way of the rows, combined map-side, so no job runs just to look.
+    """
+    keys = list(keys)
+    others = [F.first(c).alias(c) for c in df.columns if c not in keys]
+    held = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *others)
+    return held.where(checked(F.col("__n") == 1, F.lit(True), message)).select(*df.columns)
+
+
+def expect_rows(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """``df``; the query that reads it fails with ``message`` at a row where the condition does not hold."""
+    return df.where(checked(F.coalesce(condition, F.lit(False)), F.lit(True), message))

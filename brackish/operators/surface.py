@@ -1,11 +1,13 @@
 """Penalised spline surfaces with random intercepts, from summed cross-products.
 
-A model per group: biomass (log1p) on a smooth surface of salinity (cubic) and day of year
-(cyclic), plus random intercepts for years and stations. Rows are only used to sum
-cross-products, batch by batch, in the tasks that read them. Stations may be many, so their
-intercepts are eliminated station by station, for a few candidate variances at once, and
-summed as well. What is left per group is a small system: the 20 surface weights and the
-calendar years. Smoothing is chosen by restricted likelihood over a grid.
+A model per group (any number of key columns): biomass (log1p) on a smooth surface of salinity (cubic) and day of year
+(cyclic), plus random intercepts for years and stations. A first pass places each group's knots at quantiles of its distinct
+values and lists its years; a second one sums cross-products, batch by batch, in the tasks that read the rows, for the
+group and for each of its stations at once. Stations may be many, so their intercepts are eliminated station by station,
+for a few candidate variances at once, and summed as well. What is left per group is a small system: the 20 surface
+weights and the calendar years. Smoothing is chosen by restricted likelihood over a grid.
+
+A fit carries its knots and years, so predictions need nothing but the fits.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brackish.operators.attach import attach
+from brackish.operators.quantiles import exact_quantiles
 from brackish.session import settle
 
 # Knots per direction, number and seed of posterior draws.
@@ -54,19 +57,29 @@ def _second_derivatives(h: np.ndarray, cyclic: bool) -> tuple[np.ndarray, np.nda
 
 @dataclass(frozen=True)
 class Spline:
-    """Cubic spline through its values at the knots; natural, or joined at the ends."""
+    """Cubic spline through its values at the knots ``at``; natural, or joined at the ends."""
 
-    low: float
-    high: float
-    knots: int = KNOTS
+    at: tuple[float, ...]
     cyclic: bool = False
 
+    @classmethod
+    def even(cls, low: float, high: float, knots: int = KNOTS, cyclic: bool = False) -> Spline:
+        return cls(tuple(np.linspace(low, high, knots).tolist()), cyclic)
+
+    @property
+    def low(self) -> float:
+        return self.at[0]
+
+    @property
+    def high(self) -> float:
+        return self.at[-1]
+
     @property
     def size(self) -> int:
-        return self.knots - 1 if self.cyclic else self.knots
+        return len(self.at) - 1 if self.cyclic else len(self.at)
 
     def _parts(self):
-        at = np.linspace(self.low, self.high, self.knots)
+        at = np.array(self.at)
         h = np.diff(at)
         return at, h, *_second_derivatives(h, self.cyclic)
 
@@ -103,12 +116,18 @@ class Spline:
 
 @dataclass(frozen=True)
 class Surface:
-    """What the model of every group shares."""
+    """The bases of a group's model and its years."""
 
     salinity: Spline
-    day: Spline = Spline(0.0, 366.0, KNOTS, cyclic=True)
+    day: Spline
     years: tuple[int, ...] = ()
 
+    @classmethod
+    def of(cls, row) -> Surface:
+        """From the columns sal_knots, day_knots and years of a fit or a design."""
+        knots = [tuple(float(v) for v in row[c]) for c in ("sal_knots", "day_knots")]
+        return cls(Spline(knots[0]), Spline(knots[1], cyclic=True), tuple(int(y) for y in row["years"]))
+
     @property
     def terms(self) -> int:
         return self.salinity.size * self.day.size
@@ -139,6 +158,38 @@ class Surface:
         return [*out, years]
 
 
+def _struct(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
+
+
+# --- knots ----------------------------------------------------------------------------
+
+
+def place_knots(rows: DataFrame, keys: Sequence[str], column: str, knots: int = KNOTS, name: str = "knots") -> DataFrame:
+    """(keys, name): knots of each group at even quantiles of its distinct values, the ends at the smallest and largest.
+
+    A group with fewer distinct values than knots gets even ones over its range, or over a unit range if it has but one.
+    """
+    keys = list(keys)
+    values = settle(rows.select(*keys, F.col(column).cast("double").alias("__x")).dropna(subset=["__x"]).distinct(), "values")
+    quantiles = exact_quantiles(values, keys, "__x", {f"__k{i}": i / (knots - 1) for i in range(knots)})
+    count = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    low, width = F.col("__k0"), F.col(f"__k{knots - 1}") - F.col("__k0")
+    width = F.when(width > 0, width).otherwise(1.0)
+    even = F.array(*[low + width * (i / (knots - 1)) for i in range(knots)])
+    placed = F.when(F.col("__n") >= knots, F.array(*[F.col(f"__k{i}") for i in range(knots)])).otherwise(even)
+    return attach(quantiles, count, keys, "inner").select(*keys, placed.alias(name))
+
+
+def surface_design(rows: DataFrame, keys: Sequence[str], x: tuple[str, str], knots: int = KNOTS) -> DataFrame:
+    """(keys, sal_knots, day_knots, years) of each group; the years of a calendar are few."""
+    keys = list(keys)
+    years = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("year")).alias("years"))
+    for column, name in zip(x, ("sal_knots", "day_knots")):
+        years = attach(years, place_knots(rows, keys, column, knots, name), keys, "inner")
+    return years.select(*keys, "sal_knots", "day_knots", "years")
+
+
 # --- sums over rows -------------------------------------------------------------------
 
 
@@ -151,73 +202,81 @@ def _sum_arrays(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return sums.groupBy(*keys).agg(F.transform(ordered, lambda e: e["__v"]).alias(column))
 
 
-def cross_products(rows: DataFrame, surface: Surface, group: str = "ibmr") -> DataFrame:
-    """Per group: upper cross-product of design and response, as one flat array.
+def _fields(df: DataFrame, columns: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(c, df.schema[c].dataType) for c in columns]
+
+
+def batch_groups(batch: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Key and row numbers of each group in a batch, missing keys among them."""
+    codes = batch.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+    for code in np.unique(codes):
+        at = np.flatnonzero(codes == code)
+        yield tuple(None if pd.isna(v) else v for v in batch[list(keys)].iloc[at[0]]), at
+
+
+GROUP, STATION = 0, 1
+
 
-    Each task sums its batches; Spark adds the few partial sums up.
+def surface_sums(rows: DataFrame, design: DataFrame, keys: Sequence[str], x: tuple[str, str], y: str) -> DataFrame:
+    """(keys, kind, station, sums) in one pass: of each group the cross-product of design, response and one, as one flat
+    array, and of each of its stations their column sums.
+
+    Each task sums its batches; Spark adds the partial sums up.
     """
+    keys = list(keys)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[tuple, np.ndarray] = {}
+        surfaces: dict[tuple, Surface] = {}
+
+        def table(found, kind, station, sums):
+            return pd.DataFrame(found, columns=keys, dtype=object).assign(kind=kind, station=station, sums=sums)
+
         for batch in batches:
-            for key, part in batch.groupby("g", dropna=False):
-                x = surface.design(part["salsurf"].to_numpy(), part["doy"].to_numpy(), part["year"].to_numpy())
-                xy = np.hstack([x, part["y"].to_numpy()[:, None], np.ones((len(part), 1))])
-                held[key] = held.get(key, 0) + xy.T @ xy
+            for key, at in batch_groups(batch, keys):
+                part = batch.iloc[at]
+                if key not in surfaces:
+                    surfaces[key] = Surface.of(part.iloc[0])
+                bases = surfaces[key].design(part["__x0"].to_numpy(), part["__x1"].to_numpy(), part["year"].to_numpy())
+                full = np.hstack([bases, part["__y"].to_numpy()[:, None], np.ones((len(part), 1))])
+                held[key] = held.get(key, 0) + full.T @ full
+                codes, names = pd.factorize(part["station"])
+                sums = np.zeros((len(names), full.shape[1]))
+                np.add.at(sums, codes, full)
+                yield table([key] * len(names), STATION, list(names), list(sums))
         if held:
-            yield pd.DataFrame({"g": list(held), "sums": [m.ravel() for m in held.values()]})
-
-    narrow = rows.select(
-        F.col(group).alias("g"), F.col("salsurf").cast("double"), "doy", "year", F.col("bpue_log1p").alias("y")
-    ).dropna("any")
-    sums = narrow.mapInPandas(partial, "g string, sums array<double>")
-    return _sum_arrays(sums, ["g"], "sums").withColumnRenamed("g", group)
+            yield table(list(held), GROUP, None, [m.ravel() for m in held.values()])
 
+    numbers = [F.col(c).cast("double").alias(n) for c, n in zip((*x, y), ("__x0", "__x1", "__y"))]
+    narrow = rows.select(*keys, F.col("station").cast("string").alias("station"), "year", *numbers)
+    joined = attach(narrow.dropna(subset=["station", "year", "__x0", "__x1", "__y"]), design, keys, "inner")
+    schema = T.StructType([*_fields(rows, keys), *_struct("kind int, station string, sums array<double>").fields])
+    return _sum_arrays(joined.mapInPandas(partial, schema), [*keys, "kind", "station"], "sums")
 
-def station_sums(rows: DataFrame, surface: Surface, group: str = "ibmr") -> DataFrame:
-    """Per group and station: column sums of the design, the response and the count."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = surface.design(batch["salsurf"].to_numpy(), batch["doy"].to_numpy(), batch["year"].to_numpy())
-            full = np.hstack([x, batch["y"].to_numpy()[:, None], np.ones((len(batch), 1))])
-            codes = batch.groupby(["g", "station"], dropna=False, sort=False).ngroup().to_numpy()
-            sums = np.zeros((codes.max() + 1 if len(codes) else 0, full.shape[1]))
-            np.add.at(sums, codes, full)
-            first = batch.groupby(["g", "station"], dropna=False, sort=False).head(1)
-            yield pd.DataFrame({"g": first["g"], "station": first["station"], "sums": list(sums)})
-
-    narrow = rows.select(
-        F.col(group).alias("g"), "station", F.col("salsurf").cast("double"), "doy", "year",
-        F.col("bpue_log1p").alias("y"),
-    ).dropna("any")
-    sums = narrow.mapInPandas(partial, "g string, station string, sums array<double>")
-    return _sum_arrays(sums, ["g", "station"], "sums").withColumnRenamed("g", group)
-
-
-def station_corrections(stations: DataFrame, group: str = "ibmr", ridges: Sequence[float] = STATION_RIDGE) -> DataFrame:
+def station_corrections(stations: DataFrame, keys: Sequence[str], ridges: Sequence[float] = STATION_RIDGE) -> DataFrame:
     """Per group and candidate ridge: what eliminating the station intercepts subtracts.
 
     The array ends with the sum of log(n + ridge) over stations and their number.
     """
+    keys = list(keys)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for key, part in batch.groupby("g", dropna=False):
-                u = np.vstack(part["sums"].to_numpy())
+            for key, at in batch_groups(batch, keys):
+                u = np.vstack(batch["sums"].iloc[at].to_numpy())
                 n = u[:, -1]
                 for r in ridges:
                     outer = (u / (n + r)[:, None]).T @ u
                     tail = [np.log(n + r).sum(), float(len(u))]
                     held[(key, r)] = held.get((key, r), 0) + np.concatenate([outer.ravel(), tail])
         if held:
-            yield pd.DataFrame({"g": [k[0] for k in held], "ridge": [k[1] for k in held], "sums": list(held.values())})
+            found = pd.DataFrame([k for k, _ in held], columns=keys, dtype=object)
+            yield found.assign(ridge=[r for _, r in held], sums=list(held.values()))
 
-    sums = stations.select(F.col(group).alias("g"), "sums").mapInPandas(
-        partial, "g string, ridge double, sums array<double>"
-    )
-    return _sum_arrays(sums, ["g", "ridge"], "sums").withColumnRenamed("g", group)
+    schema = T.StructType([*_fields(stations, keys), *_struct("ridge double, sums array<double>").fields])
+    return _sum_arrays(stations.select(*keys, "sums").mapInPandas(partial, schema), [*keys, "ridge"], "sums")
 
 
 # --- small solves -----------------------------------------------------------------------
@@ -264,22 +323,32 @@ def _choose(xx, xy, yy, n, penalties, extra):
 
 
 SURFACE_SCHEMA = (
-    "g string, n double, stations double, sigma2 double, log_ridges array<double>, station_ridge double, "
-    "beta array<double>, covariance array<double>, centre array<double>"
+    "n double, stations double, sigma2 double, log_ridges array<double>, station_ridge double, beta array<double>, "
+    "covariance array<double>, centre array<double>, sal_knots array<double>, day_knots array<double>, years array<int>"
 )
 
 
-def response_surface(rows: DataFrame, surface: Surface, group: str = "ibmr") -> DataFrame:
-    """Fit the surface of every group: weights, their covariance and the mean basis row.
+def response_surface(
+    rows: DataFrame,
+    keys: Sequence[str] = ("ibmr",),
+    x: tuple[str, str] = ("salsurf", "doy"),
+    y: str = "bpue_log1p",
+    knots: int = KNOTS,
+) -> DataFrame:
+    """Fit the surface of every group: weights, their covariance, the mean basis row, the knots and the years.
 
-    ``rows`` has the group, station, year, doy, salsurf and bpue_log1p. A group with a
-    single station gets no station intercepts. The input is settled, then read twice.
+    ``rows`` has the keys, station, year, both predictors and the response; rows that lack one of these are left out, a missing
+    key is a key. A group with a single station gets no station intercepts. The input is settled once; what is read twice
+    is the settled columns.
     """
-    wanted = rows.select(group, F.col("station").cast("string").alias("station"), "year", "doy", "salsurf", "bpue_log1p")
-    rows = settle(wanted, "surface-rows")
-    size, terms, penalties = surface.size, surface.terms, surface.penalties()
+    keys = list(keys)
+    wanted = [F.col("station").cast("string").alias("station"), F.col("year").cast("int").alias("year"), *x, y]
+    rows = settle(rows.select(*keys, *wanted).dropna(subset=["station", "year", *x, y]), "surface-rows")
+    design = settle(surface_design(rows, keys, x, knots), "surface-design")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        surface = Surface.of(pdf.iloc[0])
+        size, terms, penalties = surface.size, surface.terms, surface.penalties()
         whole = np.array(pdf.loc[pdf["ridge"].isna(), "sums"].iloc[0]).reshape(size + 2, size + 2)
         n = whole[-1, -1]
         best = None
@@ -300,135 +369,143 @@ def response_surface(rows: DataFrame, surface: Surface, group: str = "ibmr") ->
         (_, beta, chol, sigma2), logs, ridge, stations = best
         inverse = np.linalg.inv(chol)
         covariance = (inverse.T @ inverse) * sigma2
-        return pd.DataFrame(
-            {
-                "g": [pdf["g"].iloc[0]],
-                "n": [n],
-                "stations": [stations],
-                "sigma2": [sigma2],
-                "log_ridges": [logs],
-                "station_ridge": [ridge],
-                "beta": [beta[:terms]],
-                "covariance": [covariance[:terms, :terms].ravel()],
-                "centre": [whole[-1, :terms] / n],
-            }
-        )
-
-    whole = cross_products(rows, surface, group).withColumn("ridge", F.lit(None).cast("double"))
-    by_station = settle(station_sums(rows, surface, group), "station-sums")
-    parts = whole.unionByName(station_corrections(by_station, group)).withColumnRenamed(group, "g")
-    return parts.groupBy("g").applyInPandas(solve, SURFACE_SCHEMA).withColumnRenamed("g", group)
-
-
-def surface_terms(grid: DataFrame, fits: DataFrame, surface: Surface, group: str = "ibmr") -> DataFrame:
-    """Centred surface and its standard error on a grid of salinity and day of year."""
-    columns = grid.columns
+        found = pdf[keys].iloc[:1].reset_index(drop=True)
+        values = {
+            "n": n, "stations": stations, "sigma2": sigma2, "log_ridges": logs, "station_ridge": ridge, "beta": beta[:terms],
+            "covariance": covariance[:terms, :terms].ravel(), "centre": whole[-1, :terms] / n,
+            "sal_knots": list(surface.salinity.at), "day_knots": list(surface.day.at), "years": list(surface.years),
+        }
+        return found.assign(**{name: [value] for name, value in values.items()})
+
+    sums = settle(surface_sums(rows, design, keys, x, y), "surface-sums")
+    whole = sums.where(F.col("kind") == GROUP).select(*keys, F.lit(None).cast("double").alias("ridge"), "sums")
+    parts = whole.unionByName(station_corrections(sums.where(F.col("kind") == STATION), keys))
+    schema = T.StructType([*_fields(rows, keys), *_struct(SURFACE_SCHEMA).fields])
+    return attach(parts, design, keys, "inner").groupBy(*keys).applyInPandas(solve, schema)
+
+
+DESIGN = ("sal_knots", "day_knots", "years")
+
+
+def surface_terms(
+    grid: DataFrame, fits: DataFrame, keys: Sequence[str] = ("ibmr",), x: tuple[str, str] = ("salsurf", "doy")
+) -> DataFrame:
+    """Centred surface and its standard error on a grid that has the keys and both predictors."""
+    keys, columns = list(keys), grid.columns
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fit, se = np.empty(len(batch)), np.empty(len(batch))
-            codes = batch.groupby(group, dropna=False, sort=False).ngroup().to_numpy()
-            for code in np.unique(codes):
-                at = np.flatnonzero(codes == code)
-                part = batch.iloc[at]
-                b = surface.basis(part["salsurf"].to_numpy(), part["doy"].to_numpy())
-                b = b - np.asarray(part["centre"].iloc[0])
-                v = np.asarray(part["covariance"].iloc[0]).reshape(surface.terms, surface.terms)
-                fit[at] = b @ np.asarray(part["beta"].iloc[0])
+            for _, at in batch_groups(batch, keys):
+                part, model = batch.iloc[at], batch.iloc[at[0]]
+                surface = Surface.of(model)
+                b = surface.basis(part[x[0]].to_numpy(float), part[x[1]].to_numpy(float)) - np.asarray(model["centre"])
+                v = np.asarray(model["covariance"]).reshape(surface.terms, surface.terms)
+                fit[at] = b @ np.asarray(model["beta"])
                 se[at] = np.sqrt(np.clip(np.einsum("ij,jk,ik->i", b, v, b), 0, None))
             yield batch[columns].assign(fit=fit, se=se)
 
-    joined = attach(grid, fits.select(group, "beta", "covariance", "centre"), [group], "inner")
+    joined = attach(grid, fits.select(*keys, "beta", "covariance", "centre", *DESIGN), keys, "inner")
     schema = T.StructType([*grid.schema, T.StructField("fit", T.DoubleType()), T.StructField("se", T.DoubleType())])
     return joined.mapInPandas(predict, schema)
 
 
+def coefficient_draws(model, n: int, seed: int) -> np.ndarray:
+    """Weights by draws of a fit's normal posterior, seeded by its keys (``group_hash``): the same wherever they are made."""
+    beta = np.asarray(model["beta"])
+    values, vectors = np.linalg.eigh(np.asarray(model["covariance"]).reshape(len(beta), len(beta)))
+    root = vectors * np.sqrt(np.clip(values, 0, None))
+    rng = np.random.default_rng([seed, int(model["group_hash"]) & 0x7FFFFFFF])
+    return beta[:, None] + root @ rng.standard_normal((len(beta), n))
+
+
+def with_fits(rows: DataFrame, fits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with what draws of their group need: 20 weights, their covariance and the knots."""
+    model = fits.select(*keys, "beta", "covariance", *DESIGN, F.hash(*keys).alias("group_hash"))
+    return attach(rows, model, list(keys), "inner")
+
+
 def posterior_draws(
-    grid: DataFrame, fits: DataFrame, surface: Surface, group: str = "ibmr", n: int = DRAWS, seed: int = SEED
+    grid: DataFrame,
+    fits: DataFrame,
+    keys: Sequence[str] = ("ibmr",),
+    x: tuple[str, str] = ("salsurf", "doy"),
+    n: int = DRAWS,
+    seed: int = SEED,
 ) -> DataFrame:
     """Draws of the surface (random intercepts left out) at each grid row, as an array.
 
     Weights are drawn from their normal posterior with a seed per group, so the rows of a
     group agree on the draws wherever they are computed.
     """
-    columns = grid.columns
+    keys, columns = list(keys), grid.columns
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights: dict = {}
         for batch in batches:
             draws = np.empty((len(batch), n))
-            codes = batch.groupby(group, dropna=False, sort=False).ngroup().to_numpy()
-            for code in np.unique(codes):
-                at = np.flatnonzero(codes == code)
-                part = batch.iloc[at]
-                key = part[group].iloc[0]
+            for key, at in batch_groups(batch, keys):
+                part, model = batch.iloc[at], batch.iloc[at[0]]
                 if key not in weights:
-                    v = np.asarray(part["covariance"].iloc[0]).reshape(surface.terms, surface.terms)
-                    values, vectors = np.linalg.eigh(v)
-                    root = vectors * np.sqrt(np.clip(values, 0, None))
-                    rng = np.random.default_rng([seed, int(part["group_hash"].iloc[0]) & 0x7FFFFFFF])
-                    weights[key] = np.asarray(part["beta"].iloc[0])[:, None] + root @ rng.standard_normal((surface.terms, n))
-                b = surface.basis(part["salsurf"].to_numpy(), part["doy"].to_numpy())
+                    weights[key] = coefficient_draws(model, n, seed)
+                b = Surface.of(model).basis(part[x[0]].to_numpy(float), part[x[1]].to_numpy(float))
                 draws[at] = b @ weights[key]
             yield batch[columns].assign(draws=list(draws))
 
-    model = fits.select(group, "beta", "covariance", F.hash(group).alias("group_hash"))
-    joined = attach(grid, model, [group], "inner")
     schema = T.StructType([*grid.schema, T.StructField("draws", T.ArrayType(T.DoubleType()))])
-    return joined.mapInPandas(predict, schema)
+    return with_fits(grid, fits, keys).mapInPandas(predict, schema)
 
 
 # --- one dimension ------------------------------------------------------------------------
 
 
-def smooth_curves(
-    df: DataFrame, keys: Sequence[str], x: str, y: str, low: float, high: float, knots: int = 25, steps: int = 80
-) -> DataFrame:
-    """Penalised cubic spline of y on x per group, on an even grid over the group's x range."""
+def smooth_curves(df: DataFrame, keys: Sequence[str], x: str, y: str, knots: int = 25, steps: int = 80) -> DataFrame:
+    """Penalised cubic spline of y on x per group, on an even grid over the group's x range.
+
+    The knots of a group lie at quantiles of its distinct x.
+    """
     keys = list(keys)
-    spline = Spline(low, high, knots)
-    penalty = spline.penalty()
-    key_schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+    rows = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    rows = settle(rows.dropna(subset=["__x", "__y"]), "curve-rows")
+    design = settle(place_knots(rows, keys, "__x", knots), "curve-knots")
+    key_fields = _fields(df, keys)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            if not len(batch):
-                continue
-            out = []
-            for _, part in batch.groupby(keys, dropna=False, sort=False):
-                b = spline.basis(part["__x"].to_numpy())
+            for key, at in batch_groups(batch, keys):
+                part = batch.iloc[at]
+                b = Spline(tuple(part["knots"].iloc[0])).basis(part["__x"].to_numpy())
                 full = np.hstack([b, part["__y"].to_numpy()[:, None], np.ones((len(part), 1))])
-                row = part[keys].iloc[:1].copy()
-                row["sums"] = [(full.T @ full).ravel()]
-                out.append(row)
-            yield pd.concat(out)
-
-    rows = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).dropna(
-        subset=["__x", "__y"]
-    )
-    sums = _sum_arrays(rows.mapInPandas(partial, f"{key_schema}, sums array<double>"), keys, "sums")
-    span = rows.groupBy(*keys).agg(F.min("__x").alias("__low"), F.max("__x").alias("__high"))
-    moments = attach(sums, span, keys, "inner")
+                held[key] = held.get(key, 0) + full.T @ full
+        if held:
+            yield pd.DataFrame(list(held), columns=keys, dtype=object).assign(sums=[m.ravel() for m in held.values()])
+
+    made = T.StructType([*key_fields, T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    sums = _sum_arrays(attach(rows, design, keys, "inner").mapInPandas(partial, made), keys, "sums")
+    moments = attach(sums, design, keys, "inner")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for i in range(len(batch)):
                 row = batch.iloc[i]
+                spline = Spline(tuple(row["knots"]))
                 m = np.array(row["sums"]).reshape(knots + 2, knots + 2)
                 scale = np.sqrt(max(m[knots, knots] / m[-1, -1], 1e-300))
-                m = m.copy()
                 m[knots, :] /= scale
                 m[:, knots] /= scale
-                (_, beta, chol, sigma2), _ = _choose(m[:knots, :knots], m[:knots, knots], m[knots, knots], m[-1, -1], [penalty], 0.0)
-                at = np.linspace(row["__low"], row["__high"], steps)
+                fit, _ = _choose(m[:knots, :knots], m[:knots, knots], m[knots, knots], m[-1, -1], [spline.penalty()], 0.0)
+                _, beta, chol, sigma2 = fit
+                at = np.linspace(spline.low, spline.high, steps)
                 b = spline.basis(at)
                 half = np.linalg.solve(chol, b.T)
-                part = pd.DataFrame({k: [row[k]] * steps for k in keys})
+                part = pd.DataFrame([[row[k] for k in keys]] * steps, columns=keys, dtype=object)
                 part["x"], part["fit"] = at, b @ beta * scale
                 part["se"] = np.sqrt(np.clip((half**2).sum(axis=0) * sigma2, 0, None)) * scale
                 out.append(part)
             if out:
                 yield pd.concat(out)
 
-    return moments.mapInPandas(solve, f"{key_schema}, x double, fit double, se double")
+    fields = [T.StructField(c, T.DoubleType()) for c in ("x", "fit", "se")]
+    return moments.mapInPandas(solve, T.StructType([*key_fields, *fields]))

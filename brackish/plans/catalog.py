@@ -13,7 +13,6 @@ from brackish.functions.numeric import signed_expm1, signed_log1p
 from brackish.functions.text import level_order, remove_all, split_part
 from brackish.operators import anova, biomass, dedupe, hydro, indices, regression, scenario, spatial, summaries, surface
 from brackish.operators.attach import attach
-from brackish.operators.densify import expand_grid
 from brackish.operators.reshape import union_tagged
 from brackish.plans import views
 from brackish.plans.views import snapped
@@ -214,7 +213,7 @@ def flow_with_series(spark: SparkSession, d: str) -> DataFrame:
 def hydro_smooth(spark: SparkSession, d: str) -> DataFrame:
     """Smooth hydrograph of each class and year in its run."""
     return surface.smooth_curves(
-        _named_flow(spark, d), ["drought", "series_year2"], "wdoy", "inflowtotal_cum_share", 1.0, 366.0
+        _named_flow(spark, d), ["drought", "series_year2"], "wdoy", "inflowtotal_cum_share"
     )
 
 
@@ -344,6 +343,20 @@ def draw_band(spark: SparkSession, d: str) -> DataFrame:
     return snapped(scenario.draw_band(views.draws(spark, d)), 9)
 
 
+def draws_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Draws as rows, those below a level left out, and back to arrays with gaps where they were."""
+    keys = ["ibmr", "month", "region2", "tenths"]
+    rows = scenario.draws_to_rows(views.draws(spark, d)).where("fit > -0.1")
+    back = scenario.rows_to_draws(rows, keys)
+    held = F.filter("draws", lambda v: v.isNotNull())
+    places = F.transform("draws", lambda v, i: F.when(v.isNotNull(), i + 1))
+    return snapped(
+        back.select(*keys, F.size("draws").alias("n"), F.size(held).alias("held"), F.array_max(places).alias("last"),
+                    F.aggregate(F.zip_with(held, F.array_compact(places), lambda v, i: v.cast("double") * i), F.lit(0.0), lambda a, v: a + v)
+                    .alias("weighted"))
+    )
+
+
 def draws_long(spark: SparkSession, d: str) -> DataFrame:
     rows = scenario.draws_to_rows(views.draws(spark, d))
     return snapped(rows.groupBy("ibmr", "month", "draw").agg(F.avg(F.col("fit").cast("double")).alias("fit")), 8)
@@ -500,37 +513,69 @@ def histogram_counts(spark: SparkSession, d: str) -> DataFrame:
 
 # --- surfaces -----------------------------------------------------------------------------------
 
-SURFACE = surface.Surface(surface.Spline(0.0, 10.0), years=tuple(YEARS))
+SURFACE_KEYS = ("ibmr", "region2")
+PREDICTORS = ("salsurf_s", "doy_s")
 
 
-def _surface_fits(spark: SparkSession, d: str) -> DataFrame:
+def _surface_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Biomass with its predictors, centred and scaled over the whole table; region2 is the region the surfaces know."""
     rows = _biomass(spark, d).select(
-        "ibmr", "station", "year", F.dayofyear("date").alias("doy"), "salsurf", F.log1p("bpue").alias("bpue_log1p")
+        "ibmr", "station", "year", F.month("date").alias("month"), F.dayofyear("date").alias("doy"), "salsurf",
+        F.log1p("bpue").alias("bpue_log1p"), (F.col("station").cast("int") % 2).alias("region2"),
+    )
+    rows = settle(rows.dropna(subset=["ibmr"]), "surface-input")
+    return biomass.standardise(rows, rows, ["salsurf", "doy"])
+
+
+def _surface_grid(rows: DataFrame) -> DataFrame:
+    """Months by salinity in steps of 0.1 inside each month's central values, on the scale of the training table."""
+    return biomass.standardise(scenario.salinity_grid(rows, "region2"), rows, ["salsurf", "doy"])
+
+
+def _surface_fits(rows: DataFrame) -> DataFrame:
+    return settle(surface.response_surface(rows, SURFACE_KEYS, PREDICTORS), "surfaces")
+
+
+def surface_grid(spark: SparkSession, d: str) -> DataFrame:
+    return snapped(_surface_grid(_surface_rows(spark, d)))
+
+
+def surface_knots(spark: SparkSession, d: str) -> DataFrame:
+    """Where the knots of each group and region lie, knot by knot, and how many years it has."""
+    design = surface.surface_design(_surface_rows(spark, d), SURFACE_KEYS, PREDICTORS)
+    each = design.select(
+        *SURFACE_KEYS, F.size("years").alias("n_years"), F.posexplode(F.arrays_zip("sal_knots", "day_knots")).alias("knot", "k")
     )
-    return settle(surface.response_surface(rows.dropna(subset=["ibmr"]), SURFACE), "surfaces")
+    return snapped(each.select(*SURFACE_KEYS, "n_years", "knot", "k.sal_knots", "k.day_knots"))
 
 
 def response_surface(spark: SparkSession, d: str) -> DataFrame:
-    return _surface_fits(spark, d).select("ibmr", "n", "stations", "sigma2", "station_ridge", "log_ridges", "beta")
+    fits = _surface_fits(_surface_rows(spark, d))
+    return fits.select(*SURFACE_KEYS, "n", "stations", "sigma2", "station_ridge", "log_ridges", "beta", "sal_knots", "day_knots")
 
 
-def _surface_grid(spark: SparkSession, fits: DataFrame) -> DataFrame:
-    steps = expand_grid(spark, month=range(1, 13), tenths=range(0, 101, 5))
-    mid = F.dayofyear(F.make_date(F.lit(2001), F.col("month"), F.lit(15)))
-    grid = steps.select("month", mid.alias("doy"), (F.col("tenths") / 10.0).alias("salsurf"))
-    groups = fits.select(F.array_sort(F.collect_set("ibmr"))).scalar()
-    return grid.withColumn("ibmr", F.explode(groups))
+def _grid_by_group(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    return attach(_surface_grid(rows), fits.select(*SURFACE_KEYS), ["region2"], "inner")
 
 
 def surface_terms(spark: SparkSession, d: str) -> DataFrame:
-    fits = _surface_fits(spark, d)
-    return surface.surface_terms(_surface_grid(spark, fits), fits, SURFACE)
+    rows = _surface_rows(spark, d)
+    fits = _surface_fits(rows)
+    return surface.surface_terms(_grid_by_group(rows, fits), fits, SURFACE_KEYS, PREDICTORS)
 
 
 def posterior_draws(spark: SparkSession, d: str) -> DataFrame:
     """Band over 1000 posterior draws at each grid point."""
-    fits = _surface_fits(spark, d)
-    return scenario.draw_band(surface.posterior_draws(_surface_grid(spark, fits), fits, SURFACE))
+    rows = _surface_rows(spark, d)
+    fits = _surface_fits(rows)
+    return scenario.draw_band(surface.posterior_draws(_grid_by_group(rows, fits), fits, SURFACE_KEYS, PREDICTORS))
+
+
+def scenario_ratio_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """From counts to scenario ratios in one chain: fits by group and region, their draws, and the bands of the ratios."""
+    rows = _surface_rows(spark, d)
+    salinities = scenario.scenario_salinities(views.scenario_salinity(spark, d)).withColumn("region2", F.col("region"))
+    return scenario.scenario_ratio_fitted(salinities, _surface_fits(rows), settle(_surface_grid(rows), "grid"), views.SCENARIOS)
 
 
 # --- text tables ----------------------------------------------------------------------------------
@@ -614,6 +659,7 @@ QUERIES: dict[str, Query] = {
         missing_results,
         draw_band,
         draws_long,
+        draws_restored,
         signed_logs,
         priority_parts,
         tagged_sources,
@@ -634,9 +680,12 @@ QUERIES: dict[str, Query] = {
         grouped_lm_resid,
         box_summary,
         histogram_counts,
+        surface_grid,
+        surface_knots,
         response_surface,
         surface_terms,
         posterior_draws,
+        scenario_ratio_fitted,
         csv_roundtrip,
         csv_inferred,
         csv_skip_preamble,

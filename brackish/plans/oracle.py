@@ -78,7 +78,7 @@ GRID_EDGES = """grid_edges AS (
 # Radius, 1 / flattening, shift in metres and turn in seconds of arc to the common datum.
 DATUM = {
     "wgs84": (6378137.0, 298.257223563, (0, 0, 0), (0, 0, 0)),
-    "nad83": (6378137.0, 298.257222101, (-0.991, 1.9072, 0.5129), (-0.02579, -0.00965, -0.01166)),
+    "nad83": (6378137.0, 298.257222101, (-0.991, 1.9072, 0.5129), (0.02579, 0.00965, 0.01166)),
     "nad27": (6378206.4, 294.978698214, (-8, 159, 175), (0, 0, 0)),
 }
 
@@ -459,6 +459,12 @@ ratios AS (
  FROM (SELECT r.*, {", ".join(f"(k.{s} IS NOT NULL AND k.sal_base IS NOT NULL) AS {s}_present" for s in SCENARIOS)}
   FROM relative r JOIN sides k USING (region, year, month, ibmr)))"""
 
+SURFACE_ROWS = f"""{biomass()}, surface_rows AS (
+ SELECT ibmr, year, month(date)::INT AS month, dayofyear(date)::INT AS doy, salsurf, (station::INT % 2)::INT AS region2
+ FROM biomass WHERE ibmr IS NOT NULL),
+stats AS (
+ SELECT avg(salsurf) AS sm, stddev_samp(salsurf) AS ss, avg(doy) AS dm, stddev_samp(doy) AS ds FROM surface_rows)"""
+
 # --- statistics -----------------------------------------------------------------------------------
 
 LABELLED = f"""{PLACED_SEASON}, {YEAR_TYPES}, labelled AS (
@@ -803,6 +809,35 @@ quartiles AS (SELECT source, quantile_cont(power, 0.25) AS q1, quantile_cont(pow
  SELECT ibmr, month, generate_subscripts(draws, 1)::INT AS draw, unnest(draws) AS fit FROM draws)""",
         f"SELECT ibmr, month, draw, {snap('avg(fit)', 8)} AS fit FROM long GROUP BY ibmr, month, draw",
     ),
+    "draws_restored": q(
+        f"""{DRAWS}, long AS (
+ SELECT ibmr, month, region2, tenths, generate_subscripts(draws, 1)::INT AS draw, unnest(draws) AS fit FROM draws)""",
+        f"""SELECT ibmr, month, region2, tenths, max(draw) AS n, count(*)::INT AS held, max(draw) AS last,
+ {snap('sum(fit::DOUBLE * draw)')} AS weighted FROM long WHERE fit > -0.1 GROUP BY ibmr, month, region2, tenths""",
+    ),
+    "surface_grid": q(
+        f"""{SURFACE_ROWS}, limits AS (
+ SELECT region2, month, quantile_cont(salsurf, 0.005) AS l, quantile_cont(salsurf, 0.995) AS u FROM surface_rows GROUP BY 1, 2),
+steps AS (
+ SELECT region2, unnest(range(round_even(min(salsurf) * 10, 0)::INT, round_even(max(salsurf) * 10, 0)::INT + 1))::INT AS tenths
+ FROM surface_rows GROUP BY region2),
+grid AS (
+ SELECT s.region2, m.month, dayofyear(make_date(2001, m.month, 15))::INT AS doy, s.tenths, s.tenths / 10.0::DOUBLE AS salsurf
+ FROM steps s CROSS JOIN (SELECT t::INT AS month FROM range(1, 13) r(t)) m
+ JOIN limits l ON l.region2 = s.region2 AND l.month = m.month WHERE s.tenths / 10.0::DOUBLE BETWEEN l AND u)""",
+        f"""SELECT region2, month, doy, tenths, {snap('salsurf')} AS salsurf,
+ {snap('(salsurf - sm) / ss')} AS salsurf_s, {snap('(doy - dm) / ds')} AS doy_s FROM grid CROSS JOIN stats""",
+    ),
+    "surface_knots": q(
+        f"""{SURFACE_ROWS}, scaled AS (
+ SELECT ibmr, region2, year, (salsurf - sm) / ss AS s, (doy - dm) / ds AS d FROM surface_rows CROSS JOIN stats),
+k AS (SELECT i::INT AS knot FROM range(0, 5) r(i)),
+sal AS (SELECT ibmr, region2, quantile_cont(s, [0, 0.25, 0.5, 0.75, 1]) AS q FROM (SELECT DISTINCT ibmr, region2, s FROM scaled) GROUP BY 1, 2),
+day AS (SELECT ibmr, region2, quantile_cont(d, [0, 0.25, 0.5, 0.75, 1]) AS q FROM (SELECT DISTINCT ibmr, region2, d FROM scaled) GROUP BY 1, 2),
+years AS (SELECT ibmr, region2, count(DISTINCT year)::INT AS n_years FROM scaled GROUP BY 1, 2)""",
+        f"""SELECT ibmr, region2, n_years, knot, {snap('sal.q[knot + 1]')} AS sal_knots, {snap('day.q[knot + 1]')} AS day_knots
+ FROM sal JOIN day USING (ibmr, region2) JOIN years USING (ibmr, region2) CROSS JOIN k""",
+    ),
     "recent_year_labels": q(
         f"""{LABELLED}, recent AS (
  SELECT *, CASE WHEN year = 2000 THEN '2000' WHEN year = 2001 THEN '2001' ELSE drought END AS drought_recent,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brackish.functions.geometry import NAD27, NAD83, WGS84
 from brackish.operators import biomass, dedupe, hydro, indices, regression, reshape, scenario, spatial, summaries
-from brackish.operators.attach import assert_unique, attach, duplicated_keys, shared_left_join
+from brackish.operators.attach import attach, duplicated_keys, expect_rows, expect_unique, shared_left_join
 from brackish.operators.densify import complete, expand_grid
 from brackish.operators.quantiles import exact_quantiles
 from brackish.session import settle
@@ -43,9 +43,25 @@ def test_natural_join_and_guards(spark, rows):
         shared_left_join(left, right.toDF("x", "y", "z"))
     twice = left.union(left)
     assert duplicated_keys(twice, ["k"]).count() == 2
-    with pytest.raises(ValueError, match="twice"):
-        assert_unique(twice, ["k"], "twice")
-    assert assert_unique(left, ["k"], "twice") is left
+    assert rows(expect_unique(left, ["k"], "twice")) == rows(left)
+    looked = jobs_of(spark, lambda: expect_unique(twice, ["k"], "twice"))
+    assert looked == 0  # the guard rides on the query that reads the rows
+    with pytest.raises(Exception, match="twice"):
+        expect_unique(twice, ["k"], "twice").collect()
+    with pytest.raises(Exception, match="too small"):
+        expect_rows(left, F.col("v") > 5, "too small").select("k").collect()
+    assert expect_rows(left, F.col("v") >= 5, "too small").count() == 2
+
+
+def jobs_of(spark, work):
+    """How many jobs a piece of work starts."""
+    sc = spark.sparkContext
+    sc.setJobGroup("counted", "counted")
+    before = len(sc.statusTracker().getJobIdsForGroup("counted"))
+    work()
+    after = len(sc.statusTracker().getJobIdsForGroup("counted"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return after - before
 
 
 # --- densify and reshape --------------------------------------------------------------
@@ -447,10 +463,10 @@ def test_salinity_correction(spark, rows, correction_inputs):
 def test_correction_guards(spark, correction_inputs):
     data, conversions = correction_inputs
     missing = spark.createDataFrame([(6, 2.0), (7, 99.0)], "month int, a double")
-    with pytest.raises(ValueError, match="missing"):
+    with pytest.raises(Exception, match="missing"):
         scenario.salinity_correction(data, conversions, missing, ["a"], [6, 7])
     twice = spark.createDataFrame([(6, 2.0), (6, 2.1), (7, 2.0)], "month int, a double")
-    with pytest.raises(ValueError, match="more than once"):
+    with pytest.raises(Exception, match="more than once"):
         scenario.salinity_correction(data, conversions, twice, ["a"], [6, 7])
 
 

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from brackish.functions.laws import f_tail
-from brackish.operators import anova, regression, surface
+from brackish.operators import anova, regression, scenario, surface
+from brackish.session import settle
 
 # Published two-factor tables: sums of squares, degrees of freedom and F.
 TABLES = {
@@ -134,12 +135,12 @@ def test_taxa_long_scales_years_once(spark):
 
 
 def test_spline_bases():
-    natural = surface.Spline(0.0, 10.0, 7)
+    natural = surface.Spline.even(0.0, 10.0, 7)
     x = np.linspace(-2, 12, 200)
     b = natural.basis(x)
     assert np.allclose(b.sum(axis=1), 1)
     assert np.allclose(b @ np.linspace(0.0, 10.0, 7), x, atol=1e-9)  # straight lines are kept
-    cyclic = surface.Spline(0.0, 366.0, 6, cyclic=True)
+    cyclic = surface.Spline.even(0.0, 366.0, 6, cyclic=True)
     assert np.allclose(cyclic.basis(np.array([0.0])), cyclic.basis(np.array([366.0])))
     eps = 1e-5
     left, right = cyclic.basis(np.array([366.0 - eps])), cyclic.basis(np.array([eps]))
@@ -162,14 +163,12 @@ def surface_data(spark):
     return spark.createDataFrame(pd.concat(frames)).repartition(5)
 
 
-SURFACE = surface.Surface(surface.Spline(0.0, 10.0), years=(2000, 2001, 2002))
 
 
 @pytest.fixture(scope="module")
 def fits(spark, surface_data):
-    from brackish.session import settle
 
-    return settle(surface.response_surface(surface_data, SURFACE), "fits")
+    return settle(surface.response_surface(surface_data), "fits")
 
 
 def _grid(spark):
@@ -178,7 +177,7 @@ def _grid(spark):
 
 
 def test_surface_recovers_a_known_shape(spark, fits):
-    got = surface.surface_terms(_grid(spark), fits, SURFACE).toPandas()
+    got = surface.surface_terms(_grid(spark), fits).toPandas()
     for group in ("many", "single"):
         part = got[got["ibmr"] == group]
         truth = np.sin(part["salsurf"] / 3) + np.cos(2 * np.pi * part["doy"] / 366)
@@ -193,49 +192,181 @@ def test_surface_recovers_a_known_shape(spark, fits):
 
 def test_station_elimination_equals_full_system(spark, surface_data):
     """Summed elimination of station intercepts against the whole ridge system at once."""
-    pdf = surface_data.filter("ibmr = 'many'").toPandas()
-    x = SURFACE.design(pdf["salsurf"].to_numpy(), pdf["doy"].to_numpy(), pdf["year"].to_numpy())
+    only = surface_data.filter("ibmr = 'many'")
+    design = surface.surface_design(only, ["ibmr"], ("salsurf", "doy"))
+    shape = surface.Surface.of(design.first())
+    pdf = only.toPandas()
+    x = shape.design(pdf["salsurf"].to_numpy(), pdf["doy"].to_numpy(), pdf["year"].to_numpy())
     z = pd.get_dummies(pdf["station"]).to_numpy(float)
     y = pdf["bpue_log1p"].to_numpy()
     ridge = 10.0
     full = np.hstack([x, z])
     penalty = np.zeros((full.shape[1], full.shape[1]))
-    penalty[SURFACE.size :, SURFACE.size :] = ridge * np.eye(z.shape[1])
-    penalty[: SURFACE.size, : SURFACE.size] = sum(SURFACE.penalties())
-    want = np.linalg.solve(full.T @ full + penalty, full.T @ y)[: SURFACE.size]
-
-    only = surface_data.filter("ibmr = 'many'")
-    m = np.array(surface.cross_products(only, SURFACE).first()["sums"]).reshape(SURFACE.size + 2, -1)
-    s = surface.station_corrections(surface.station_sums(only, SURFACE), ridges=[ridge]).first()["sums"]
-    m = m - np.array(s[:-2]).reshape(SURFACE.size + 2, -1)
-    p = SURFACE.size
-    got = np.linalg.solve(m[:p, :p] + sum(SURFACE.penalties()), m[:p, p])
+    penalty[shape.size :, shape.size :] = ridge * np.eye(z.shape[1])
+    penalty[: shape.size, : shape.size] = sum(shape.penalties())
+    want = np.linalg.solve(full.T @ full + penalty, full.T @ y)[: shape.size]
+
+    sums = settle(surface.surface_sums(only, design, ["ibmr"], ("salsurf", "doy"), "bpue_log1p"), "sums")
+    m = np.array(sums.where(F.col("kind") == surface.GROUP).first()["sums"]).reshape(shape.size + 2, -1)
+    s = surface.station_corrections(sums.where(F.col("kind") == surface.STATION), ["ibmr"], ridges=[ridge]).first()["sums"]
+    m = m - np.array(s[:-2]).reshape(shape.size + 2, -1)
+    p = shape.size
+    got = np.linalg.solve(m[:p, :p] + sum(shape.penalties()), m[:p, p])
     assert np.allclose(got, want, atol=1e-8)
 
 
+def test_knots_follow_uneven_data(spark):
+    """Knots at quantiles of the distinct values, per group of two keys; groups with few values get even ones."""
+    rng = np.random.default_rng(2)
+    dense = [round(float(v), 2) for v in np.concatenate([rng.uniform(0, 1, 900), rng.uniform(9, 10, 30)])]
+    rows = [("a", 1, v) for v in dense] + [("a", 2, v) for v in (1.0, 3.0, 3.0)] + [("b", None, 5.0), ("b", None, None)]
+    df = spark.createDataFrame(rows, "g string, r int, x double")
+    got = {(r.g, r.r): r.knots for r in surface.place_knots(df, ["g", "r"], "x").collect()}
+    assert got["a", 1] == pytest.approx(np.quantile(np.unique(dense), np.linspace(0, 1, 5)).tolist())
+    assert got["a", 1][3] < 1.0 < got["a", 1][4]
+    assert got["a", 2] == [1.0, 1.5, 2.0, 2.5, 3.0] and got["b", None] == [5.0, 5.25, 5.5, 5.75, 6.0]
+
+
+def test_fits_of_several_keys_recover_their_own_shapes(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for region, sign in ((0, 1.0), (1, -1.0)):
+        x = np.concatenate([rng.uniform(0, 4, 800), rng.uniform(4, 10, 400)])  # spread unevenly
+        for i, v in enumerate(x):
+            day = int(rng.integers(1, 366))
+            y = 5 + sign * np.sin(v / 3) + 0.2 * np.cos(2 * np.pi * day / 365) + rng.normal(0, 0.1)
+            rows.append(("g", region, f"s{i % 7}", 2000 + i % 3, day, float(v), float(y)))
+    df = spark.createDataFrame(rows, "ibmr string, region2 int, station string, year int, doy int, salsurf double, bpue_log1p double")
+    keys = ["ibmr", "region2"]
+    fits = settle(surface.response_surface(df, keys), "fits")
+    assert fits.count() == 2
+    grid = [("g", r, d, v) for r in (0, 1) for d in (50, 200) for v in np.linspace(0.2, 9.5, 30).tolist()]
+    grid = spark.createDataFrame(grid, "ibmr string, region2 int, doy int, salsurf double")
+    got = surface.surface_terms(grid, fits, keys).toPandas()
+    for region, sign in ((0, 1.0), (1, -1.0)):
+        part = got[got["region2"] == region]
+        truth = sign * np.sin(part["salsurf"] / 3) + 0.2 * np.cos(2 * np.pi * part["doy"] / 365)
+        error = (part["fit"] - part["fit"].mean()) - (truth - truth.mean())
+        assert np.abs(error).max() < 0.25
+
+
 def test_posterior_draws_match_their_moments(spark, fits):
     grid = _grid(spark).limit(40)
-    one = surface.posterior_draws(grid, fits, SURFACE).toPandas()
-    again = surface.posterior_draws(grid.repartition(3), fits, SURFACE).toPandas()
+    one = surface.posterior_draws(grid, fits).toPandas()
+    again = surface.posterior_draws(grid.repartition(3), fits).toPandas()
     key = ["ibmr", "doy", "salsurf"]
     a, b = one.sort_values(key), again.sort_values(key)
     assert np.allclose(np.vstack(a["draws"]), np.vstack(b["draws"]))  # seeded, wherever computed
     model = {r["ibmr"]: r for r in fits.collect()}
     for _, r in a.head(5).iterrows():
         m = model[r["ibmr"]]
-        basis = SURFACE.basis(np.array([r["salsurf"]]), np.array([r["doy"]]))[0]
-        v = np.array(m["covariance"]).reshape(SURFACE.terms, SURFACE.terms)
+        shape = surface.Surface.of(m)
+        basis = shape.basis(np.array([r["salsurf"]]), np.array([r["doy"]]))[0]
+        v = np.array(m["covariance"]).reshape(shape.terms, shape.terms)
         sd = math.sqrt(basis @ v @ basis)
         assert len(r["draws"]) == 1000
         assert np.mean(r["draws"]) == pytest.approx(basis @ np.array(m["beta"]), abs=5 * sd / math.sqrt(1000))
         assert np.std(r["draws"]) == pytest.approx(sd, rel=0.15)
 
 
+# --- ratios from fits ---------------------------------------------------------------------
+
+
+def _made_fit(spark, level):
+    """A fit with known weights and a known covariance, of one group in two regions."""
+    rng = np.random.default_rng(4)
+    size = 5 * 4
+    rows = []
+    for region in (0, 1):
+        root = rng.normal(0, 0.05, (size, size))
+        beta = level + rng.normal(0, 0.5, size)
+        rows.append(("g", region, beta.tolist(), (root @ root.T).ravel().tolist(), [0.0, 1.0, 2.0, 4.0, 8.0],
+                     [0.0, 90.0, 180.0, 270.0, 365.0], [2000]))
+    schema = "ibmr string, region2 int, beta array<double>, covariance array<double>, sal_knots array<double>, day_knots array<double>, years array<int>"
+    return spark.createDataFrame(rows, schema)
+
+
+def _scenarios(spark):
+    salinities, grid = [], []
+    for region in (0, 1):
+        for month in (1, 7):
+            grid += [(region, month, t, t / 10, 30.0 * month) for t in range(0, 80)]
+            for scenario, t in (("sal_base", 10), ("sal_a", 35 + month), ("sal_b", 10 if region else 90)):
+                salinities.append((region, 2001, month, scenario, t, region))
+    return (
+        spark.createDataFrame(salinities, "region int, year int, month int, scenario string, tenths int, region2 int"),
+        spark.createDataFrame(grid, "region2 int, month int, tenths int, salsurf_s double, doy_s double"),
+    )
+
+
+NAMES = ("sal_base", "sal_a", "sal_b")
+
+
+def test_ratio_of_a_normal_fit_has_the_closed_form(spark):
+    """At a high level the ratio is the exponential of a normal difference of two basis rows."""
+    fits, (salinities, grid) = _made_fit(spark, 15.0), _scenarios(spark)
+    got = scenario.scenario_ratio_fitted(salinities, fits, grid, NAMES, n=20_000).collect()
+    model = {r.region2: r for r in fits.collect()}
+    assert len(got) == 4
+    for r in got:
+        shape = surface.Surface.of(model[r.region])
+        day = 30.0 * r.month
+        points = shape.basis(np.array([1.0, (35 + r.month) / 10]), np.array([day, day]))
+        change = points[1] - points[0]
+        size = shape.terms
+        mean = change @ np.array(model[r.region].beta)
+        sd = math.sqrt(change @ np.array(model[r.region].covariance).reshape(size, size) @ change)
+        assert math.log(r.sal_a_median) == pytest.approx(mean, abs=0.05 * sd)
+        assert math.log(r.sal_a_l95) == pytest.approx(mean - 1.96 * sd, abs=0.08 * sd)
+        assert math.log(r.sal_a_u95) == pytest.approx(mean + 1.96 * sd, abs=0.08 * sd)
+        assert r.sal_base_median == r.sal_base_l95 == r.sal_base_u95 == 1.0
+        # outside the grid there is no result; the same salinity as the base is no change
+        assert r.sal_b_median is None if r.region == 0 else r.sal_b_median == 1.0
+
+
+@pytest.mark.parametrize("level", [3.0, 0.05, -0.5])
+def test_ratios_from_fits_are_those_of_stored_draws(spark, level):
+    """With zero biomass on either side too: both ways share draws and rules."""
+    fits, (salinities, grid) = _made_fit(spark, level), _scenarios(spark)
+    points = grid.withColumn("ibmr", F.lit("g"))
+    draws = surface.posterior_draws(points, fits, ["ibmr", "region2"], ("salsurf_s", "doy_s"), n=200)
+    stored = scenario.scenario_ratio(salinities, draws.select("region2", "month", "ibmr", "tenths", "draws"), NAMES)
+    direct = scenario.scenario_ratio_fitted(salinities, fits, grid, NAMES, n=200)
+    assert sorted(stored.columns) == sorted(direct.columns)
+    order = lambda df: sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str)
+    for a, b in zip(order(stored), order(direct), strict=True):
+        for x, y in zip(a, b):
+            assert x == y or (isinstance(x, float) and y is not None and math.isclose(x, y, rel_tol=1e-9)), (a, b)
+
+
+def test_cells_with_two_salinities_fail(spark):
+    salinities, grid = _scenarios(spark)
+    twice = salinities.union(salinities.limit(1).withColumn("tenths", F.lit(77)))
+    with pytest.raises(Exception, match="more than one value: salinity of sal_base"):
+        scenario.scenario_ratio_fitted(twice, _made_fit(spark, 3.0), grid, NAMES, n=10).collect()
+    same = salinities.union(salinities.limit(1))
+    assert scenario.scenario_ratio_fitted(same, _made_fit(spark, 3.0), grid, NAMES, n=10).count() == 4
+
+
+def test_draws_to_rows_and_back(spark):
+    rows = [("a", [1.0, None, 3.0]), ("b", [2.0]), ("c", [])]
+    df = spark.createDataFrame(rows, "k string, draws array<double>")
+    long = scenario.draws_to_rows(df)
+    back = scenario.rows_to_draws(long.repartition(3), ["k"])
+    assert sorted(tuple(r) for r in back.collect()) == [("a", [1.0, None, 3.0]), ("b", [2.0])]
+    gap = scenario.rows_to_draws(long.where("fit IS NOT NULL AND draw <> 1"), ["k"], n=4)
+    assert [tuple(r) for r in gap.collect()] == [("a", [None, None, 3.0, None])]
+    with pytest.raises(Exception, match="outside the array"):
+        scenario.rows_to_draws(long, ["k"], n=2).collect()
+    with pytest.raises(Exception):
+        scenario.rows_to_draws(long.union(long), ["k"]).collect()
+
+
 def test_smooth_curve(spark):
     x = np.arange(1, 367)
     y = 100 + 50 * np.sin(x / 40)
     rng = np.random.default_rng(2)
     df = spark.createDataFrame(pd.DataFrame({"k": "a", "x": x, "y": y + rng.normal(0, 5, len(x))}))
-    got = surface.smooth_curves(df, ["k"], "x", "y", 1.0, 366.0).toPandas()
+    got = surface.smooth_curves(df, ["k"], "x", "y").toPandas()
     assert len(got) == 80
     assert np.abs(got["fit"] - (100 + 50 * np.sin(got["x"] / 40))).max() < 5
