@@ -2,45 +2,34 @@
 
 Both tokenisers read the whole text first. Where a token that starts with a space begins in both, the tokens before end in both;
 these anchors cut the two rows of ids into windows. What a window's alignment is depends on nothing but its two tuples of ids:
-its groups, how many links they hold, and which pairs of ids are linked. So each distinct pair of tuples is aligned once and
-looked up from then on; words come again and again, and so do their windows.
+its groups, how many links they hold, and which pairs of ids are linked. So a task aligns each distinct pair of tuples once and
+looks it up from then on; words come again and again, and so do their windows.
 
-Every task sums, for each pair of ids, the documents that hold it. The sums give each window its total and its number of best
-links, once for the whole corpus, and a document adds up what its windows have. Windows of many documents, of which there are
-at most ``COMMON``, reach the documents by broadcast and are summed before anything moves; the others by a join on their digest.
+A document is written with its distinct pairs of ids and how often each is linked, so both texts are read once. Pairs are counted
+over all documents with map-side sums; there can be no more of them than pairs of vocabulary entries. Pairs of many documents,
+of which there are at most ``COMMON``, reach the documents by broadcast and are summed before anything moves; the others by a join.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary
+from .bpe import PIECES, Vocabulary
 from .common import settle, sha256, slices
-from .packing import IdBytes
 
-WINDOWS_HELD = 100_000
-PAIRS_HELD = 300_000
-WORDS_HELD = 150_000
-CHUNK = 20_000
+WINDOWS_HELD = 200_000
 COMMON = 100_000
 B_BITS = 20  # ids of the second vocabulary lie below
-DOCUMENT, WINDOW, PAIRS = 0, 1, 2
-
-
-class PlainIds(IdBytes):
-    """Ids of texts in which special tokens are plain text."""
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.coder.encode_ordinary(text), "<u4").tobytes()
+SLICE = 2 << 20
 
 
 class Side:
@@ -51,12 +40,8 @@ class Side:
         self.size = np.array([len(t) for t in self.bytes], np.int64)
         self.spaced = np.array([t.startswith(b" ") for t in self.bytes])
 
-    def spans(self, ids: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
-        """Starts and ends of the tokens; None if they are not the bytes of ``data``."""
-        if b"".join(map(self.bytes.__getitem__, ids.tolist())) != data:
-            return None
-        ends = np.cumsum(self.size[ids])
-        return ends - self.size[ids], ends
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
 
 
 def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> dict[int, bytes]:
@@ -71,177 +56,146 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> dict[int, bytes]
 class Window:
     """The alignment of two tuples of ids: groups as text, their number, links, pairs of ids with how often each is linked."""
 
-    def __init__(self, a: list[int], b: list[int], a_ends: np.ndarray, b_ends: np.ndarray, key: bytes):
-        self.key, self.documents = key, 0
-        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        a_cuts, b_cuts = (np.searchsorted(ends, shared, side="right").tolist() for ends in (a_ends, b_ends))
-        shown, links, i, k = [], Counter(), 0, 0
-        self.links = 0
-        for j, m in zip(a_cuts, b_cuts):
-            left, right = a[i:j], b[k:m]
+    __slots__ = ("groups", "links", "pairs", "text")
+
+    def __init__(self, a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]):
+        shown, pairs, self.links = [], {}, 0
+        i = k = first = second = 0
+        a_end, b_end = 0, 0
+        while i < len(a):
+            a_end, b_end = a_end + a_sizes[i], b_end + b_sizes[k]
+            i, k = i + 1, k + 1
+            while a_end != b_end:
+                if a_end < b_end:
+                    a_end, i = a_end + a_sizes[i], i + 1
+                else:
+                    b_end, k = b_end + b_sizes[k], k + 1
+            left, right = a[first:i], b[second:k]
+            first, second = i, k
             shown.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
             self.links += len(left) * len(right)
-            if len(left) == len(right) == 1:
-                links[left[0] << B_BITS | right[0]] += 1
-            else:
+            if len(left) + len(right) > 64:  # many repeats: each distinct pair once
                 times = Counter(right)
-                for x, n in Counter(left).items():
-                    for y, o in times.items():
-                        links[x << B_BITS | y] += n * o
-            i, k = j, m
-        self.groups, self.text = len(shown), ";".join(shown)
-        self.pairs, self.times = tuple(links), tuple(links.values())
+                linked = ((x << B_BITS | y, n * m) for x, n in Counter(left).items() for y, m in times.items())
+            else:
+                linked = ((x << B_BITS | y, 1) for x in left for y in right)
+            for pair, n in linked:
+                pairs[pair] = pairs.get(pair, 0) + n
+        self.groups, self.text, self.pairs = len(shown), ";".join(shown), tuple(pairs.items())
 
 
 class Aligner:
-    """Alignments of texts, with the windows and pair counts seen since the last ``drain``."""
+    """Alignments of texts; windows are held up to a number, then forgotten."""
 
-    def __init__(self, byte_path: str, piece_path: str):
-        self.encode = PlainIds(byte_path, WORDS_HELD)
+    def __init__(self, byte_path: str, piece_path: str, held: int = WINDOWS_HELD):
+        voc = Vocabulary(byte_path)
+        ranks = {t: i for t, i in voc.ids.items() if t.decode("utf-8", "replace") not in voc.special}
+        self.coder = tiktoken.Encoding("plain", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.model = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.a, self.b = Side(Vocabulary(byte_path).bytes), Side(piece_bytes(self.model))
-        self.windows: dict[tuple[bytes, bytes], Window] = {}
-        self.pairs: Counter[int] = Counter()
+        self.a, self.b = Side(voc.bytes), Side(piece_bytes(self.model))
+        self.held, self.windows = held, {}
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, list[Window]]]:
         """Numbers of tokens and the windows in order, for each text; nothing where the tokens are not the text."""
         for text, pieces in zip(texts, self.model.encode(texts, num_threads=1)):
             data = b" " + text.encode()
-            a = np.frombuffer(self.encode(" " + text), "<u4").astype(np.int64) if text else np.zeros(0, np.int64)
-            b = np.array(pieces, np.int64)
-            a_spans, b_spans = self.a.spans(a, data), self.b.spans(b, data)
-            yield (len(a), len(b), self._windows(a, b, a_spans, b_spans)) if a_spans and b_spans else (0, 0, [])
+            a = self.coder.encode_ordinary(" " + text) if text else []
+            if not text or self.a.joined(a) != data or self.b.joined(pieces) != data:
+                yield 0, 0, []
+            else:
+                yield len(a), len(pieces), self._windows(a, pieces)
 
-    def _windows(self, a, b, a_spans, b_spans) -> list[Window]:
-        anchors = np.intersect1d(a_spans[0][self.a.spaced[a]], b_spans[0][self.b.spaced[b]], assume_unique=True)
+    def _windows(self, a: list[int], b: list[int]) -> list[Window]:
+        a_ids, b_ids = np.array(a, "<u4"), np.array(b, "<u4")
+        a_sizes, b_sizes = self.a.size[a_ids], self.b.size[b_ids]
+        a_starts, b_starts = np.cumsum(a_sizes) - a_sizes, np.cumsum(b_sizes) - b_sizes
+        anchors = np.intersect1d(a_starts[self.a.spaced[a_ids]], b_starts[self.b.spaced[b_ids]], assume_unique=True)
         anchors = anchors[anchors > 0]
-        i = np.concatenate([[0], np.searchsorted(a_spans[0], anchors), [len(a)]]).tolist()
-        k = np.concatenate([[0], np.searchsorted(b_spans[0], anchors), [len(b)]]).tolist()
-        a_bytes, b_bytes = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
+        i = [0, *np.searchsorted(a_starts, anchors).tolist(), len(a)]
+        k = [0, *np.searchsorted(b_starts, anchors).tolist(), len(b)]
+        a_bytes, b_bytes = a_ids.tobytes(), b_ids.tobytes()
         keys = [(a_bytes[4 * p : 4 * q], b_bytes[4 * r : 4 * s]) for p, q, r, s in zip(i, i[1:], k, k[1:])]
         held = self.windows
-        if not all(map(held.__contains__, keys)):
-            for n, key in enumerate(keys):
-                if key not in held:
-                    digest = hashlib.blake2b(key[0], digest_size=16, key=len(key[0]).to_bytes(8, "little"))
-                    digest.update(key[1])
-                    p, q, r, s = i[n], i[n + 1], k[n], k[n + 1]
-                    start = a_spans[0][p]
-                    held[key] = Window(a[p:q].tolist(), b[r:s].tolist(), a_spans[1][p:q] - start, b_spans[1][r:s] - start, digest.digest())
-        return list(map(held.__getitem__, keys))
-
-    def count(self, windows: list[Window]) -> Counter:
-        """Of a document, each window with how often; its windows and its distinct pairs are counted as a document's."""
-        times = Counter(windows)
-        for window in times:
-            window.documents += 1
-        self.pairs.update(set().union(*[w.pairs for w in times]))
-        return times
-
-    def full(self) -> bool:
-        return len(self.windows) > WINDOWS_HELD or len(self.pairs) > PAIRS_HELD
-
-    def drain(self) -> Iterator[dict]:
-        """What was counted, in rows of bounded length; afterwards nothing is held."""
-        for window in self.windows.values():
-            for at in range(0, len(window.pairs), CHUNK):
-                part = slice(at, at + CHUNK)
-                yield {"kind": WINDOW, "key": window.key, "n": window.documents, "part": at // CHUNK,
-                       "pairs": window.pairs[part], "times": window.times[part]}
-        pairs, counts = list(self.pairs), list(self.pairs.values())
-        for at in range(0, len(pairs), CHUNK):
-            yield {"kind": PAIRS, "pairs": pairs[at : at + CHUNK], "times": counts[at : at + CHUNK]}
-        self.windows.clear()
-        self.pairs.clear()
+        if len(held) > self.held:
+            held.clear()
+        found = list(map(held.get, keys))
+        if None in found:
+            a_sizes, b_sizes = a_sizes.tolist(), b_sizes.tolist()
+            for n, window in enumerate(found):
+                if window is None:
+                    key, p, q, r, s = keys[n], i[n], i[n + 1], k[n], k[n + 1]
+                    if key not in held:
+                        held[key] = Window(a[p:q], b[r:s], a_sizes[p:q], b_sizes[r:s])
+                    found[n] = held[key]
+        return found
+
+
+def linked_pairs(windows: list[Window]) -> dict[int, int]:
+    """Of a document's windows, each pair of ids with how often it is linked."""
+    found: dict[int, int] = {}
+    for window, times in Counter(windows).items():
+        for pair, n in window.pairs:
+            found[pair] = found.get(pair, 0) + n * times
+    return found
 
 
 FIELDS = {
-    "kind": pa.int32(), "row": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(),
-    "groups_sha256": pa.string(), "groups": pa.string(), "key": pa.binary(), "n": pa.int64(), "part": pa.int64(),
-    "windows": pa.list_(pa.binary()), "pairs": pa.list_(pa.int64()), "times": pa.list_(pa.int64()),
+    "row": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(),
+    "groups_sha256": pa.string(), "groups": pa.string(), "a": pa.list_(pa.int32()), "b": pa.list_(pa.int32()), "times": pa.list_(pa.int64()),
 }
 SCHEMA = (
-    "kind int, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, key binary, "
-    "n long, part long, windows array<binary>, pairs array<bigint>, times array<bigint>"
+    "row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, a array<int>, b array<int>, "
+    "times array<bigint>"
 )
 
 
 def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str, text: str, with_groups: bool) -> DataFrame:
-    """Rows of three kinds: documents with their windows, windows with their pairs, numbers of documents of pairs."""
+    """A row for each row of ``docs``, with a number of its own and the distinct linked pairs of ids in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, row = Aligner(byte_path, piece_path), TaskContext.get().partitionId() << 33
-
-        def batch_of(rows: list[dict], ids: pa.Array) -> pa.RecordBatch:
-            made = [pa.array([r.get(c) for r in rows], kind) for c, kind in FIELDS.items()]
-            return pa.RecordBatch.from_arrays([ids, *made], [id_col, *FIELDS])
-
-        def drained(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-            rows = []
-            for found in aligner.drain():
-                rows.append(found)
-                if found["kind"] == PAIRS or len(rows) == CHUNK:
-                    yield batch_of(rows, pa.nulls(len(rows), kind))
-                    rows = []
-            if rows:
-                yield batch_of(rows, pa.nulls(len(rows), kind))
-
-        kind = None
         for whole in batches:
-            kind = whole.column(id_col).type
-            for batch in slices(whole, "__text"):
-                rows = []
+            for batch in slices(whole, "__text", SLICE):
+                columns: dict[str, list] = {c: [] for c in FIELDS}
                 for n_a, n_b, windows in aligner.align([t or "" for t in batch.column("__text").to_pylist()]):
-                    times = aligner.count(windows)
-                    shown = ";".join([w.text for w in windows])
-                    rows.append({
-                        "kind": DOCUMENT, "row": row, "n_a": n_a, "n_b": n_b, "n_groups": sum([w.groups for w in windows]),
-                        "n_links": sum([w.links for w in windows]), "groups_sha256": sha256(shown.encode()) if windows else "",
-                        "groups": shown if with_groups else None, "windows": [w.key for w in times], "times": list(times.values()),
-                    })
+                    pairs, shown = linked_pairs(windows), ";".join([w.text for w in windows])
+                    codes = np.fromiter(pairs, np.int64, len(pairs))
+                    order = np.argsort(codes)
+                    codes, times = codes[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+                    made = (
+                        row, n_a, n_b, sum([w.groups for w in windows]), sum([w.links for w in windows]),
+                        sha256(shown.encode()) if windows else "", shown if with_groups else None,
+                        (codes >> B_BITS).astype(np.int32), (codes & ((1 << B_BITS) - 1)).astype(np.int32), times,
+                    )
+                    for column, value in zip(columns.values(), made):
+                        column.append(value)
                     row += 1
-                yield batch_of(rows, batch.column(id_col))
-                if aligner.full():
-                    yield from drained(kind)
-        if kind is not None:
-            yield from drained(kind)
+                arrays = [pa.array(columns[c], kind) for c, kind in FIELDS.items()]
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), *arrays], [id_col, *FIELDS])
 
     id_kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{id_col}` {id_kind}, {SCHEMA}")
 
 
-def pair_counts(found: DataFrame) -> DataFrame:
-    """(pair, a, documents, best): of each linked pair of ids how many documents hold it, and whether no pair of ``a`` has more."""
-    each = found.where(F.col("kind") == PAIRS).select(F.explode(F.arrays_zip("pairs", "times")).alias("p"))
-    pairs = each.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.times").alias("documents"))
-    pairs = settle(pairs.withColumn("a", F.shiftright("pair", B_BITS)), "pairs")
-    most = pairs.groupBy("a").agg(F.max("documents").alias("most"))
-    return pairs.join(most, "a").select("pair", "a", "documents", (F.col("documents") == F.col("most")).alias("best"))
-
-
-def window_sums(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, n, count_sum, n_best) of each distinct window; ``n`` is how many documents have it."""
-    windows = found.where(F.col("kind") == WINDOW)
-    n = windows.where("part = 0").groupBy("key").agg(F.sum("n").alias("n"))
-    each = windows.dropDuplicates(["key", "part"]).select("key", F.explode(F.arrays_zip("pairs", "times")).alias("p"))
-    held = each.select("key", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times")).join(pairs, "pair")
-    sums = held.groupBy("key").agg(
-        F.sum(F.col("times") * F.col("documents")).alias("count_sum"),
-        F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
-    )
-    return sums.join(n, "key")
+def pair_counts(each: DataFrame) -> DataFrame:
+    """(pair, documents, best): of each linked pair of ids how many documents hold it, and whether its first id has none with more."""
+    pairs = settle(each.groupBy("pair").agg(F.count(F.lit(1)).alias("documents")), "pairs")
+    first = F.shiftright("pair", B_BITS)
+    most = pairs.groupBy(first.alias("first")).agg(F.max("documents").alias("most"))
+    counted = pairs.withColumn("first", first).join(most, "first")
+    return counted.select("pair", "documents", (F.col("documents") == F.col("most")).alias("best"))
 
 
-def common_least(sums: DataFrame, most: int) -> int:
-    """The smallest power of two that at most ``most`` windows reach in documents."""
-    steps = sums.groupBy(F.floor(F.log2("n")).alias("step")).count().collect()  # a row for each power of two
-    reached, least = 0, 64
+def common_least(pairs: DataFrame, most: int) -> int:
+    """The smallest power of two of documents that at most ``most`` pairs reach."""
+    steps = pairs.groupBy(F.floor(F.log2("documents")).alias("step")).count().collect()  # a row for each power of two
+    reached, least = 0, 62
     for r in sorted(steps, key=lambda r: -r["step"]):
         reached += r["count"]
         if reached > most:
             break
-        least = r["step"]
-    return 1 << min(int(least), 62)
+        least = int(r["step"])
+    return 1 << least
 
 
 def align(
@@ -255,22 +209,21 @@ def align(
     read by every executor. Texts may be of any length; a link's count is exact whatever ``common`` is.
     """
     found = settle(aligned(docs, byte_path, piece_path, id_col, text, with_groups), "aligned")
-    sums = settle(window_sums(found, pair_counts(found)), "windows")
-    least = common_least(sums, common)
-    documents = found.where(F.col("kind") == DOCUMENT)
-    each = documents.select("row", F.explode(F.arrays_zip("windows", "times")).alias("w"))
-    each = each.select("row", F.col("w.windows").alias("key"), F.col("w.times").alias("times"))
-    top = F.broadcast(sums.where(F.col("n") >= least).select("key", "count_sum", "n_best"))
-    rest = sums.where(F.col("n") < least).select("key", "count_sum", "n_best")
-    of_top = each.join(top, "key")
-    of_rest = each.join(top.select("key"), "key", "left_anti").join(rest, "key")
+    each = found.select("row", F.explode(F.arrays_zip("a", "b", "times")).alias("p"))
+    pair = F.shiftleft(F.col("p.a").cast("long"), B_BITS).bitwiseOR(F.col("p.b").cast("long"))
+    each = each.select("row", pair.alias("pair"), F.col("p.times").alias("times"))
+    pairs = settle(pair_counts(each), "pair-counts")
+    least = common_least(pairs, common)
+    top = F.broadcast(pairs.where(F.col("documents") >= least))
+    of_top = each.join(top, "pair")
+    of_rest = each.join(top.select("pair"), "pair", "left_anti").join(pairs.where(F.col("documents") < least), "pair")
     totals = lambda df: df.groupBy("row").agg(
-        F.sum(F.col("times") * F.col("count_sum")).alias("count_sum"), F.sum(F.col("times") * F.col("n_best")).alias("n_best")
+        F.sum(F.col("times") * F.col("documents")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best")
     )
     both = totals(of_top).unionByName(totals(of_rest)).groupBy("row")
     both = both.agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    facts = documents.select("row", id_col, "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["groups"] if with_groups else []))
-    return facts.join(both, "row", "left").select(
-        id_col, "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256", *(["groups"] if with_groups else [])
-    )
+    more = ["groups"] if with_groups else []
+    return found.join(both, "row", "left").select(
+        id_col, "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256", *more
+    )

@@ -89,18 +89,24 @@ def test_odd_texts(spark, common):
         assert alignment.align(spark.createDataFrame([], schema), A_FILE, B_FILE).count() == 0
 
 
-def test_what_is_held_is_bounded(monkeypatch):
-    monkeypatch.setattr(alignment, "WINDOWS_HELD", 3)
-    monkeypatch.setattr(alignment, "CHUNK", 2)
-    aligner = alignment.Aligner(A_FILE, B_FILE)
-    total = Counter()
-    for text in ("some words that differ", "some other words", "words"):
-        ((_, _, windows),) = aligner.align([text])
-        aligner.count(windows)
-        if aligner.full():
-            for row in aligner.drain():
-                assert len(row["pairs"]) <= 2
-                if row["kind"] == alignment.PAIRS:
-                    total.update(dict(zip(row["pairs"], row["times"])))
-            assert not aligner.windows and not aligner.pairs
-    assert total
+def test_windows_are_held_up_to_a_number_and_found_again():
+    small, large = alignment.Aligner(A_FILE, B_FILE, held=3), alignment.Aligner(A_FILE, B_FILE)
+    texts = ["some words that differ", "some other words", "words", "some words that differ"] * 3
+    for x, y in zip(small.align(texts), large.align(texts)):
+        assert x[:2] == y[:2] and [w.text for w in x[2]] == [w.text for w in y[2]]
+        assert alignment.linked_pairs(x[2]) == alignment.linked_pairs(y[2])
+    assert len(small.windows) <= 3 + 4
+    again = list(large.align(texts[:1]))[0][2]
+    assert all(any(w is held for held in large.windows.values()) for w in again)
+
+
+def test_window_of_many_repeats():
+    window = alignment.Window([1, 2] * 50, [3] * 100, [1] * 99 + [2], [1] * 99 + [2])
+    assert window.groups == 100 and window.links == 100
+    long = alignment.Window([1, 2] * 50, [3] * 67, [2] * 100, [3] * 66 + [2])
+    assert long.links == sum(n for _, n in long.pairs) and long.groups == 34
+
+
+    crossed = alignment.Window([7] * 50 + [8], [9] * 33 + [4] * 17 + [5], [2] * 50 + [1], [1] + [2] * 50)
+    assert (crossed.groups, crossed.links) == (1, 51 * 51)
+    assert dict(crossed.pairs)[7 << alignment.B_BITS | 9] == 50 * 33 and dict(crossed.pairs)[8 << alignment.B_BITS | 5] == 1
