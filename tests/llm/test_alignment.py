@@ -101,12 +101,10 @@ def test_windows_are_held_up_to_a_number_and_found_again():
 
 
 def test_window_of_many_repeats():
-    window = alignment.Window([1, 2] * 50, [3] * 100, [1] * 99 + [2], [1] * 99 + [2])
-    assert window.groups == 100 and window.links == 100
-    long = alignment.Window([1, 2] * 50, [3] * 67, [2] * 100, [3] * 66 + [2])
-    assert long.links == sum(n for _, n in long.pairs) and long.groups == 34
-
-
-    crossed = alignment.Window([7] * 50 + [8], [9] * 33 + [4] * 17 + [5], [2] * 50 + [1], [1] + [2] * 50)
+    names = list(map(str, range(10)))
+    made = lambda a, b, a_sizes, b_sizes: alignment.Window(a, b, a_sizes, b_sizes, names, names)
+    single = made([1, 2] * 50, [3] * 100, [1] * 99 + [2], [1] * 99 + [2])
+    assert (single.groups, single.links) == (100, 100) and dict(single.pairs) == {1 << alignment.B_BITS | 3: 50, 2 << alignment.B_BITS | 3: 50}
+    crossed = made([7] * 50 + [8], [9] * 33 + [4] * 17 + [5], [2] * 50 + [1], [1] + [2] * 50)
     assert (crossed.groups, crossed.links) == (1, 51 * 51)
     assert dict(crossed.pairs)[7 << alignment.B_BITS | 9] == 50 * 33 and dict(crossed.pairs)[8 << alignment.B_BITS | 5] == 1
