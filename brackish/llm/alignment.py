@@ -15,6 +15,7 @@ from __future__ import annotations
 import gc
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .bpe import PIECES, Vocabulary
 from .common import settle, sha256, slices
 
-WINDOWS_HELD = 300_000
+WINDOWS_HELD = 250_000
 COMMON = 100_000
 B_BITS = 20  # ids of the second vocabulary lie below
 SLICE = 2 << 20
@@ -57,17 +58,25 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> dict[int, bytes]
 
 
 class Window:
-    """The alignment of two tuples of ids: groups as text, their number, links, pairs of ids with how often each is linked."""
+    """The alignment of two tuples of ids: groups as text, their number, links, and the linked pairs of ids.
 
-    __slots__ = ("groups", "links", "pairs", "text")
+    ``pairs`` has a pair as often as it is linked; groups of very many links have theirs in ``many``, with how often.
+    """
+
+    __slots__ = ("groups", "links", "many", "pairs", "text")
 
     def __init__(self, a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int], a_names: list[str], b_names: list[str]):
-        shown, pairs, links = [], {}, 0
-        i = k = first = second = a_end = b_end = 0
-        n = len(a)
+        pairs: list[int] = []
+        self.many, self.links, n = None, 0, len(a)
+        if n == 1 and len(b) == 1:
+            self.pairs, self.links, self.groups = (a[0] << B_BITS | b[0],), 1, 1
+            self.text = f"{a_names[a[0]]}|{b_names[b[0]]}"
+            return
+        shown: list[str] = []
+        i = k = 0
         while i < n:
-            a_end += a_sizes[i]
-            b_end += b_sizes[k]
+            first, second = i, k
+            a_end, b_end = a_sizes[i], b_sizes[k]
             i += 1
             k += 1
             while a_end != b_end:
@@ -77,28 +86,31 @@ class Window:
                 else:
                     b_end += b_sizes[k]
                     k += 1
-            if i - first == 1 and k - second == 1:
-                x, y = a[first], b[second]
-                shown.append(f"{a_names[x]}|{b_names[y]}")
-                links += 1
-                pair = x << B_BITS | y
-                pairs[pair] = pairs.get(pair, 0) + 1
+            if i - first == 1:
+                x = a[first]
+                if k - second == 1:
+                    y = b[second]
+                    pairs.append(x << B_BITS | y)
+                    shown.append(f"{a_names[x]}|{b_names[y]}")
+                    continue
+                x <<= B_BITS
+                right = b[second:k]
+                pairs += [x | y for y in right]
+                shown.append(f"{a_names[a[first]]}|{','.join([b_names[y] for y in right])}")
+                continue
+            left, right = a[first:i], b[second:k]
+            shown.append(f"{','.join([a_names[x] for x in left])}|{','.join([b_names[y] for y in right])}")
+            if len(left) + len(right) > 64:
+                times, many = Counter(right), Counter() if self.many is None else self.many
+                for x, m in Counter(left).items():
+                    for y, o in times.items():
+                        many[x << B_BITS | y] += m * o
+                self.many = many
+                self.links += len(left) * len(right)
             else:
-                left, right = a[first:i], b[second:k]
-                shown.append(f"{','.join([a_names[x] for x in left])}|{','.join([b_names[y] for y in right])}")
-                links += len(left) * len(right)
-                if len(left) + len(right) > 64:  # many repeats: each distinct pair once
-                    times = Counter(right)
-                    for x, m in Counter(left).items():
-                        for y, o in times.items():
-                            pairs[x << B_BITS | y] = pairs.get(x << B_BITS | y, 0) + m * o
-                else:
-                    for x in left:
-                        x <<= B_BITS
-                        for y in right:
-                            pairs[x | y] = pairs.get(x | y, 0) + 1
-            first, second = i, k
-        self.groups, self.links, self.text, self.pairs = len(shown), links, ";".join(shown), tuple(pairs.items())
+                pairs += [x << B_BITS | y for x in left for y in right]
+        self.links += len(pairs)
+        self.groups, self.text, self.pairs = len(shown), ";".join(shown), tuple(pairs)
 
 
 class Aligner:
@@ -116,24 +128,25 @@ class Aligner:
         """Numbers of tokens and the windows in order, for each text; nothing where the tokens are not the text."""
         for text, pieces in zip(texts, self.model.encode(texts, num_threads=1)):
             data = b" " + text.encode()
-            a = self.coder.encode_ordinary(" " + text) if text else []
-            if not text or self.a.joined(a) != data or self.b.joined(pieces) != data:
+            # the first vocabulary has every byte, so its tokens lose nothing if their sizes add up
+            a = np.array(self.coder.encode_ordinary(" " + text) if text else (), np.uint32)
+            if not text or self.a.size[a].sum() != len(data) or self.b.joined(pieces) != data:
                 yield 0, 0, []
             else:
                 yield len(a), len(pieces), self._windows(a, pieces)
 
-    def _windows(self, a: list[int], b: list[int]) -> list[Window]:
-        a_ids, b_ids = np.array(a, np.uint32), np.array(b, np.uint32)
+    def _windows(self, a_ids: np.ndarray, b: list[int]) -> list[Window]:
+        b_ids = np.array(b, np.uint32)
         a_sizes, b_sizes = self.a.size[a_ids], self.b.size[b_ids]
         a_starts, b_starts = np.cumsum(a_sizes) - a_sizes, np.cumsum(b_sizes) - b_sizes
         anchors = np.intersect1d(a_starts[self.a.spaced[a_ids]], b_starts[self.b.spaced[b_ids]], assume_unique=True)
         anchors = anchors[anchors > 0]
-        i = np.concatenate([[0], np.searchsorted(a_starts, anchors), [len(a)]])
+        i = np.concatenate([[0], np.searchsorted(a_starts, anchors), [len(a_ids)]])
         k = np.concatenate([[0], np.searchsorted(b_starts, anchors), [len(b)]])
         # both tuples of each window side by side, with a mark between
         number = np.arange(len(i) - 1)
-        tuples = np.full(len(a) + len(b) + len(number), MARK, np.uint32)
-        tuples[np.arange(len(a)) + np.repeat(k[:-1] + number, np.diff(i))] = a_ids
+        tuples = np.full(len(a_ids) + len(b) + len(number), MARK, np.uint32)
+        tuples[np.arange(len(a_ids)) + np.repeat(k[:-1] + number, np.diff(i))] = a_ids
         tuples[np.arange(len(b)) + np.repeat(i[1:] + number + 1, np.diff(k))] = b_ids
         data, cuts = tuples.tobytes(), (4 * (i + k + np.arange(len(i)))).tolist()
         keys = [data[x:y] for x, y in zip(cuts, cuts[1:])]
@@ -142,7 +155,7 @@ class Aligner:
             held.clear()
         found = list(map(held.get, keys))
         if None in found:
-            i, k, a_sizes, b_sizes = i.tolist(), k.tolist(), a_sizes.tolist(), b_sizes.tolist()
+            a, i, k, a_sizes, b_sizes = (x.tolist() for x in (a_ids, i, k, a_sizes, b_sizes))
             for n, window in enumerate(found):
                 if window is None:
                     key = keys[n]
@@ -153,13 +166,18 @@ class Aligner:
         return found
 
 
-def linked_pairs(windows: list[Window]) -> dict[int, int]:
-    """Of a document's windows, each pair of ids with how often it is linked."""
-    found: dict[int, int] = {}
-    for window, times in Counter(windows).items():
-        for pair, n in window.pairs:
-            found[pair] = found.get(pair, 0) + n * times
-    return found
+def linked_pairs(windows: list[Window]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a document's windows, the distinct pairs of ids in order, and how often each is linked."""
+    pairs, times = np.unique(np.fromiter(chain.from_iterable([w.pairs for w in windows]), np.int64), return_counts=True)
+    many = [w.many for w in windows if w.many is not None]
+    if not many:
+        return pairs, times
+    pairs = np.concatenate([pairs, *(np.fromiter(m, np.int64, len(m)) for m in many)])
+    times = np.concatenate([times, *(np.fromiter(m.values(), np.int64, len(m)) for m in many)])
+    distinct, place = np.unique(pairs, return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, place, times)
+    return distinct, total
 
 
 FIELDS = {
@@ -177,15 +195,18 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # what is held has no cycles, and looking for them costs a sixth of the time
+        try:
+            yield from work(batches)
+        finally:
+            gc.enable()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, row = Aligner(byte_path, piece_path), TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in slices(whole, "__text", SLICE):
                 columns: dict[str, list] = {c: [] for c in FIELDS}
                 for n_a, n_b, windows in aligner.align([t or "" for t in batch.column("__text").to_pylist()]):
-                    pairs, shown = linked_pairs(windows), ";".join([w.text for w in windows])
-                    codes = np.fromiter(pairs, np.int64, len(pairs))
-                    order = np.argsort(codes)
-                    codes, times = codes[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+                    (codes, times), shown = linked_pairs(windows), ";".join([w.text for w in windows])
                     made = (
                         row, n_a, n_b, sum([w.groups for w in windows]), sum([w.links for w in windows]),
                         sha256(shown.encode()) if windows else "", shown if with_groups else None,
