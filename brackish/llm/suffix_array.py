@@ -3,7 +3,8 @@
 Which strings can repeat at all: the 16-byte grams of every window of 200 bytes have hashes, and the smallest is the window's
 class. Equal windows have equal classes. Consecutive windows of one class are kept as one string, so a document becomes about
 a string for every 92 bytes. A string whose class no other has, and in which no gram of that hash repeats, holds no repeat.
-The others meet in the task of their class, each distinct string once with its number of occurrences.
+The others meet in the task of their class, each distinct string once with its number of occurrences; a class of one
+distinct string, as copies leave behind, is an interval as it stands.
 
 There, strings are dealt into shards. Each shard is suffix-sorted by itself, and its transform gives for each suffix the
 eight bytes before it. The shards are merged by refining their interleave: from the order of all suffixes by their first d
@@ -286,9 +287,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, class_bytes: int = CLA
     """(key, spans) of documents (key long, body binary): unsorted runs (start, size) of bytes in repeated strings."""
     every = Window.partitionBy("kind")
     counted = _strings(docs, length).select(
-        "*", F.count("*").over(every).alias("n"), F.max(F.col("place").bitwiseAND(F.lit(1))).over(every).alias("inner")
-    )
-    live = settle(counted.where("n > 1 OR inner = 1").select("kind", "string", "key", "place"), "strings")
+        "*", F.count("*").over(every).alias("n"), F.max(F.col("place").bitwiseAND(F.lit(1))).over(every).alias("inner"),
+        (F.min("string").over(every) == F.max("string").over(every)).alias("alike"),
+    )
+    # where a class is one string that comes again, all its windows do: an interval of equal suffixes, with nothing to merge
+    marked = counted.select("kind", "string", "key", "place", (F.col("alike") & (F.col("inner") == 0)).alias("alike"), "n", "inner")
+    held = settle(marked.where("n > 1 OR inner = 1").drop("n", "inner"), "strings")
+    live = held.where(~F.col("alike")).drop("alike")
     distinct = live.groupBy("kind", "string").agg(F.count("*").alias("weight"), F.min(F.struct("key", "place")).alias("one"))
     distinct = distinct.select("kind", "string", "weight", "one.key", "one.place")
     strings = settle(_bytes_of(distinct, docs, length), "string-bytes")
@@ -299,6 +304,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, class_bytes: int = CLA
     spans = live.join(judged, ["kind", "string"]).select(
         "key", (F.shiftright("place", 12) + F.col("start")).alias("start"), (F.col("windows") + (length - 1)).alias("size")
     )
+    whole = held.where("alike").select(
+        "key", F.shiftright("place", 12).alias("start"),
+        (F.shiftright("place", 1).bitwiseAND(F.lit(0x7FF)) + (length - 1)).alias("size"),
+    )
+    spans = spans.unionByName(whole)
     return spans.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
 
