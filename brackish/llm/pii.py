@@ -9,6 +9,8 @@ the parts are joined again. Mail addresses and secrets, which are no numbers, ge
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,9 @@ def permuted(number: Column, a: int, b: int, key: Column, label: str) -> Column:
         odd = F.struct(left.alias("left"), moved(right, left, turn, b).alias("right"))
         return F.when(turn % 2 == 0, even).otherwise(odd)
 
-    start = F.struct(F.floor(number / b).cast("long").alias("left"), (number % b).cast("long").alias("right"))
+    # whole-number division: from 2^53 on a quotient of doubles is rounded
+    quotient = F.call_function("div", number.cast("long"), F.lit(b).cast("long"))
+    start = F.struct(quotient.alias("left"), (number % b).cast("long").alias("right"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda h: h["left"] * b + h["right"])
 
 
@@ -156,8 +160,8 @@ def _month_first(value: Column, key: Column) -> Column:
 
 
 def mail(value: Column, key: Column) -> Column:
-    """The name before the sign becomes twelve keyed letters; the domain stays. Letter case counts for nothing."""
-    name = F.translate(F.substring(_digest(key, "mail", F.lower(value)), 1, 12), "0123456789abcdef", "abcdefghijklmnop")
+    """The name before the sign becomes 24 keyed letters, 96 bits; the domain stays. Letter case counts for nothing."""
+    name = F.translate(F.substring(_digest(key, "mail", F.lower(value)), 1, 24), "0123456789abcdef", "abcdefghijklmnop")
     return F.concat(name, F.lit("@"), F.substring_index(value, "@", -1))
 
 
@@ -199,9 +203,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
     """``docs`` with private values of ``text`` replaced, other columns as they are; ``count`` names a column of changes.
 
     Null stays null and counts no change; a text without values is not touched. Repeated rows stay equal. Whole texts are
-    searched; numbers that fail validation (check digit, octets, calendar) are no private values.
+    searched; numbers that fail validation (check digit, octets, calendar) are no private values. What the plan holds, and so
+    what explain and logs can show, is a digest of ``key``, not the key; whoever has that digest can still repeat the pseudonyms.
     """
-    made = "__made"
+    made, key = "__made", hashlib.sha256(b"pseudonyms|" + key.encode()).hexdigest()
     some = F.col(text).rlike("[0-9@]") & F.col(text).rlike(VALUE)
     plain = F.struct(F.col(text).alias("text"), F.lit(0).alias("n"))
     wide = docs.withColumn(made, F.when(some, replaced(F.col(text), F.lit(key))).otherwise(plain))
