@@ -49,10 +49,10 @@ def _exponential(bits: Column, at: int) -> Column:
 
 def bid(term: Column, weight_log: Column, position: int) -> Column:
     """The bid in the upper bits and the sample below, as a long whose order is the bids'."""
-    first, second = F.xxhash64(term, F.lit(2 * position)), F.xxhash64(term, F.lit(2 * position + 1))
+    first, second, third = (F.xxhash64(term, F.lit(3 * position + i)) for i in range(3))
     scale = _exponential(first, 0) + _exponential(first, 32) + 1e-9
     cost = F.log(_exponential(second, 0) + _exponential(second, 32) + 1e-9)
-    shift = F.shiftrightunsigned(first.bitwiseXOR(second), 40) / float(1 << 24)
+    shift = F.shiftrightunsigned(third, 40) / float(1 << 24)
     level = F.floor(weight_log / scale + shift)
     value = cost - scale * (level - shift + 1)
     sample = (F.shiftrightunsigned(term, 20) + level * 40503).bitwiseAND(F.lit((1 << (SAMPLE_BITS - 1)) - 1)) + 1
@@ -85,64 +85,70 @@ def as_text(samples: Column) -> Column:
     return F.concat_ws("", F.transform(samples, lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))))
 
 
-def following(ids: DataFrame, column: str) -> DataFrame:
-    """(id, next_id) in ascending order, the first after the last; ``ids`` are distinct and not null.
-
-    Ids are dealt into ranges and ordered within each; only the ends of the ranges are looked at together.
-    """
-    parts = max(1, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = settle(
-        ids.repartitionByRange(parts, column).select(F.col(column).alias("id"), F.spark_partition_id().alias("part")), "ranges"
-    )
-    inside = Window.partitionBy("part").orderBy("id")
-    ends = ranged.groupBy("part").agg(F.min("id").alias("first"))
-    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row for each range
-    later = Window.orderBy("part")
-    ends = ends.select("part", F.coalesce(F.lead("first").over(later), F.first("first").over(over)).alias("next_first"))
-    found = ranged.select("id", "part", F.lead("id").over(inside).alias("lead"))
-    return found.join(F.broadcast(ends), "part").select("id", F.coalesce("lead", "next_first").alias("next_id"))
+def ranges(ids: DataFrame, column: str, each: int = 4) -> list:
+    """The largest id of each of some ranges with about as many rows; a few for every shuffle partition."""
+    parts = each * max(1, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = ids.where(F.col(column).isNotNull()).select(column).repartitionByRange(parts, column)
+    ends = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.max(column).alias("last")).orderBy("part")
+    return [r["last"] for r in ends.collect()]  # one for each range
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, next_id, text, edited) of every row; ``edited`` has the next document's beginning in place of the second half.
+    """(part, place, id, next_part, text, edited) of every row: ``edited`` has the next document's beginning as its second half.
 
-    The next document of a null id is empty. Of rows that share an id the one whose text is smallest stands for it. Only as
-    much of the next document travels as is used.
+    Texts move once: rows are dealt by ranges of ids, and within a range, and within its order of ids, the next document is at hand.
+    Only the first document of each range travels to the range before. Of rows that share an id the one whose text is smallest
+    stands for it; the document after the last is the first. A null id has no next document, and its rows are dealt by text.
+    ``part`` and ``place`` tell rows apart; rows that repeat id and text are alike but for their place.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    half = own.groupBy("id").agg(F.max(F.floor(F.length("text") / 2)).alias("half"))
-    order = settle(following(own.where("id IS NOT NULL").select("id").distinct(), "id"), "order")
-    wanted = order.join(half, "id").select(F.col("next_id").alias("id"), F.col("id").alias("before"), "half")
-    heads = own.join(wanted, "id").select("before", F.expr("substring(text, 1, int(half))").alias("head"))
-    heads = heads.groupBy("before").agg(F.min("head").alias("head"))
-    with_next = own.join(order, "id", "left")
-    both = with_next.join(heads, with_next.id == heads.before, "left")
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    ends = ranges(own, "id")
+    # the range of an id: how many ranges end before it
+    part = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e < F.col("id"))) if ends else F.lit(0)
+    lone = -1 - F.pmod(F.xxhash64("text"), F.lit(max(1, len(ends)))).cast("int")
+    dealt = own.withColumn("part", F.when(F.col("id").isNull(), lone).otherwise(part.cast("int")))
+    down = Window.partitionBy("part").orderBy(F.col("id").desc(), F.col("text").desc())
+    seen = down.rowsBetween(Window.unboundedPreceding, -1)
+    # the last row of an id, going down, is its smallest text
+    placed = dealt.select(
+        "part", "id", "text", F.row_number().over(down).alias("place"),
+        F.when(~F.lead("id").over(down).eqNullSafe(F.col("id")), F.col("text")).alias("head"),
+    )
+    placed = placed.select("part", "place", "id", "text", F.last("head", True).over(seen).alias("next_text"))
+    firsts = dealt.where("id IS NOT NULL").groupBy("part").agg(F.min(F.struct("id", "text")).alias("first"))
+    before = F.pmod(F.col("part") - 1, F.lit(max(1, len(ends)))).cast("int")
+    firsts = firsts.select(before.alias("before"), F.col("first.text").alias("first_text"))
+    met = placed.join(firsts, (placed.part == firsts.before) & placed.next_text.isNull() & placed.id.isNotNull(), "left")
     kept = F.expr("substring(text, 1, int(length(text) - floor(length(text) / 2)))")
-    new = F.expr("substring(coalesce(head, ''), 1, int(floor(length(text) / 2)))")
-    return both.select("id", "next_id", "text", F.concat(kept, new).alias("edited"))
+    new = F.expr("substring(coalesce(next_text, first_text, ''), 1, int(floor(length(text) / 2)))")
+    return met.select("part", "place", "id", "text", F.concat(kept, new).alias("edited"))
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text: str = "text", positions: int = POSITIONS) -> DataFrame:
     """id, n_chars, edited_sha256, samples, edited_samples, near_edited and near_next of every row.
 
-    Samples are found again by two hashes, 96 bits, of id and text; rows that repeat both share theirs and stay. Equal texts
-    have equal samples; two texts without words are alike (1), one with and one without are not (0).
-    ``near_next`` compares with the document that ``edited_pairs`` names; for a null id with an empty text.
+    Every row is sampled by itself, so equal texts have equal samples however often they come; two texts without words are
+    alike (1), one with and one without are not (0). ``near_next`` compares with the document that ``edited_pairs`` names; for a
+    null id with an empty text. Nulls, repeated rows and long texts as in ``edited_pairs``; an empty table gives an empty result.
     """
     pairs = edited_pairs(docs, id_col, text)
-    keys = [F.xxhash64("id", "text").alias("k1"), F.hash("id", "text").alias("k2")]
-    facts = pairs.select(
-        *keys, "id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
-    )
-    both = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")),
-                   F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))
-    each = pairs.select("id", *keys, F.explode(both).alias("t")).select("id", "k1", "k2", "t.which", "t.body")
-    made = signatures(each, ["id", "k1", "k2", "which"], "body", positions)
+    facts = pairs.select("part", "place", "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    bodies = F.array("text", "edited")
+    each = pairs.select("part", "place", F.posexplode(bodies).alias("which", "body"))
+    made = signatures(each, ["part", "place", "which"], "body", positions)
     one = lambda n: F.max(F.when(F.col("which") == n, F.col("samples")))
-    made = made.groupBy("id", "k1", "k2").agg(one(0).alias("samples"), one(1).alias("edited_samples")).drop("id")
-    table = settle(facts.join(made, ["k1", "k2"]).drop("k1", "k2"), "samples")
-    by_id = table.groupBy(F.col("id").alias("other")).agg(F.min("samples").alias("next_samples"))
-    found = table.join(by_id, table.next_id == by_id.other, "left")
+    made = made.groupBy("part", "place").agg(one(0).alias("samples"), one(1).alias("edited_samples"))
+    table = settle(facts.join(made, ["part", "place"]), "samples")
+    # the same order again, now of short rows
+    ids = table.where("id IS NOT NULL")
+    first_of = ids.groupBy("id").agg(F.max_by("samples", "place").alias("first_samples"), F.max("part").alias("part"))
+    down = Window.partitionBy("part").orderBy(F.col("id").desc())
+    starts = first_of.groupBy("part").agg(F.min_by("first_samples", "id").alias("start"))
+    parts = starts.select(F.max("part") + 1).scalar()
+    starts = starts.select(F.pmod(F.col("part") - 1, parts).alias("part"), "start")
+    following = first_of.select("id", "part", F.lag("first_samples").over(down).alias("inside"))
+    following = following.join(starts, "part").select("id", F.coalesce("inside", "start").alias("next_samples"))
+    found = table.join(following, "id", "left")
     nothing = F.array_repeat(F.lit(NOTHING), positions)
     return found.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", "samples", "edited_samples",
