@@ -7,6 +7,7 @@ and the probability of a grade of at least k come from the same weights, so that
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,16 +20,16 @@ RIDGE = 1e-3
 TAIL = 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
 STEPS = (0.01, 0.05, 0.2, 0.5)
+LONGEST_HELD = 1000  # shapes of longer tokens are found again
+
+
+def _kind(c: str) -> str:
+    return ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
 
 
 def shape(token: str) -> str:
-    """Letters, digits and signs of a token, runs as one: 'Haus,' and 'der,' are both 'a,', 'ABC!!' is 'A!'."""
-    out = []
-    for c in token[:64]:
-        kind = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return "".join(out[:6])
+    """Letters, digits and signs of a whole token, runs as one: 'Haus,' and 'der,' are both 'a,', 'ABC!!' is 'A!'."""
+    return "".join(kind for kind, _ in groupby(map(_kind, token)))
 
 
 class Features:
@@ -40,9 +41,11 @@ class Features:
     def _shape(self, token: str) -> str:
         found = self.shapes.get(token)
         if found is None:
+            found = shape(token)
             if len(self.shapes) > tm.WORDS_HELD:
                 self.shapes.clear()
-            found = self.shapes[token] = shape(token)
+            if len(token) <= LONGEST_HELD:
+                self.shapes[token] = found
         return found
 
     def __call__(self, text: str) -> set[int]:
