@@ -104,7 +104,7 @@ def ablation(rows: DataFrame, policies: dict[str, tuple[str, ...]] = POLICIES, r
     )
 
 
-ORACLE = rf"""
+JUDGED = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 parts AS (
     SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -121,6 +121,15 @@ counts AS (
         len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')))::BIGINT AS n_upper_words
     FROM parts LEFT JOIN repeats r USING (doc_id)),
 judged AS (SELECT *, CAST({failure_bits()} AS BIGINT) AS fail_bits FROM counts)
+"""
+ORACLE = f"""{JUDGED}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {mask(BASE)}) <> 0 AS base_failed,
-    (fail_bits & {mask(POLICIES["v2"])}) = 0 AS kept, fail_bits FROM judged
+    (fail_bits & {mask(POLICIES["v2"])}) = 0 AS kept, (fail_bits & {mask(POLICIES["v1"])}) = 0 AS kept_v1, fail_bits FROM judged
+"""
+ABLATION_ORACLE = f"""{JUDGED},
+spec(policy, rule, mask, bit) AS (VALUES {", ".join(f"('{v}', '{r}', {mask(p)}, {bit(r)})" for v, p in POLICIES.items() for r in p)})
+SELECT policy, rule, count(*) AS n_docs, count(*) FILTER (fail_bits & bit <> 0) AS n_failed,
+    count(*) FILTER (fail_bits & mask = 0) AS n_kept, count(*) FILTER (fail_bits & mask & ~bit = 0) AS n_kept_without,
+    coalesce(bit_or(fail_bits) FILTER (fail_bits & mask = 0), 0)::BIGINT AS any_kept_bits
+FROM judged CROSS JOIN spec GROUP BY policy, rule
 """

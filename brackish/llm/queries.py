@@ -25,10 +25,16 @@ def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.POLICIES["v2"]).alias("kept"), "fail_bits",
+        (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.POLICIES["v2"]).alias("kept"),
+        quality.passes(quality.POLICIES["v1"]).alias("kept_v1"), "fail_bits",
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy keeps, and would keep without each of its rules, from counts of the ledger's bit patterns."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
 def op2_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 for low quality, 1 for good quality that is toxic, 2 for good quality that is not."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -97,5 +103,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
 
 
-LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_html": op6_html, "op7_weighted_samples": op7_weighted_samples, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing, "op11_hash_tree": op11_hash_tree, "op12_count_trie": op12_count_trie, "op13_alignment": op13_alignment}
-LLM_ORACLE: dict[str, str] = {"op1_quality_ledger": quality.ORACLE}
+LLM_QUERIES = {"op1_quality_ledger": op1_quality_ledger, "quality_ablation": quality_ablation, "op2_ordinal": op2_ordinal, "op3_suffix_array": op3_suffix_array, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_html": op6_html, "op7_weighted_samples": op7_weighted_samples, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_packing": op10_packing, "op11_hash_tree": op11_hash_tree, "op12_count_trie": op12_count_trie, "op13_alignment": op13_alignment}
+LLM_ORACLE: dict[str, str] = {"op1_quality_ledger": quality.ORACLE, "quality_ablation": quality.ABLATION_ORACLE}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -145,6 +146,7 @@ def test_ordinal_thresholds_and_grades(spark, odd, empty):
     graded = ordinal.grade(docs, trained, ["doc_id"]).join(labels, "doc_id").collect()
     assert sum((r.tail >= 0.5) == (r.toxic == 0) for r in graded) > 0.95 * len(graded)
     assert ordinal.grade(odd, trained, ["doc_id"]).count() == odd.count() and ordinal.grade(empty, trained, ["doc_id"]).count() == 0
+    assert ordinal.shape("ab" * 500 + "9!") == "a0!" and ordinal.shape("aB" * 40) == "aA" * 40
     assert ordinal.shape("ABC!!") == "A!" and ordinal.shape("Haus,") == "Aa,"
 
 
@@ -238,6 +240,31 @@ def test_permutation_is_one_to_one_and_as_by_hand(spark):
     assert all(r.p == _feistel(r.id, 270, 27, "k", "t") for r in rows[::97])
 
 
+def _plan_key(key):
+    """What the plan holds of a caller's key."""
+    return hashlib.sha256(b"pseudonyms|" + key.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("kind, a, b", [
+    *((f"card{n}", 10 ** (n - 2 - (n - 2) // 2), 10 ** ((n - 2) // 2)) for n in range(13, 20)),
+    ("social", 898 * 99, 9999), ("phone", 80000, 80000), ("phone-other", 60000, 60000), ("address", 65536, 65536),
+])
+def test_permutations_of_the_largest_domains(spark, kind, a, b):
+    """Numbers beyond 2^53 among them: every one as by hand, and different ones stay different."""
+    rnd = random.Random(kind)
+    numbers = sorted({0, 1, b - 1, b, b + 1, a * b - 1, a * b - 2, a * b // 2, *(rnd.randrange(a * b) for _ in range(80))})
+    numbers += [n for n in (99999999999999999, 99999999) if n < a * b and n not in numbers]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    got = {r.n: r.p for r in df.select("n", pii.permuted(F.col("n"), a, b, F.lit("k"), kind).alias("p")).collect()}
+    assert got == {n: _feistel(n, a, b, "k", kind) for n in numbers} and len(set(got.values())) == len(numbers)
+    assert all(0 <= p < a * b for p in got.values())
+
+
+def test_key_is_not_in_the_plan(spark, odd):
+    held = pii.pseudonymise(odd, "a caller's secret")
+    assert "a caller's secret" not in held._jdf.queryExecution().toString()
+
+
 def _luhn(digits):
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
@@ -255,10 +282,10 @@ def test_pseudonyms_keep_their_format(spark, odd, empty):
     days = [date.fromisoformat(new[2]), date(*map(int, reversed(new[3].split("/")))), date(*map(int, reversed(new[4].split("."))))]
     assert days[1] == days[2]
     number = (date(1999, 12, 31) - date(1900, 1, 1)).days
-    assert days[1] == date(1900, 1, 1) + timedelta(_feistel(number, 270, 270, "secret", "date"))
+    assert days[1] == date(1900, 1, 1) + timedelta(_feistel(number, 270, 270, _plan_key("secret"), "date"))
     assert all(0 <= int(x) <= 255 for x in new[5].split(".")) and re.fullmatch(r"\d{3}-\d{2}-\d{4}", new[6])
     assert re.fullmatch(r"\+1 \([2-9]\d{2}\) [2-9]\d{2}-\d{4}", new[7]) and new[7][4:7] == new[8][:3] and new[7][-4:] == new[8][-4:]
-    assert re.fullmatch(r"[a-p]{12}@mail7\.example\.com", new[9]) and re.fullmatch(r"AKIA[0-9A-F]{16}", new[10])
+    assert re.fullmatch(r"[a-p]{24}@mail7\.example\.com", new[9]) and re.fullmatch(r"AKIA[0-9A-F]{16}", new[10])
     assert pii.pseudonymise(docs, "other").where("doc_id = 1").collect()[0].text != got[1].text
     kept = pii.pseudonymise(odd, "secret")
     assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
@@ -350,19 +377,69 @@ def test_samples_agree_as_often_as_the_similarity_says(spark, odd, empty):
     got = {r.doc_id: r.samples for r in made.collect()}
     found = [np.mean(np.array(got[2 * i]) == np.array(got[2 * i + 1])) for i in range(60)]
     assert abs(np.mean(found) - np.mean(truth)) < 0.04 and np.sqrt(np.mean((np.array(found) - truth) ** 2)) < 0.13
-    some = odd.where("doc_id <> 7 OR doc_id IS NULL")
+    some = odd
     rows = cws.compared(some).collect()
     assert len(rows) == some.count()
     by = defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
     assert by[5][0].samples == by[5][1].samples == by[6][0].samples and by[2][0].near_next == 1.0 and by[3][0].n_chars == 0
+    assert by[5][0].near_next == by[5][1].near_next == 1.0 and by[7][0].n_chars == len(LONG)
     assert by[2][0].samples == [cws.NOTHING] * cws.POSITIONS and by[2][0].edited_sha256 == hashlib.sha256(b"").hexdigest()
     text = "Some words that are here once, and no more."
     assert by[1][0].edited_sha256 == hashlib.sha256(text[: len(text) - len(text) // 2].encode()).hexdigest()
     assert cws.compared(empty).count() == 0
 
 
+def test_equal_texts_have_equal_samples_however_often_they_come(spark):
+    rows = [(1, "a b c d e f a"), (1, "a b c d e f a"), (2, "a b c d e f a"), (3, "other words"), (None, "a b c d e f a"), (None, "a b c d e f a")]
+    got = cws.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same = [r.samples for r in got if r.n_chars == 13]
+    assert len(got) == 6 and len(same) == 5 and all(s == same[0] for s in same)
+    assert [r.near_next for r in got if r.doc_id == 1] == [1.0, 1.0]
+
+
+def _xx(number, *more):
+    """The 64-bit hash of a long and ints, one seeding the next, as a signed number."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", number), 42)
+    for m in more:
+        h = _xx_int(m, h)
+    return h
+
+
+def _xx_int(value, seed):
+    return xxhash.xxh64_intdigest(struct.pack("<i", value), seed)
+
+
+def test_samples_one_by_one(spark):
+    """Every bid of some words again in plain Python, and each sample is that of the lowest."""
+    texts = {i: " ".join(f"w{(i * k) % 17}" for k in range(1, 30 + i)) for i in range(6)} | {9: "word " * 5000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    made = {r.doc_id: r.samples for r in cws.signatures(df, ["doc_id"], "text").collect()}
+
+    def exponential(bits, at):
+        low = (bits >> at) & (2**64 - 1) | 1 << 12
+        halvings = ((low & -low) - 1).bit_count()
+        v, between = ((bits >> (at + 12)) & (2**20 - 1)) / 2**20, 0.0
+        for factor in reversed(cws.BETWEEN):
+            between = (between + factor) * v
+        return halvings * math.log(2) + between
+
+    for doc, text in texts.items():
+        best = [None] * cws.POSITIONS
+        for word, n in Counter(text.split()).items():
+            term = xxhash.xxh64_intdigest(word.encode(), 42)
+            signed = term - 2**64 if term >> 63 else term
+            for k in range(cws.POSITIONS):
+                first, second, third = (_xx(signed, 3 * k + i) for i in range(3))
+                scale = exponential(first, 0) + exponential(first, 32) + 1e-9
+                level = math.floor(math.log(n) / scale + (third >> 40) / 2**24)
+                value = math.log(exponential(second, 0) + exponential(second, 32) + 1e-9) - scale * (level - (third >> 40) / 2**24 + 1)
+                sample = ((term >> 20) + level * 40503 & (1 << (cws.SAMPLE_BITS - 1)) - 1) + 1
+                best[k] = min(best[k] or (math.inf, 0), (value, sample))
+        assert made[doc] == [s for _, s in best], doc
+
+
 def test_edited_texts_of_the_tables(spark, documents, texts):
     ids = sorted(texts)
     for r in cws.edited_pairs(documents).collect():
