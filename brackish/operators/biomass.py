@@ -176,7 +176,9 @@ def plankton_biomass(
     """Biomass per sample and group (or per category of groups)."""
     taxa = taxon_biomass(samples, weights, mysids, groups, rules, place)
     wanted = ["sampleid", "station", *place, "salsurf", "date", "year", "ibmr", "source", "sizeclass", "bpue"]
-    rows = same_gear_only(settle(taxa.select(*wanted), "taxa"), rules)
+    # Summed before it is written, by what the gear rule still has to see.
+    sums = group_all_but(taxa.select(*wanted), "bpue").agg(F.sum("bpue").alias("bpue"))
+    rows = same_gear_only(settle(sums, "taxa"), rules)
     if categories is not None:
         rows = rows.withColumn(group, categorise(F.col("ibmr"), categories))
     picked = rows.select("sampleid", "station", *place, "salsurf", "date", "year", group, "bpue")

@@ -39,12 +39,13 @@ def drop_high_outliers(
     """Drop values ``limit`` or more standard deviations above their group's mean.
 
     One-sided: far lower values stay. A group without spread or with a missing value has
-    no score and is dropped whole. The few group statistics are joined back instead of
-    running a window over raw rows, so the rows of a group stay spread out.
+    no score and is dropped whole. The group statistics are settled first, so that the plan
+    knows how few they are: the raw rows then meet them by broadcast and are not shuffled.
     """
     stats = rows.groupBy(*keys).agg(
         strict_avg(value).alias("__mean"), F.nullif(strict_sd(value), F.lit(0.0)).alias("__sd")
     )
+    stats = settle(stats, "outlier-statistics")
     scored = attach(rows, stats, keys)
     return scored.filter((F.col(value) - F.col("__mean")) / F.col("__sd") < limit).drop("__mean", "__sd")
 
@@ -161,11 +162,12 @@ def index_of_rows(
     kind: str = "season",
     month_na: str = "strict",
     unit: str = "region",
+    years: tuple[int, int] = (FIRST_YEAR, LAST_YEAR),
 ) -> DataFrame:
     """The index from usable observations, for callers that draw several tables from them."""
     eligible = join_eligibility(rows, eligibility, region)
     monthly = settle(monthly_means(eligible, unit), "monthly")
-    return roll_up(seasonal_means(monthly, unit, month_na), kind, unit)
+    return roll_up(seasonal_means(monthly, unit, month_na), kind, unit, years)
 
 
 def index_table(index: DataFrame, frame: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
@@ -183,6 +185,12 @@ def season_frame(spark, years: tuple[int, int] = (FIRST_YEAR, LAST_YEAR)) -> Dat
     return expand_grid(spark, season=SEASONS, year=range(years[0], years[1] + 1))
 
 
+def region_frame(regions: DataFrame, years: tuple[int, int] = (FIRST_YEAR, LAST_YEAR), name: str = "region") -> DataFrame:
+    """Every region with every year."""
+    every = F.explode(F.sequence(F.lit(years[0]), F.lit(years[1])))
+    return regions.select(name).dropna().distinct().select(name, every.alias("year"))
+
+
 def sample_sizes(table: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
     """Sample sizes of an index table in long form."""
     counts = [f"n_{v}" for v in variables]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brackish.functions.numeric import interpolate
 from brackish.operators.attach import attach
+from brackish.session import settle
 
 ACCURACY = 20_000
 
@@ -55,6 +56,7 @@ def exact_quantiles(
         "__n",
         *[enclosing(i, side).alias(f"__{i}_{side}") for i in range(len(names)) for side in (0, 1)],
     )
+    bounds = settle(bounds, "quantile-limits")  # a row a group: the plan then knows how few they are
     # One entry per quantile a row can matter for: its value if it lies in between,
     # missing if it lies below and is only counted.
     entries = F.array(

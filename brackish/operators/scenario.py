@@ -41,6 +41,19 @@ def out_of_range(values: DataFrame, conversions: DataFrame) -> DataFrame:
     return set_difference(values.select("tenths"), conversions.select("tenths"))
 
 
+def targets_out_of_range(
+    target: DataFrame, scenarios: Sequence[str], conversions: DataFrame, months: Sequence[int]
+) -> DataFrame:
+    """(scenario, outside): of each scenario the target salinities (in tenths) that no conversion of these months covers, in order.
+
+    Scenarios without one are left out. A list holds distinct tenths only, of a row for each month.
+    """
+    aims = lengthen(target.select(*scenarios), scenarios, "scenario", "salinity").select("scenario", tenths(F.col("salinity")).alias("tenths"))
+    covered = conversions.filter(F.col("month").isin(list(months))).select("tenths").distinct()
+    outside = aims.dropna().distinct().join(covered, "tenths", "left_anti")
+    return outside.groupBy("scenario").agg(F.array_sort(F.collect_set("tenths")).alias("outside"))
+
+
 def salinity_correction(
     data: DataFrame,
     conversions: DataFrame,

@@ -39,28 +39,31 @@ def box_outliers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 30) -> DataFrame:
-    """Counts in equal-width bins between each group's smallest and largest value.
+    """Counts in ``bins`` equal bins of each group: the first is centred on the smallest value, the last on the largest.
 
-    Bins run from 1; the largest value belongs to the last one. Empty bins are listed.
+    So a bin is as wide as the range by one less than the bins. A bin holds its upper edge, to a part in 10^8 of its width.
+    Empty bins are listed; a group of one value, or a single bin, has one bin, of width 0.1 if the values are equal.
     """
-    rows = df.select(*keys, F.col(value).alias("__v")).dropna(subset=["__v"])
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).dropna(subset=["__v"])
     span = settle(rows.groupBy(*keys).agg(F.min("__v").alias("low"), F.max("__v").alias("high")), "span")
-    width = (F.col("high") - F.col("low")) / bins
-    place = F.when(width == 0, 1).otherwise(
-        F.least(F.floor((F.col("__v") - F.col("low")) / F.nullif(width, F.lit(0.0))) + 1, F.lit(bins))
-    )
+    extent = F.col("high") - F.col("low")
+    single = (extent == 0) | F.lit(bins == 1)
+    width = F.when(extent == 0, 0.1).otherwise(extent / max(bins - 1, 1))
+    first = F.when(single & (extent > 0), F.col("low")).otherwise(F.col("low") - width / 2)
+    span = span.select(*keys, width.alias("__width"), first.alias("__first"), F.when(single, 1).otherwise(bins).alias("__bins"))
+    place = F.ceil((F.col("__v") - F.col("__first")) / F.col("__width") - 1e-8)
     counts = (
         attach(rows, span, keys)
-        .groupBy(*keys, place.cast("int").alias("bin"))
+        .groupBy(*keys, F.least(F.greatest(place, F.lit(1)), F.col("__bins")).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    every_bin = span.select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    every_bin = span.select("*", F.explode(F.sequence(F.lit(1), F.col("__bins"))).alias("bin"))
     filled = attach(every_bin, counts, [*keys, "bin"])
     return filled.select(
         *keys,
         "bin",
-        (F.col("low") + (F.col("bin") - 1) * width).alias("bin_low"),
-        (F.col("low") + F.col("bin") * width).alias("bin_high"),
+        (F.col("__first") + (F.col("bin") - 1) * F.col("__width")).alias("bin_low"),
+        (F.col("__first") + F.col("bin") * F.col("__width")).alias("bin_high"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 

@@ -11,14 +11,21 @@ from brackish.functions.calendar import SEASONS, shifted_year
 from brackish.functions.geometry import NAD27, NAD83, WGS84
 from brackish.functions.numeric import signed_expm1, signed_log1p
 from brackish.functions.text import level_order, remove_all, split_part
-from brackish.operators import anova, biomass, dedupe, hydro, indices, regression, scenario, spatial, summaries, surface
-from brackish.operators.attach import attach
-from brackish.operators.reshape import union_tagged
+from brackish.operators import anova, biomass, dedupe, hydro, indices, numbering, regression, scenario, spatial, summaries, surface
+from brackish.operators.attach import attach, shared_left_join
+from brackish.operators.reshape import relocate, union_tagged
 from brackish.plans import views
 from brackish.plans.views import snapped
 from brackish.session import fresh_path, settle
-from brackish.sources.readers import read_after_preamble, read_table
-from brackish.sources.writers import write_and_continue
+from brackish.sources.readers import (
+    header_names,
+    read_after_preamble,
+    read_by_headers,
+    read_table,
+    survey_observations,
+    surveys_of,
+)
+from brackish.sources.writers import write_and_continue, write_observations, write_table
 
 VARIABLES = ("temperature", "secchi", "salinity")
 YEARS = range(1995, 2003)
@@ -85,6 +92,19 @@ def index_table_multi(spark: SparkSession, d: str) -> DataFrame:
     return snapped(_index_table(spark, d))
 
 
+def index_table_year(spark: SparkSession, d: str) -> DataFrame:
+    """Yearly indices on every region and year, sample sizes beside them."""
+    index = settle(_index(spark, d, "year", "relaxed"), "index")
+    frame = indices.region_frame(views.region_map(spark, d), (YEARS[0], YEARS[-1]))
+    return snapped(indices.index_table(index, frame, ["region", "year"], VARIABLES))
+
+
+def index_window(spark: SparkSession, d: str) -> DataFrame:
+    """The seasonal index of some of the years."""
+    rows = _rows(spark, d, "secchi")
+    return snapped(indices.index_of_rows(rows, _eligibility(spark, d), "all", "season", "relaxed", years=(1996, 1998)))
+
+
 def index_n_long(spark: SparkSession, d: str) -> DataFrame:
     return indices.sample_sizes(_index_table(spark, d), ["season", "year"], VARIABLES)
 
@@ -180,6 +200,54 @@ def grid_positions(spark: SparkSession, d: str) -> DataFrame:
     return snapped(out.drop("lon", "lat"), 2)
 
 
+def survey_years(spark: SparkSession, d: str) -> DataFrame:
+    """Observations stored by survey, read back for two surveys and some years: folders and rows are pruned by the scan."""
+    path = fresh_path(spark, "surveys")
+    write_observations(views.obs(spark, d), path)
+    rows = survey_observations(spark, path, ("A", "N"), end_year=1998)
+    return snapped(rows.groupBy("source", "year").agg(F.count(F.lit(1)).alias("n"), F.avg("secchi").alias("secchi")))
+
+
+def survey_long_term(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the surveys that a filter on a dimension table leaves: folders are pruned when the query runs."""
+    path = fresh_path(spark, "surveys")
+    write_observations(views.obs(spark, d), path)
+    marked = settle(views.surveys(spark, d), "survey-list").filter("short_of_third > 0")
+    rows = surveys_of(spark.read.parquet(path), marked)
+    return snapped(rows.groupBy("source", "year").agg(F.count(F.lit(1)).alias("n"), F.avg("salinity").alias("salinity")))
+
+
+LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "lineitem").select(*LINE_ORDER, "l_returnflag")
+
+
+def numbered_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every order line with its number by date, order and line, over all and within its survey from the latest on."""
+    over_all = numbering.number_rows(_lines(spark, d), LINE_ORDER)
+    within = numbering.number_rows(over_all, LINE_ORDER, "place", within=["l_returnflag"], descending=LINE_ORDER)
+    return within.select("l_orderkey", "l_linenumber", "number", "place")
+
+
+def first_seen_stations(spark: SparkSession, d: str) -> DataFrame:
+    """Stations in the order in which they first appear, two of them as baseline left out."""
+    return numbering.first_seen(_lines(spark, d), "l_suppkey", LINE_ORDER, baseline=[1, 2])
+
+
+def region_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Nations with their sub-region's region by a join on the columns both tables share."""
+    nations = views.table(spark, d, "nation").select(F.col("n_name").alias("subregion"), "n_nationkey")
+    return relocate(shared_left_join(nations, views.region_map(spark, d)), "region", "subregion")
+
+
+def shifted_years(spark: SparkSession, d: str) -> DataFrame:
+    """Observations by the year that December opens."""
+    rows = views.obs(spark, d).groupBy(shifted_year(F.col("date")).alias("yearadj"), "month")
+    return snapped(rows.agg(F.count(F.lit(1)).alias("n"), F.avg("secchi").alias("secchi")))
+
+
 # --- flows --------------------------------------------------------------------------------
 
 
@@ -321,6 +389,13 @@ def out_of_range_keys(spark: SparkSession, d: str) -> DataFrame:
     return scenario.out_of_range(keyed, views.conversions(data))
 
 
+def targets_out_of_range(spark: SparkSession, d: str) -> DataFrame:
+    """Target salinities that conversions up to 2.5 do not reach."""
+    short = views.conversions(_ordinary_biomass(spark, d)).filter("tenths <= 25")
+    target = scenario.scenario_means(views.model_output(spark, d))
+    return scenario.targets_out_of_range(target, TARGETS, short, views.SUMMER_MONTHS)
+
+
 def monthly_salinity_grid(spark: SparkSession, d: str) -> DataFrame:
     data = views.placed_obs(spark, d).withColumn("salsurf", F.col("secchi") / 5)
     return scenario.salinity_grid(data.select("region", "month", "salsurf"), "region")
@@ -610,6 +685,17 @@ def csv_skip_preamble(spark: SparkSession, d: str) -> DataFrame:
     return read_after_preamble(spark, path, "date date, inflowtotal double, export double").dropna("any")
 
 
+def csv_by_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Scenario files whose columns differ from year to year, found by their first lines and read as one table."""
+    path = fresh_path(spark, "scenarios")
+    rows = settle(views.scenario_salinity(spark, d), "scenarios")
+    for odd, names in ((0, ["sal_base", "sal_a"]), (1, ["sal_b", "sal_base"])):
+        write_table(rows.filter(F.col("year") % 2 == odd).select("region", "year", "month", *names), f"{path}/{odd}")
+    table = read_by_headers(spark, f"{path}/*", {"region": "int", "year": "int", "month": "int"}, "double")
+    names = header_names(table, "sal_")
+    return table.groupBy("year").agg(*[F.count(n).alias(f"n_{n}") for n in names], *[F.bround(F.sum(n), 1).alias(n) for n in names])
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
@@ -623,6 +709,8 @@ QUERIES: dict[str, Query] = {
         seasonal_index_relaxed,
         yearly_index,
         index_table_multi,
+        index_table_year,
+        index_window,
         index_n_long,
         index_wide,
         salinity_field,
@@ -639,6 +727,12 @@ QUERIES: dict[str, Query] = {
         datum_check,
         datum_unmatched,
         grid_positions,
+        survey_years,
+        survey_long_term,
+        numbered_lines,
+        first_seen_stations,
+        region_rows,
+        shifted_years,
         water_year_flow,
         month_starts,
         drought_series,
@@ -654,6 +748,7 @@ QUERIES: dict[str, Query] = {
         salinity_correction,
         corrected_summary,
         out_of_range_keys,
+        targets_out_of_range,
         monthly_salinity_grid,
         scenario_ratio,
         missing_results,
@@ -689,5 +784,6 @@ QUERIES: dict[str, Query] = {
         csv_roundtrip,
         csv_inferred,
         csv_skip_preamble,
+        csv_by_headers,
     )
 }

@@ -617,6 +617,40 @@ ORACLE: dict[str, str] = {
         TABLE,
         f"SELECT season, year, {snaps('temperature secchi salinity')}, n_temperature, n_secchi, n_salinity FROM index_table",
     ),
+    "index_table_year": q(
+        f"""{index("relaxed", "year")}, wide AS (
+ SELECT region, year, {", ".join(f"any_value(value) FILTER (variable = '{v}') AS {v}, any_value(n) FILTER (variable = '{v}') AS n_{v}" for v in ("temperature", "secchi", "salinity"))}
+ FROM index GROUP BY region, year)""",
+        f"""SELECT region, year, {snaps('temperature secchi salinity')}, n_temperature, n_secchi, n_salinity
+ FROM (SELECT r_name AS region, y::INT AS year FROM region CROSS JOIN range(1995, 2003) t(y)) LEFT JOIN wide USING (region, year)""",
+    ),
+    "index_window": q(
+        f"""{usable("secchi")}, {ELIGIBILITY},
+eligible AS (SELECT u.*, e.region FROM usable u JOIN eligibility e USING (subregion, season) WHERE long_term),
+{monthly("eligible", "region")}, {seasonal("region", "relaxed")}""",
+        f"""SELECT variable, season, year, {snap(strict("value"))} AS value, sum(n)::BIGINT AS n
+ FROM seasonal WHERE year IN (1996, 1997, 1998) GROUP BY variable, season, year""",
+    ),
+    "survey_years": q(
+        OBS, f"SELECT source, year, count(*) AS n, {snap('avg(secchi)')} AS secchi FROM obs WHERE source IN ('A', 'N') AND year <= 1998 GROUP BY 1, 2"
+    ),
+    "survey_long_term": q(
+        OBS,
+        f"""SELECT source, year, count(*) AS n, {snap('avg(salinity)')} AS salinity FROM obs
+ WHERE source IN (SELECT source FROM obs GROUP BY source HAVING count(*) * 3 < (SELECT count(*) FROM obs)) GROUP BY 1, 2""",
+    ),
+    "numbered_lines": """SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS number,
+ row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS place FROM lineitem""",
+    "first_seen_stations": """SELECT l_suppkey, first_row, row_number() OVER (ORDER BY first_row) AS level FROM (
+ SELECT l_suppkey, min(n) AS first_row
+ FROM (SELECT l_suppkey, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)
+ WHERE l_suppkey NOT IN (1, 2) GROUP BY l_suppkey)""",
+    "region_rows": """SELECT r_name AS region, n_name AS subregion, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "shifted_years": q(
+        OBS,
+        f"""SELECT (year + CASE WHEN month = 12 THEN 1 ELSE 0 END)::INT AS yearadj, month, count(*) AS n, {snap('avg(secchi)')} AS secchi
+ FROM obs GROUP BY 1, 2""",
+    ),
     "index_n_long": q(
         TABLE,
         """SELECT season, year, 'temperature' AS variable, n_temperature AS n FROM index_table
@@ -744,6 +778,12 @@ eligible AS (SELECT u.*, e.region FROM usable u JOIN eligibility e USING (subreg
         CORRECTED,
         f"""SELECT ibmr, month, scenario, {snap(strict("bpue_adj", "sum"), 4)} AS bpue_sum,
  {snap(strict("bpue_adj", "stddev_samp"), 4)} AS bpue_sd FROM corrected GROUP BY ibmr, month, scenario""",
+    ),
+    "targets_out_of_range": q(
+        MEANS,
+        """SELECT scenario, list_sort(list(DISTINCT tenths)) AS outside FROM (
+ SELECT scenario, round_even(salinity * 10, 0)::INT AS tenths
+ FROM scenario_means UNPIVOT (salinity FOR scenario IN (a_bn_base, a_bn_gates))) WHERE tenths NOT BETWEEN 0 AND 25 GROUP BY scenario""",
     ),
     "out_of_range_keys": q(ORDINARY, "SELECT tenths FROM ordinary EXCEPT SELECT tenths FROM conversions"),
     "monthly_salinity_grid": q(
@@ -892,15 +932,24 @@ years AS (SELECT ibmr, region2, count(DISTINCT year)::INT AS n_years FROM scaled
  FROM fenced GROUP BY season, region, q1, median, q3""",
     ),
     "histogram_counts": q(
-        f"""{PLACED}, span AS (SELECT region, min(secchi) AS lo, max(secchi) AS hi FROM placed GROUP BY 1),
+        f"""{PLACED}, span AS (
+ SELECT region, (max(secchi) - min(secchi)) / 14 AS width, min(secchi) - (max(secchi) - min(secchi)) / 28 AS first FROM placed GROUP BY 1),
+edges AS (SELECT region, b::INT AS bin, first + (b - 1) * width AS lo, first + b * width AS hi, width FROM span CROSS JOIN range(1, 16) r(b)),
 counted AS (
- SELECT region, least(floor((secchi - lo) / ((hi - lo) / 15)) + 1, 15)::INT AS bin, count(*) AS n
- FROM placed JOIN span USING (region) GROUP BY 1, 2)""",
-        f"""SELECT s.region, b::INT AS bin, {snap("lo + (b - 1) * ((hi - lo) / 15)")} AS bin_low,
- {snap("lo + b * ((hi - lo) / 15)")} AS bin_high, coalesce(n, 0) AS n
- FROM span s CROSS JOIN range(1, 16) r(b) LEFT JOIN counted c ON c.region = s.region AND c.bin = b""",
+ SELECT e.region, e.bin, count(*) AS n FROM edges e JOIN placed p
+  ON p.region = e.region AND p.secchi > lo + 1e-8 * width AND p.secchi <= hi + 1e-8 * width GROUP BY 1, 2)""",
+        f"""SELECT e.region, e.bin, {snap("lo")} AS bin_low, {snap("hi")} AS bin_high, coalesce(n, 0) AS n
+ FROM edges e LEFT JOIN counted USING (region, bin)""",
     ),
     "csv_roundtrip": q(PLACED, "SELECT source, station, date, subregion, temperature, secchi FROM placed"),
     "csv_inferred": q(FLOW, "SELECT date, inflowtotal, export FROM flow"),
+    "csv_by_headers": """SELECT year, n_sal_base, CASE WHEN year % 2 = 0 THEN n_sal_a ELSE 0 END AS n_sal_a,
+ CASE WHEN year % 2 = 1 THEN n_sal_b ELSE 0 END AS n_sal_b, sal_base,
+ CASE WHEN year % 2 = 0 THEN sal_a END AS sal_a, CASE WHEN year % 2 = 1 THEN sal_b END AS sal_b FROM (
+ SELECT year, count(sal_base) AS n_sal_base, count(sal_a) FILTER (sal_a >= 0.4) AS n_sal_a, count(sal_b) AS n_sal_b,
+  round_even(sum(sal_base), 1) AS sal_base, round_even(sum(sal_a) FILTER (sal_a >= 0.4), 1) AS sal_a, round_even(sum(sal_b), 1) AS sal_b
+ FROM (SELECT year(l_shipdate)::INT AS year, (sum(l_linenumber) % 25)::DOUBLE / 10 AS sal_base,
+   (sum(l_partkey) % 25)::DOUBLE / 10 AS sal_a, (sum(l_suppkey) % 31)::DOUBLE / 10 AS sal_b
+  FROM lineitem GROUP BY l_suppkey % 2, year(l_shipdate), month(l_shipdate)) GROUP BY year)""",
     "csv_skip_preamble": q(FLOW, "SELECT date, inflowtotal, export FROM flow WHERE export IS NOT NULL"),
 }

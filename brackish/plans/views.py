@@ -87,6 +87,13 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("subregion"), ring.alias("ring"))
 
 
+def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of the observations, with how many rows each is short of a third of them."""
+    sources = obs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    total = sources.select(F.sum("n")).scalar()
+    return sources.select("source", (total - F.col("n") * 3).alias("short_of_third"))
+
+
 #: A unit of the patchwork as degrees and as metres of the zone's grid, and where its corner lies.
 DEGREES, METRES = (0.00114, 0.0009), 100.0
 LON_LAT, EAST_NORTH = (-122.0, 38.0), (587900.0, 4206400.0)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brackish.functions.geometry import NAD27, NAD83, WGS84
-from brackish.operators import biomass, dedupe, hydro, indices, regression, reshape, scenario, spatial, summaries
+from brackish.operators import biomass, dedupe, hydro, indices, numbering, regression, reshape, scenario, spatial, summaries
 from brackish.operators.attach import attach, duplicated_keys, expect_rows, expect_unique, shared_left_join
 from brackish.operators.densify import complete, expand_grid
 from brackish.operators.quantiles import exact_quantiles
@@ -127,7 +127,11 @@ def test_box_and_histogram(spark, rows):
     assert (box["a"]["median"], box["a"]["whisker_high"], box["a"]["n_outliers"], box["a"]["n"]) == (3.0, 4.0, 1, 5)
     assert rows(summaries.box_outliers(df, ["g"], "v")) == [("a", 100.0)]
     hist = summaries.histogram(df, ["g"], "v", 3)
-    assert rows(hist.select("g", "bin", "n")) == [("a", 1, 4), ("a", 2, 0), ("a", 3, 1), ("b", 1, 2), ("b", 2, 0), ("b", 3, 0)]
+    assert rows(hist.select("g", "bin", "n")) == [("a", 1, 4), ("a", 2, 0), ("a", 3, 1), ("b", 1, 2)]
+    assert rows(hist.filter("g = 'a'"), "bin_low", "bin_high")[0] == (-23.75, 25.75)  # centred on the smallest value
+    edges = spark.createDataFrame([("c", v) for v in (0.0, 1.0, 1.0, 1.5, 4.0)], "g string, v double")
+    assert [r.n for r in summaries.histogram(edges, ["g"], "v", 3).orderBy("bin").collect()] == [3, 1, 1]  # upper edges inside
+    assert rows(summaries.histogram(edges, ["g"], "v", 1), "bin", "n") == [(1, 5)]
     assert rows(summaries.band(df.limit(1), "v", "v"), "ymin", "ymax") == [(0.0, 2.0)]
 
 
@@ -503,3 +507,52 @@ def test_salinity_grid(spark):
 def test_scenario_means(spark, rows):
     df = spark.createDataFrame([(dt.datetime(2022, 6, 1), 1.0, 2.0), (dt.datetime(2022, 6, 2), 1.25, 3.0), (dt.datetime(2022, 6, 3), 9.0, None)], "datetime timestamp_ntz, a_bn_x double, a_bn_y double")
     assert rows(scenario.scenario_means(df)) == [(6, 1.1, 2.5)]
+
+
+# --- numbering ------------------------------------------------------------------------
+
+
+def test_row_numbers_of_ties_and_groups(spark, rows):
+    data = [("a", 3), ("b", 1), ("a", None), ("b", 1), ("b", 2), (None, 5)] + [("z", 7)] * 500
+    df = spark.createDataFrame(data, "g string, v int").repartition(7)
+    got = numbering.number_rows(df, ["g", "v"]).collect()
+    assert sorted(r.number for r in got) == list(range(1, len(data) + 1))
+    order = [(r.g, r.v) for r in sorted(got, key=lambda r: r.number)]
+    assert order[:6] == [(None, 5), ("a", None), ("a", 3), ("b", 1), ("b", 1), ("b", 2)]
+    within = numbering.number_rows(df, ["v"], "place", within=["g"], descending=["v"], start=0)
+    assert within.columns == ["g", "v", "place"]
+    assert rows(within.filter("g = 'b' OR g IS NULL")) == [("b", 1, 1), ("b", 1, 2), ("b", 2, 0), (None, 5, 0)]
+    assert sorted(r.place for r in within.filter("g = 'z'").collect()) == list(range(500))
+    assert numbering.number_rows(df.filter("v > 99"), ["v"]).count() == 0
+
+
+def test_hot_value_is_numbered_in_more_than_one_task(spark, monkeypatch):
+    """A pile of equal rows is dealt into several ranges."""
+    written = []
+    monkeypatch.setattr(numbering, "settle", lambda df, label: written.append(settle(df, label)) or written[-1])
+    numbered = numbering.number_rows(spark.range(20_000).select(F.lit(1).alias("k")), ["k"])
+    assert numbered.agg(F.count_distinct("number"), F.max("number")).first()[:] == (20_000, 20_000)
+    sizes = [r["count"] for r in written[0].groupBy(F.shiftright("__at", numbering.PLACE_BITS).alias("part")).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 15_000
+
+
+def test_first_seen_order(spark, rows):
+    data = [(1, "x"), (2, None), (3, "base"), (4, "y"), (5, "x"), (6, "base")]
+    df = spark.createDataFrame(data, "at int, name string").repartition(3)
+    assert rows(numbering.first_seen(df, "name", ["at"], baseline=["base"])) == [("x", 1, 1), ("y", 4, 2)]
+    assert rows(numbering.first_seen(df, "name", ["at"])) == [("base", 3, 2), ("x", 1, 1), ("y", 4, 3)]
+
+
+def test_few_statistics_are_broadcast(spark):
+    """Settled statistics: the raw rows meet them without a shuffle of their own."""
+    df = settle(spark.range(5000).selectExpr("id % 3 AS g", "double(id % 17) AS value"), "rows")
+    kept = indices.drop_high_outliers(df, ["g"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_targets_outside_the_model_come_in_order(spark):
+    target = spark.createDataFrame([(1, 9.1, 1.0), (2, 1.0, 1.1), (3, 8.0, None)], "month int, a double, b double")
+    covered = spark.createDataFrame([(6, t) for t in (10, 11)] + [(1, 80)], "month int, tenths int")
+    got = scenario.targets_out_of_range(target, ["a", "b"], covered, [6, 7]).collect()
+    assert [(r.scenario, r.outside) for r in got] == [("a", [80, 91])]

@@ -27,6 +27,52 @@ def test_preamble_is_skipped_in_every_file(spark, rows, tmp_path):
     assert readers.header_names(table, "sal_") == ["sal_y"]
 
 
+def test_preamble_of_a_large_file_is_read_in_several_tasks(spark, tmp_path):
+    """Blocks that do not start the file keep all their lines, whatever they look like."""
+    lines = [f"{i},{'x' * (i % 60)},note {i}" for i in range(60_000)]
+    notes = [f"note {k}" for k in range(10)]
+    for name, body in (("a.csv", lines), ("b.csv", lines[:3]), ("c.csv", [])):
+        (tmp_path / name).write_text("\n".join([*notes, "k,text,mark", *body]) + "\n")
+    (tmp_path / "short.csv").write_text("note 1\nnote 2\n")
+    (tmp_path / "empty.csv").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        table = readers.read_after_preamble(spark, str(tmp_path), "k int, text string, mark string")
+        assert table.rdd.getNumPartitions() > 4
+        got = sorted((r.k, r.text or "", r.mark) for r in table.collect())
+        assert got == sorted((i, "x" * (i % 60), f"note {i}") for i in [*range(60_000), 0, 1, 2])
+        with pytest.raises(Exception, match="first block"):
+            readers.read_after_preamble(spark, str(tmp_path / "a.csv"), "k int, text string, mark string", skip=50_000).count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_with_other_columns_are_one_table(spark, rows, tmp_path):
+    (tmp_path / "1.csv").write_text("region,sal_base,sal_a\n1,0.5,NA\n")
+    (tmp_path / "2.csv").write_bytes('﻿"sal_b",region\r\n2.5,2\r\n'.encode())
+    (tmp_path / "3.csv").write_text("region,sal_base,sal_a\n3,1.5,2\n")
+    (tmp_path / "4.csv").write_text("")
+    headers = readers.file_headers(spark, str(tmp_path))
+    assert [n for _, n in headers] == [("region", "sal_base", "sal_a"), ("sal_b", "region"), ("region", "sal_base", "sal_a")]  # Spark lists no empty file
+    table = readers.read_by_headers(spark, str(tmp_path), {"region": "int"}, "double")
+    assert table.dtypes == [("region", "int"), ("sal_base", "double"), ("sal_a", "double"), ("sal_b", "double")]
+    assert rows(table) == [(1, 0.5, None, None), (2, None, None, 2.5), (3, 1.5, 2.0, None)]
+    (tmp_path / "5.csv").write_text("region,region\n1,2\n")
+    with pytest.raises(ValueError, match="twice"):
+        readers.read_by_headers(spark, str(tmp_path), {})
+
+
+def test_folders_are_pruned_by_a_dimension(spark, rows, tmp_path):
+    df = spark.createDataFrame([(s, 2000 + i, float(i)) for s in ("EMP", "STN", "SKT") for i in range(50)], "source string, year int, v double")
+    path, names = str(tmp_path / "obs"), str(tmp_path / "names")
+    writers.write_observations(df, path)
+    spark.createDataFrame([("EMP", 1975), ("STN", 2002), ("SKT", 2002)], "source string, since int").write.parquet(names)
+    picked = readers.surveys_of(spark.read.parquet(path), spark.read.parquet(names).filter("since < 1980"))
+    assert rows(picked.groupBy("source").count()) == [("EMP", 50)]
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0], plan[:3000]
+
+
 def test_survey_filters_reach_the_scan(spark, tmp_path):
     df = spark.createDataFrame([("EMP", 2000, 1.0), ("STN", 2022, 2.0), ("Other", 2000, 3.0)], "source string, year int, v double")
     path = str(tmp_path / "obs")
