@@ -9,7 +9,7 @@ the cheapest labelling of the whole page; the blocks that the source still reach
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -36,16 +36,18 @@ BAD_NAMES = frozenset(
     "pagination pager skip contentinfo complementary outbrain taboola paywall feedback".split()
 )
 GOOD_NAMES = frozenset("article content post entry story main body text prose".split())
+#: Parts of names that say what a frame around other things has, as in `layout with-sidebar` or `content has-comments`.
+FRAME_NAMES = frozenset("with without has no layout wrapper wrap container frame page site".split())
 STRONG, PLACE, WEAK = 12.0, 4.0, 1.0
 NEAR, SIBLING, FAR = 1.0, 0.5, 0.25
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Block:
-    __slots__ = ("parts", "linked", "tag", "path", "bad", "good", "text")
+    __slots__ = ("parts", "linked", "tag", "place", "bad", "good", "text")
 
-    def __init__(self, tag: str, path: tuple[int, ...], bad: float, good: float):
-        self.parts, self.linked, self.tag, self.path, self.bad, self.good, self.text = [], 0, tag, path, bad, good, ""
+    def __init__(self, tag: str, place: tuple[int, int, int], bad: float, good: float):
+        self.parts, self.linked, self.tag, self.place, self.bad, self.good, self.text = [], 0, tag, place, bad, good, ""
 
 
 class Page(HTMLParser):
@@ -54,7 +56,10 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, int, float, float]] = []  # tag, number, evidence against and for
+        #: tag, number, own evidence against and for, the greatest of those of it and all around it
+        self.open: list[tuple[str, int, float, float, float, float]] = []
+        self.around: list[tuple[int, str]] = [(0, "")] * 3  # number and tag of the open elements that make blocks
+        self.opened: Counter[str] = Counter()
         self.count = self.skipping = self.links = 0
         self.block: Block | None = None
         self.inner = False
@@ -68,15 +73,27 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         self.count += 1
-        self.open.append((tag, self.count, *self._evidence(tag, dict(attrs))))
+        if tag in INNER and self.opened["form"]:  # a form around an article is the page's frame, no form to fill in
+            held, self.open = self.open, []
+            for name, number, bad, good, *_ in held:
+                self._push(name, number, 0.0 if name == "form" else bad, good)
+        bad, good = self._evidence(tag, dict(attrs))
+        self._push(tag, self.count, bad, good)
+        self.opened[tag] += 1
+        if tag in BLOCKS:
+            self.around.append((self.count, tag))
         self.skipping += tag in SKIPPED
         self.links += tag == "a"
         self.inner = self.inner or tag in INNER
 
+    def _push(self, tag: str, number: int, bad: float, good: float) -> None:
+        most = self.open[-1][4:] if self.open else (0.0, 0.0)
+        self.open.append((tag, number, bad, good, max(bad, most[0]), max(good, most[1])))
+
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.block = None
-        if any(t[0] == tag for t in self.open):
+        if self.opened[tag]:
             while self._pop() != tag:
                 pass
 
@@ -84,18 +101,16 @@ class Page(HTMLParser):
         if self.skipping or (self.block is None and not data.strip()):
             return
         if self.block is None:
-            last = next((t for t in reversed(self.open) if t[0] in BLOCKS), ("", 0, 0.0, 0.0))
-            self.block = Block(
-                last[0], tuple(t[1] for t in self.open if t[0] in BLOCKS),
-                max((t[2] for t in self.open), default=0.0), max((t[3] for t in self.open), default=0.0),
-            )
+            most = self.open[-1][4:] if self.open else (0.0, 0.0)
+            place = tuple(number for number, _ in self.around[:-4:-1])
+            self.block = Block(self.around[-1][1], place, *most)
             self.blocks.append(self.block)
         self.block.parts.append(data)
         self.block.linked += len(data.strip()) if self.links else 0
 
     def _close_implied(self, tag: str) -> None:
         if tag == "body":
-            while any(t[0] == "head" for t in self.open):
+            while self.opened["head"]:
                 self._pop()
         closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",)}.get(tag, ()) + ("p",)
         for n in range(len(self.open) - 1, -1, -1):
@@ -108,13 +123,16 @@ class Page(HTMLParser):
 
     def _pop(self) -> str:
         tag = self.open.pop()[0]
+        self.opened[tag] -= 1
+        if tag in BLOCKS:
+            self.around.pop()
         self.skipping -= tag in SKIPPED
         self.links -= tag == "a"
         return tag
 
     def _evidence(self, tag: str, attrs: dict[str, str | None]) -> tuple[float, float]:
         bad = good = 0.0
-        if tag in OUTER or (tag == "header" and not any(t[0] in INNER for t in self.open)):
+        if tag in OUTER or (tag == "header" and not any(self.opened[t] for t in INNER)):
             bad = STRONG
         if tag in INNER:
             good = PLACE
@@ -124,7 +142,7 @@ class Page(HTMLParser):
         if names:
             parts = {p.lower() for p in NAME.findall(names)}
             if parts & BAD_NAMES and tag not in INNER:
-                bad = STRONG
+                bad = max(bad, WEAK if parts & FRAME_NAMES else STRONG)
             elif parts & GOOD_NAMES:
                 good = max(good, PLACE / 2)
         style = (attrs.get("style") or "").replace(" ", "").lower()
@@ -146,14 +164,16 @@ def evidence(block: Block, has_inner: bool) -> tuple[float, float]:
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between blocks that follow each other or are close in the tree, with what it costs to part them."""
+    """Edges between blocks that follow each other or are close in the tree, with what it costs to part them.
+
+    A block's place is its element, the one around that and the next; two steps in the tree are as far as these tell.
+    """
     edges = []
     for i in range(1, len(blocks)):
-        a, b = blocks[i - 1].path, blocks[i].path
-        shared = sum(1 for x, y in zip(a, b) if x == y)
-        steps = len(a) + len(b) - 2 * shared
-        edges.append((i - 1, i, NEAR if steps <= 2 else FAR))
-        if i > 1 and blocks[i - 2].path[:-1] == b[:-1]:
+        a, b = blocks[i - 1].place, blocks[i].place
+        near = a[0] in b or b[0] in a or a[1] == b[1]
+        edges.append((i - 1, i, NEAR if near else FAR))
+        if i > 1 and blocks[i - 2].place[1] == b[1]:
             edges.append((i - 2, i, SIBLING))
     return edges
 
