@@ -4,8 +4,8 @@ For each position and each term of weight w, gamma variables r and c and a unifo
 With t = floor(ln w / r + b) the term bids ln c - r (t - b + 1); the lowest bid's term and t are the sample. Two weighted
 sets take the same sample with the probability sum of minima over sum of maxima of their weights.
 
-Terms are words, weights their counts. Texts are dealt by id once; counting words and taking the lowest bids group by the
-id among other columns, so that neither moves a row again. A position keeps one number, a bid above a sample.
+Terms are words, weights their counts. Texts are dealt by ranges of ids once; counting words and taking the lowest bids
+group by the range among other columns, so that neither moves a row again. A position keeps one number, a bid above a sample.
 """
 
 from __future__ import annotations
@@ -47,9 +47,9 @@ def _exponential(bits: Column, at: int) -> Column:
     return halvings * math.log(2) + between
 
 
-def bid(term: Column, weight_log: Column, position: int) -> Column:
+def bid(term: Column, weight_log: Column, position: Column) -> Column:
     """The bid in the upper bits and the sample below, as a long whose order is the bids'."""
-    first, second, third = (F.xxhash64(term, F.lit(3 * position + i)) for i in range(3))
+    first, second, third = (F.xxhash64(term, position * 3 + i) for i in range(3))
     scale = _exponential(first, 0) + _exponential(first, 32) + 1e-9
     cost = F.log(_exponential(second, 0) + _exponential(second, 32) + 1e-9)
     shift = F.shiftrightunsigned(third, 40) / float(1 << 24)
@@ -60,19 +60,21 @@ def bid(term: Column, weight_log: Column, position: int) -> Column:
 
 
 def signatures(rows: DataFrame, keys: list[str], text: str, positions: int = POSITIONS) -> DataFrame:
-    """``keys`` and ``samples`` (array of int) of every text. ``keys`` must tell the rows apart.
+    """``keys`` and ``samples`` (array of int) of every text. ``keys`` must tell the rows apart; by the first they are dealt.
 
+    A row for each term and position makes its bid, in code that is small whatever the number of positions, and is met by
+    the lowest bid so far of its text and position right there.
     Null and empty texts, and texts of white space, have ``NOTHING`` at every position.
     """
-    each = term_counts(rows, keys, text)
-    each = each.select(*keys, "h", F.when(F.col("h").isNotNull(), F.log(F.col("w").cast("double"))).alias("w"))
-    # bids are formed inside the aggregate, whose functions are compiled one by one
-    least = each.groupBy(*keys).agg(
-        *(F.min(bid(F.col("h"), F.col("w"), k)).alias(f"__b{k}") for k in range(positions))
-    )
+    each = term_counts(rows, keys, text).select(*keys, "h", F.log(F.col("w").cast("double")).alias("w"))
+    every = F.sequence(F.lit(0), F.lit(positions - 1))
+    bids = each.select(*keys, "h", "w", F.explode(every).alias("position"))
+    own = F.when(F.col("h").isNotNull(), bid(F.col("h"), F.col("w"), F.col("position")))
+    least = bids.groupBy(*keys, "position").agg(F.min(own).alias("bid"))
     mask = F.lit((1 << SAMPLE_BITS) - 1).cast("long")
-    samples = (F.coalesce(F.col(f"__b{k}").bitwiseAND(mask), F.lit(NOTHING)).cast("int") for k in range(positions))
-    return least.select(*keys, F.array(*samples).alias("samples"))
+    sample = F.coalesce(F.col("bid").bitwiseAND(mask), F.lit(NOTHING)).cast("int")
+    found = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", sample.alias("sample")))).alias("__found"))
+    return found.select(*keys, F.transform("__found", lambda x: x["sample"]).alias("samples"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -85,7 +87,7 @@ def as_text(samples: Column) -> Column:
     return F.concat_ws("", F.transform(samples, lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))))
 
 
-def ranges(ids: DataFrame, column: str, each: int = 4) -> list:
+def ranges(ids: DataFrame, column: str, each: int = 2) -> list:
     """The largest id of each of some ranges with about as many rows; a few for every shuffle partition."""
     parts = each * max(1, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = ids.where(F.col(column).isNotNull()).select(column).repartitionByRange(parts, column)
