@@ -160,6 +160,13 @@ def effort_vs_index(spark: SparkSession, d: str) -> DataFrame:
     return indices.effort_disagreement(indices.effort_min(_effort(rows, eligibility)), index)
 
 
+def effort_vs_relaxed_index(spark: SparkSession, d: str) -> DataFrame:
+    """Seasons that have an index although a month of some sub-region was not sampled."""
+    rows, eligibility = _rows(spark, d, "temperature", "secchi"), _eligibility(spark, d)
+    index = indices.index_of_rows(rows, eligibility, "all", month_na="relaxed")
+    return indices.effort_disagreement(indices.effort_min(_effort(rows, eligibility)), index)
+
+
 def assign_subregion(spark: SparkSession, d: str) -> DataFrame:
     return spatial.assign_subregion(views.obs_t(spark, d), views.polygons(spark, d)).select("obs_id", "subregion")
 
@@ -721,6 +728,7 @@ QUERIES: dict[str, Query] = {
         sampling_effort,
         effort_min,
         effort_vs_index,
+        effort_vs_relaxed_index,
         assign_subregion,
         assign_subregion_projected,
         seasonal_index_projected,

@@ -698,6 +698,18 @@ index AS (
  SELECT variable, year, season, {strict("value")} AS value FROM r_seasonal WHERE year BETWEEN 1975 AND 2021
  GROUP BY variable, season, year),
 full_effort AS (SELECT variable, year, season FROM effort_min WHERE n_months_min >= 3),
+indexed AS (SELECT variable, year, season FROM index WHERE value IS NOT NULL)""",
+        """SELECT *, 'effort only' AS side FROM (SELECT * FROM full_effort EXCEPT SELECT * FROM indexed)
+ UNION ALL SELECT *, 'index only' FROM (SELECT * FROM indexed EXCEPT SELECT * FROM full_effort)""",
+    ),
+    "effort_vs_relaxed_index": q(
+        f"""{EFFORT}, eligible AS (
+ SELECT u.*, e.region FROM usable u JOIN eligibility e USING (subregion, season) WHERE long_term),
+{monthly("eligible", "region", "r_monthly")}, {seasonal("region", "relaxed", "r_")},
+index AS (
+ SELECT variable, year, season, {strict("value")} AS value FROM r_seasonal WHERE year BETWEEN 1975 AND 2021
+ GROUP BY variable, season, year),
+full_effort AS (SELECT variable, year, season FROM effort_min WHERE n_months_min >= 3),
 indexed AS (SELECT variable, year, season FROM index WHERE value IS NOT NULL)""",
         """SELECT *, 'effort only' AS side FROM (SELECT * FROM full_effort EXCEPT SELECT * FROM indexed)
  UNION ALL SELECT *, 'index only' FROM (SELECT * FROM indexed EXCEPT SELECT * FROM full_effort)""",
