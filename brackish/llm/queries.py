@@ -22,6 +22,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and failure bits of every whole text, and what the two policies keep; null texts count as empty, repeated rows stay."""
     rows = quality.ledger(table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -48,10 +49,12 @@ def op2_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without its repeated passages of 200 bytes; null texts are empty, repeated rows are copies."""
     return suffix_array.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text by a model of the labels that are not held out; null and empty texts are scored as empty ones."""
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select(
@@ -61,15 +64,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with pseudonyms for its private values; null stays null, equal values stay equal."""
     found = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, count="n_replaced")
     return found.select("doc_id", "text", "n_replaced")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page; null pages and pages without content have an empty text."""
     return html_mincut.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
 def op7_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted samples of every whole text and of its edited one; null texts are empty, equal texts have equal samples."""
     found = cws.compared(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", "n_chars", "edited_sha256", cws.as_text(F.col("samples")).alias("fingerprint"),
@@ -78,15 +84,18 @@ def op7_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without a word share fingerprint zero."""
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every whole text's ids and of what they decode to; null texts are empty."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary(), ["doc_id"])
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document; null texts are a piece of one token."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
@@ -96,10 +105,12 @@ def op11_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_count_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with its form and root; null texts have no words."""
     return count_trie.variants(table(spark, sf_dir, "documents"))
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tokenisations of every whole text aligned, with corpus-wide counts of their links; null texts have zeros."""
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
 
 
