@@ -381,7 +381,9 @@ def response_surface(
     whole = sums.where(F.col("kind") == GROUP).select(*keys, F.lit(None).cast("double").alias("ridge"), "sums")
     parts = whole.unionByName(station_corrections(sums.where(F.col("kind") == STATION), keys))
     schema = T.StructType([*_fields(rows, keys), *_struct(SURFACE_SCHEMA).fields])
-    return attach(parts, design, keys, "inner").groupBy(*keys).applyInPandas(solve, schema)
+    # The sums are few but their solves are not: by number, so that small partitions are not put together.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return attach(parts, design, keys, "inner").repartition(tasks, *keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
 DESIGN = ("sal_knots", "day_knots", "years")
