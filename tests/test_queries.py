@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from brackish.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
@@ -53,5 +54,31 @@ def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0
 
 
+def test_rows_are_not_dealt_by_year_type(spark, tmp_path):
+    """Classes of the years meet the rows by broadcast, however many orders they were summed from."""
+    day = "timestamp_ntz'1995-01-01' + make_dt_interval(int(id % 2000))"
+    tables = {
+        "lineitem": spark.range(3000).selectExpr(
+            "id % 5 AS l_suppkey", f"{day} AS l_shipdate", "int(id % 6) + 1 AS l_linenumber", "double(id % 11) AS l_quantity",
+            "double(id) AS l_extendedprice", "0.01 AS l_discount", "'R' AS l_returnflag",
+        ),
+        "orders": spark.range(20000).selectExpr(f"{day} AS o_orderdate", "double(id * 7919 % 100003) AS o_totalprice"),
+        "supplier": spark.range(5).selectExpr("id AS s_suppkey", "int(id) AS s_nationkey"),
+        "nation": spark.range(5).selectExpr("int(id) AS n_nationkey", "concat('N', id) AS n_name", "int(id % 2) AS n_regionkey"),
+        "region": spark.range(2).selectExpr("int(id) AS r_regionkey", "concat('R', id) AS r_name"),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        rows = catalog._labelled(spark, str(tmp_path))
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        kept = rows.where("drought IS NOT NULL").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 4
+    assert kept == 3000
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
