@@ -31,7 +31,7 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def box_outliers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The rows beyond the whiskers."""
-    quartiles = exact_quantiles(df, keys, value, QUARTILES)
+    quartiles = settle(exact_quantiles(df, keys, value, QUARTILES), "quartiles")  # known to be few, so no row is dealt by its group
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     rows = attach(df, quartiles, keys)
     beyond = ~F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)

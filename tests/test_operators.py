@@ -551,6 +551,15 @@ def test_few_statistics_are_broadcast(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
 
 
+def test_rows_beyond_whiskers_are_not_dealt_by_group(spark, rows):
+    """Settled quartiles: no task has to read what all others found in a group."""
+    df = settle(spark.range(5000).selectExpr("id % 3 AS g", "IF(id < 6, 1e6 + id, double(id % 17)) AS value"), "rows")
+    far = summaries.box_outliers(df, ["g"], "value")
+    plan = far._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert sorted(rows(far)) == [(i % 3, 1e6 + i) for i in (0, 3, 1, 4, 2, 5)]
+
+
 def test_targets_outside_the_model_come_in_order(spark):
     target = spark.createDataFrame([(1, 9.1, 1.0), (2, 1.0, 1.1), (3, 8.0, None)], "month int, a double, b double")
     covered = spark.createDataFrame([(6, t) for t in (10, 11)] + [(1, 80)], "month int, tenths int")
