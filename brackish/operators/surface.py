@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,6 +159,9 @@ class Surface:
         return [*out, years]
 
 
+DESIGN = ("sal_knots", "day_knots", "years")
+
+
 def _struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
@@ -194,12 +198,12 @@ def surface_design(rows: DataFrame, keys: Sequence[str], x: tuple[str, str], kno
 
 
 def _sum_arrays(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Element-wise sum of arrays per key."""
-    long = df.select(*keys, F.posexplode(column).alias("__i", "__v"))
-    sums = long.groupBy(*keys, "__i").agg(F.sum("__v").alias("__v"))
-    # At most one entry per array position is gathered.
-    ordered = F.array_sort(F.collect_list(F.struct("__i", "__v")))
-    return sums.groupBy(*keys).agg(F.transform(ordered, lambda e: e["__v"]).alias(column))
+    """Element-wise sum of arrays per key; a key has an array, or a few, for each task that made them."""
+    held = df.groupBy(*keys).agg(F.collect_list(column).alias("__all"))
+    total = F.aggregate(
+        F.slice("__all", 2, F.size("__all")), F.col("__all")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    )
+    return held.select(*keys, total.alias(column))
 
 
 def _fields(df: DataFrame, columns: Sequence[str]) -> list[T.StructField]:
@@ -215,43 +219,86 @@ def batch_groups(batch: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[tup
 
 
 GROUP, STATION = 0, 1
+HELD = 50_000  # rows of station sums that a task holds, some megabytes
+
 
+def _by_station(names: pa.Array, sums: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Each station once, with the sum of its rows."""
+    coded = names.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    starts = np.searchsorted(codes[order], np.arange(len(coded.dictionary)))
+    return coded.dictionary, np.add.reduceat(sums[order], starts)
 
-def surface_sums(rows: DataFrame, design: DataFrame, keys: Sequence[str], x: tuple[str, str], y: str) -> DataFrame:
+
+def arrow_groups(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Key and row numbers of each group in a batch, missing keys among them."""
+    codes = np.zeros(batch.num_rows, np.int64)
+    for k in keys:
+        coded = batch.column(k).dictionary_encode(null_encoding="encode")
+        codes = codes * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+        codes = np.unique(codes, return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else ():
+        yield tuple(batch.column(k)[int(at[0])].as_py() for k in keys), at
+
+
+def surface_sums(
+    rows: DataFrame, design: DataFrame, keys: Sequence[str], x: tuple[str, str], y: str, most: int = HELD
+) -> DataFrame:
     """(keys, kind, station, sums) in one pass: of each group the cross-product of design, response and one, as one flat
     array, and of each of its stations their column sums.
 
-    Each task sums its batches; Spark adds the partial sums up.
+    Narrow rows are dealt by group and station, large ones over several tasks. So a task hands on a row of sums for about each
+    station that it met; it holds ``most`` of them at once. Spark adds up what several tasks found.
     """
     keys = list(keys)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[tuple, np.ndarray] = {}
         surfaces: dict[tuple, Surface] = {}
+        held: dict[tuple, list] = {}
+        count, types = 0, []
 
         def table(found, kind, station, sums):
-            return pd.DataFrame(found, columns=keys, dtype=object).assign(kind=kind, station=station, sums=sums)
+            columns = [pa.array([key[i] for key in found], t) for i, t in enumerate(types)]
+            lists = pa.ListArray.from_arrays(np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1], pa.array(sums.ravel()))
+            kinds = pa.array(np.full(len(sums), kind, np.int32))
+            return pa.RecordBatch.from_arrays([*columns, kinds, station, lists], [*keys, "kind", "station", "sums"])
+
+        def settled():
+            for key, parts in held.items():
+                names, sums = _by_station(pa.concat_arrays([n for n, _ in parts]), np.vstack([v for _, v in parts]))
+                yield key, names, sums
 
         for batch in batches:
-            for key, at in batch_groups(batch, keys):
-                part = batch.iloc[at]
+            types = [batch.schema.field(k).type for k in keys]
+            first, second, year, response = (batch.column(c).to_numpy() for c in ("__x0", "__x1", "year", "__y"))
+            for key, at in arrow_groups(batch, keys):
                 if key not in surfaces:
-                    surfaces[key] = Surface.of(part.iloc[0])
-                bases = surfaces[key].design(part["__x0"].to_numpy(), part["__x1"].to_numpy(), part["year"].to_numpy())
-                full = np.hstack([bases, part["__y"].to_numpy()[:, None], np.ones((len(part), 1))])
-                held[key] = held.get(key, 0) + full.T @ full
-                codes, names = pd.factorize(part["station"])
-                sums = np.zeros((len(names), full.shape[1]))
-                np.add.at(sums, codes, full)
-                yield table([key] * len(names), STATION, list(names), list(sums))
-        if held:
-            yield table(list(held), GROUP, None, [m.ravel() for m in held.values()])
+                    surfaces[key] = Surface.of({c: batch.column(c)[int(at[0])].as_py() for c in DESIGN})
+                bases = surfaces[key].design(first[at], second[at], year[at])
+                full = np.hstack([bases, response[at][:, None], np.ones((len(at), 1))])
+                whole[key] = whole.get(key, 0) + full.T @ full
+                held.setdefault(key, []).append(_by_station(batch.column("station").take(pa.array(at)), full))
+                count += len(held[key][-1][0])
+            if count > most:
+                held = {key: [(names, sums)] for key, names, sums in settled()}
+                count = sum(len(parts[0][0]) for parts in held.values())
+                if 2 * count > most:
+                    for key, [(names, sums)] in held.items():
+                        yield table([key] * len(names), STATION, names, sums)
+                    held, count = {}, 0
+        for key, names, sums in settled():
+            yield table([key] * len(names), STATION, names, sums)
+        for key, m in whole.items():
+            yield table([key], GROUP, pa.array([None], pa.string()), m.reshape(1, -1))
 
     numbers = [F.col(c).cast("double").alias(n) for c, n in zip((*x, y), ("__x0", "__x1", "__y"))]
     narrow = rows.select(*keys, F.col("station").cast("string").alias("station"), "year", *numbers)
-    joined = attach(narrow.dropna(subset=["station", "year", "__x0", "__x1", "__y"]), design, keys, "inner")
+    dealt = narrow.dropna(subset=["station", "year", "__x0", "__x1", "__y"]).hint("rebalance", *keys, "station")
     schema = T.StructType([*_fields(rows, keys), *_struct("kind int, station string, sums array<double>").fields])
-    return _sum_arrays(joined.mapInPandas(partial, schema), [*keys, "kind", "station"], "sums")
+    return _sum_arrays(attach(dealt, design, keys, "inner").mapInArrow(partial, schema), [*keys, "kind", "station"], "sums")
 
 
 def station_corrections(stations: DataFrame, keys: Sequence[str], ridges: Sequence[float] = STATION_RIDGE) -> DataFrame:
@@ -386,8 +433,6 @@ def response_surface(
     return attach(parts, design, keys, "inner").repartition(tasks, *keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
-DESIGN = ("sal_knots", "day_knots", "years")
-
 
 def surface_terms(
     grid: DataFrame, fits: DataFrame, keys: Sequence[str] = ("ibmr",), x: tuple[str, str] = ("salsurf", "doy")

@@ -215,6 +215,34 @@ def test_station_elimination_equals_full_system(spark, surface_data):
     assert np.allclose(got, want, atol=1e-8)
 
 
+def test_station_sums_are_dealt_by_station(spark):
+    """Sums by hand of groups with a missing key and a hot station; no row is made for each number of a sum."""
+    rng = np.random.default_rng(6)
+    groups = [("a", 1), ("a", None), (None, 1)]
+    rows = []
+    for g, r in groups:
+        for i in range(400):
+            station = "hot" if i % 3 == 0 else f"s{i % 40}"
+            rows.append((g, r, station, 2000 + i % 3, float(rng.uniform(0, 9)), float(rng.uniform(1, 365)), float(rng.normal())))
+    rows += [("a", 1, None, 2000, 1.0, 1.0, 1.0), ("a", 1, "s1", 2000, None, 1.0, 1.0)]  # left out
+    df = spark.createDataFrame(rows, "g string, r int, station string, year int, s double, d double, y double").repartition(3)
+    design = settle(surface.surface_design(df, ["g", "r"], ("s", "d")), "design")
+    plans = []
+    for most in (50_000, 20):
+        sums = surface.surface_sums(df, design, ["g", "r"], ("s", "d"), "y", most)
+        plans.append(sums._jdf.queryExecution().optimizedPlan().toString())
+        got = {(x.g, x.r, x.kind, x.station): np.array(x.sums) for x in sums.collect()}
+        want = {}
+        shapes = {(x.g, x.r): surface.Surface.of(x) for x in design.collect()}
+        for g, r, station, year, s, d, y in rows[:-2]:
+            full = np.append(shapes[g, r].design([s], [d], [year])[0], [y, 1.0])
+            for key, part in (((g, r, surface.STATION, station), full), ((g, r, surface.GROUP, None), np.outer(full, full).ravel())):
+                want[key] = want.get(key, 0) + part
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k]) for k in want)
+    assert all("RebalancePartitions" in p and "Generate" not in p for p in plans)
+
+
 def test_knots_follow_uneven_data(spark):
     """Knots at quantiles of the distinct values, per group of two keys; groups with few values get even ones."""
     rng = np.random.default_rng(2)
