@@ -159,7 +159,8 @@ def same_gear_only(rows: DataFrame, rules: BiomassRules = BiomassRules()) -> Dat
     flags = rows.groupBy("ibmr").agg(
         *[F.bool_or(is_member(size, [g])).alias(f"__has_{i}") for i, g in enumerate(rules.gear_sizes)]
     )
-    mixed = flags.select("ibmr", (F.col("__has_0") & F.col("__has_1")).alias("__mixed"))
+    # a row a group: settled, it is known to be, and no row is dealt by its group
+    mixed = settle(flags.select("ibmr", (F.col("__has_0") & F.col("__has_1")).alias("__mixed")), "mixed-nets")
     return attach(rows, mixed, ["ibmr"]).filter(~(F.col("__mixed") & (F.col("source") != rules.gear_source))).drop("__mixed")
 
 

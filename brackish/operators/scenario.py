@@ -253,7 +253,7 @@ def scenario_ratio_fitted(
 
     ``grid`` (region2, month, tenths and both predictors) says where the model holds; a salinity outside it has no result.
     """
-    long = _scenario_cells(salinities, fits, scenarios, base)
+    long = settle(_scenario_cells(salinities, fits, scenarios, base), "cells")  # read twice, and far fewer than what was summed
     pairs = long.select(*WHERE, "base_tenths", "tenths").distinct()
     point = grid.select("region2", "month", "tenths", F.col(x[0]).alias("own_x"), F.col(x[1]).alias("own_day"))
     other = point.withColumnsRenamed({"tenths": "base_tenths", "own_x": "base_x", "own_day": "base_day"})

@@ -237,6 +237,7 @@ def mysid_surveys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     weighed = caught.groupBy(
         date.alias("sampledate"), F.col("l_suppkey").cast("string").alias("station"), _survey().alias("project")
     ).agg((F.sum("l_quantity") / 100).alias(MYSID_SPECIES))
+    weighed = settle(weighed, "mysids")  # read for each survey
     a = weighed.filter("project = 'EMP'").select("sampledate", F.col("station").alias("stationnz"), MYSID_SPECIES)
     b = weighed.filter("project <> 'EMP'").withColumn("sampledate", F.date_format("sampledate", "M/d/yyyy"))
     return a, b

@@ -560,6 +560,16 @@ def test_rows_beyond_whiskers_are_not_dealt_by_group(spark, rows):
     assert sorted(rows(far)) == [(i % 3, 1e6 + i) for i in (0, 3, 1, 4, 2, 5)]
 
 
+def test_rows_are_not_dealt_by_group_of_taxa(spark, rows):
+    """Which groups are in both nets is settled: their rows meet it by broadcast."""
+    data = [("both", "Micro", "EMP"), ("both", "Meso", "FMWT"), ("one", "Micro", "FMWT"), (None, None, "FMWT")]
+    df = settle(spark.createDataFrame(data, "ibmr string, sizeclass string, source string"), "rows")
+    kept = biomass.same_gear_only(df)
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Aggregate" not in plan
+    assert rows(kept) == rows(df.where("NOT (ibmr <=> 'both' AND source = 'FMWT')"))
+
+
 def test_targets_outside_the_model_come_in_order(spark):
     target = spark.createDataFrame([(1, 9.1, 1.0), (2, 1.0, 1.1), (3, 8.0, None)], "month int, a double, b double")
     covered = spark.createDataFrame([(6, t) for t in (10, 11)] + [(1, 80)], "month int, tenths int")
