@@ -31,8 +31,8 @@ GRAM = 16
 WIDE = 8
 WINDOWS = 1024  # most windows of a string; longer runs of a class are more strings of it
 SHARD_BYTES = 1 << 18
-BUCKET_BYTES = 2 << 20
-CLASS_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20  # the merge needs some hundred bytes for each of its bytes, in every worker of an executor
+CLASS_BYTES = 2 << 20
 ODD, EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

@@ -8,6 +8,7 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from datetime import date, timedelta
@@ -192,6 +193,21 @@ def _brute_removal(bodies, length=200):
     return out
 
 
+def test_merge_of_the_largest_bucket_leaves_room_for_others():
+    """Three workers and a heap of 1.8 GB share 3 GB: what a bucket may hold at most has to be merged in a tenth of that."""
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 123, suffix_array.CLASS_BYTES + suffix_array.BUCKET_BYTES, np.uint8).tobytes()
+    strings = [data[i : i + 300] for i in range(0, len(data), 300)]
+    tracemalloc.start()
+    try:
+        found = suffix_array.repeated_windows([*strings, strings[0]], [1] * (len(strings) + 1))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found[0].all() and found[-1].all() and not any(f.any() for f in found[1:-1])
+    assert peak < 300 << 20
+
+
 def test_removal_matches_brute_force(spark, documents, texts, odd, empty):
     ids = sorted(texts)
     want = dict(zip(ids, _brute_removal([texts[i].encode() for i in ids])))
