@@ -26,55 +26,82 @@ WHITE = r"[\x20\x09-\x0D]+"
 NOTHING = 0
 
 
-def term_counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys``, h, w: each distinct word of a text by its hash and its count; h is null for what is no word."""
-    words = rows.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), WHITE)).alias("__word"))
-    hashed = words.select(*keys, F.when(F.col("__word") != "", F.xxhash64("__word")).alias("h"))
-    return hashed.groupBy(*keys, "h").agg(F.count("*").alias("w"))
+def term_counts(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
+    """``keys``, h, w0, w1, ...: each distinct word of some texts of a row by its hash and its count in each of them.
+
+    h is null for what is no word; every row has a word or that.
+    """
+    bodies = rows.select(*keys, F.posexplode(F.array(*texts)).alias("__which", "__body"))
+    words = bodies.select(*keys, "__which", F.explode(F.split(F.coalesce(F.col("__body"), F.lit("")), WHITE)).alias("__word"))
+    hashed = words.select(*keys, "__which", F.when(F.col("__word") != "", F.xxhash64("__word")).alias("h"))
+    return hashed.groupBy(*keys, "h").agg(*[F.count_if(F.col("__which") == n).alias(f"w{n}") for n in range(len(texts))])
 
 
-def _exponential(bits: Column, at: int) -> Column:
+def _exponential(bits: str, at: int) -> Column:
     """An exponential variable of 27 bits of a hash: zeros at the end count halvings, twenty more bits what is between.
 
-    The part between is -ln(1 - v/2) for a uniform v, as a polynomial that is right to five digits.
+    The part between is -ln(1 - v/2) for a uniform v, as a polynomial that is right to five digits. ``bids`` makes the columns.
     """
-    low = F.shiftrightunsigned(bits, at).bitwiseOR(F.lit(1 << 12))  # a bit that ends the count
+    low, v = F.col(f"{bits}_low{at}"), F.col(f"{bits}_v{at}")
     halvings = F.bit_count(low.bitwiseAND(-low) - 1)
-    v = F.shiftrightunsigned(bits, at + 12).bitwiseAND(F.lit((1 << 20) - 1)) / float(1 << 20)
     between = F.lit(0.0)
     for factor in reversed(BETWEEN):
         between = (between + factor) * v
     return halvings * math.log(2) + between
 
 
-def bid(term: Column, weight_log: Column, position: Column) -> Column:
-    """The bid in the upper bits and the sample below, as a long whose order is the bids'."""
-    first, second, third = (F.xxhash64(term, position * 3 + i) for i in range(3))
-    scale = _exponential(first, 0) + _exponential(first, 32) + 1e-9
-    cost = F.log(_exponential(second, 0) + _exponential(second, 32) + 1e-9)
-    shift = F.shiftrightunsigned(third, 40) / float(1 << 24)
-    level = F.floor(weight_log / scale + shift)
-    value = cost - scale * (level - shift + 1)
-    sample = (F.shiftrightunsigned(term, 20) + level * 40503).bitwiseAND(F.lit((1 << (SAMPLE_BITS - 1)) - 1)) + 1
-    return F.shiftleft(((value + 512.0) * float(1 << 30)).cast("long"), SAMPLE_BITS).bitwiseOR(sample)
+def bids(rows: DataFrame, keep: list[str], term: str, position: str, weight_logs: list[str]) -> DataFrame:
+    """``keep`` and bid0, bid1, ...: the bid for each weight, above its sample, as a long whose order is the bids'; null for no weight.
+
+    What is used more than once is a column of an earlier projection: written into one expression, or under a condition,
+    Spark would make a hash some sixty times for one bid, in more code than the JVM compiles.
+    """
+    kept = list(dict.fromkeys([*keep, term, *weight_logs]))
+    made = rows.select(*kept, *[F.xxhash64(term, F.col(position) * 3 + i).alias(c) for i, c in enumerate(("__first", "__second", "__third"))])
+    parts = []
+    for c in ("__first", "__second"):
+        for at in (0, 32):
+            low = F.shiftrightunsigned(c, at).bitwiseOR(F.lit(1 << 12))  # a bit that ends the count
+            v = F.shiftrightunsigned(c, at + 12).bitwiseAND(F.lit((1 << 20) - 1)) / float(1 << 20)
+            parts += [low.alias(f"{c}_low{at}"), v.alias(f"{c}_v{at}")]
+    made = made.select(*kept, *parts, (F.shiftrightunsigned("__third", 40) / float(1 << 24)).alias("__shift"))
+    scale, cost = (_exponential(c, 0) + _exponential(c, 32) + 1e-9 for c in ("__first", "__second"))
+    made = made.select(*kept, scale.alias("__scale"), F.log(cost).alias("__cost"), "__shift")
+    scale, cost, shift = F.col("__scale"), F.col("__cost"), F.col("__shift")
+    made = made.select("*", *[F.floor(F.col(w) / scale + shift).alias(f"__level{n}") for n, w in enumerate(weight_logs)])
+    found = []
+    for n in range(len(weight_logs)):
+        level = F.col(f"__level{n}")
+        value = cost - scale * (level - shift + 1)
+        sample = (F.shiftrightunsigned(term, 20) + level * 40503).bitwiseAND(F.lit((1 << (SAMPLE_BITS - 1)) - 1)) + 1
+        found.append(F.shiftleft(((value + 512.0) * float(1 << 30)).cast("long"), SAMPLE_BITS).bitwiseOR(sample).alias(f"bid{n}"))
+    return made.select(*keep, *found)
 
 
 def signatures(rows: DataFrame, keys: list[str], text: str, positions: int = POSITIONS) -> DataFrame:
-    """``keys`` and ``samples`` (array of int) of every text. ``keys`` must tell the rows apart; by the first they are dealt.
+    """``keys`` and ``samples`` (array of int) of every text, as ``signatures_of`` makes them."""
+    return signatures_of(rows, keys, {"samples": text}, positions)
+
+
+def signatures_of(rows: DataFrame, keys: list[str], texts: dict[str, str], positions: int = POSITIONS) -> DataFrame:
+    """``keys`` and an array of int for each of ``texts`` (name of the result: column of the text).
 
-    A row for each term and position makes its bid, in code that is small whatever the number of positions, and is met by
-    the lowest bid so far of its text and position right there.
+    ``keys`` must tell the rows apart; by the first they are dealt. The variables of a term and a position are drawn once for
+    all texts of a row, which share most of their terms: a row for each term and position makes a bid for each text, in code that
+    is small whatever the number of positions, and is met by the lowest bids so far right there.
     Null and empty texts, and texts of white space, have ``NOTHING`` at every position.
     """
-    each = term_counts(rows, keys, text).select(*keys, "h", F.log(F.col("w").cast("double")).alias("w"))
+    which = range(len(texts))
+    each = term_counts(rows, keys, list(texts.values()))
+    logs = [F.when(F.col("h").isNotNull() & (F.col(f"w{n}") > 0), F.log(F.col(f"w{n}").cast("double"))).alias(f"w{n}") for n in which]
     every = F.sequence(F.lit(0), F.lit(positions - 1))
-    bids = each.select(*keys, "h", "w", F.explode(every).alias("position"))
-    own = F.when(F.col("h").isNotNull(), bid(F.col("h"), F.col("w"), F.col("position")))
-    least = bids.groupBy(*keys, "position").agg(F.min(own).alias("bid"))
+    dealt = each.select(*keys, "h", *logs, F.explode(every).alias("position"))
+    made = bids(dealt, [*keys, "position"], "h", "position", [f"w{n}" for n in which])
+    least = made.groupBy(*keys, "position").agg(*[F.min(f"bid{n}").alias(f"bid{n}") for n in which])
     mask = F.lit((1 << SAMPLE_BITS) - 1).cast("long")
-    sample = F.coalesce(F.col("bid").bitwiseAND(mask), F.lit(NOTHING)).cast("int")
-    found = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", sample.alias("sample")))).alias("__found"))
-    return found.select(*keys, F.transform("__found", lambda x: x["sample"]).alias("samples"))
+    samples = [F.coalesce(F.col(f"bid{n}").bitwiseAND(mask), F.lit(NOTHING)).cast("int").alias(name) for n, name in enumerate(texts)]
+    found = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", *samples))).alias("__found"))
+    return found.select(*keys, *[F.col("__found").getField(name).alias(name) for name in texts])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -135,11 +162,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text: str = "text", positi
     """
     pairs = edited_pairs(docs, id_col, text)
     facts = pairs.select("part", "place", "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    bodies = F.array("text", "edited")
-    each = pairs.select("part", "place", F.posexplode(bodies).alias("which", "body"))
-    made = signatures(each, ["part", "place", "which"], "body", positions)
-    one = lambda n: F.max(F.when(F.col("which") == n, F.col("samples")))
-    made = made.groupBy("part", "place").agg(one(0).alias("samples"), one(1).alias("edited_samples"))
+    made = signatures_of(pairs, ["part", "place"], {"samples": "text", "edited_samples": "edited"}, positions)
     table = settle(facts.join(made, ["part", "place"]), "samples")
     # the same order again, now of short rows
     ids = table.where("id IS NOT NULL")

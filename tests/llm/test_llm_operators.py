@@ -480,6 +480,28 @@ def test_samples_one_by_one(spark):
         assert made[doc] == [s for _, s in best], doc
 
 
+def test_bids_are_code_that_is_compiled(spark, capsys):
+    """The JVM leaves methods of more than 8,000 bytes of code uncompiled, and a hash in one expression is made for each use."""
+    made = cws.signatures(spark.createDataFrame([(1, "a b a c")], "doc_id long, text string"), ["doc_id"], "text")
+    made.collect()
+    capsys.readouterr()
+    made.explain("codegen")
+    shown = capsys.readouterr().out
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown)]
+    assert sizes and max(sizes) < 8000
+    bids = [line for line in shown.splitlines() if "Project" in line and "xxhash64(h" in line]
+    assert bids and all(line.count("xxhash64(h") <= 3 for line in bids)
+
+
+def test_texts_of_a_row_are_sampled_like_texts_by_themselves(spark):
+    rows = [(1, "a b c a", "a b d"), (2, "", "x x"), (3, None, None), (4, "one two", " one  two ")]
+    df = spark.createDataFrame(rows, "doc_id long, a string, b string")
+    both = {r.doc_id: (r.x, r.y) for r in cws.signatures_of(df, ["doc_id"], {"x": "a", "y": "b"}).collect()}
+    for n, c in enumerate(("a", "b")):
+        assert {k: v[n] for k, v in both.items()} == {r.doc_id: r.samples for r in cws.signatures(df, ["doc_id"], c).collect()}
+    assert both[2][0] == both[3][0] == both[3][1] == [cws.NOTHING] * cws.POSITIONS and both[4][0] == both[4][1]
+
+
 def test_edited_texts_of_the_tables(spark, documents, texts):
     ids = sorted(texts)
     for r in cws.edited_pairs(documents).collect():
