@@ -13,9 +13,9 @@ of which there are at most ``COMMON``, reach the documents by broadcast and are
 from __future__ import annotations
 
 import gc
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,8 @@ class Side:
 
     def __init__(self, tokens: dict[int, bytes]):
         self.bytes = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        self.size = np.array([len(t) for t in self.bytes], np.int64)
+        self.sizes = [len(t) for t in self.bytes]
+        self.size = np.array(self.sizes, np.int64)
         self.spaced = np.array([t.startswith(b" ") for t in self.bytes])
         self.names = list(map(str, range(len(self.bytes))))
 
@@ -60,10 +61,11 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> dict[int, bytes]
 class Window:
     """The alignment of two tuples of ids: groups as text, their number, links, and the linked pairs of ids.
 
-    ``pairs`` has a pair as often as it is linked; groups of very many links have theirs in ``many``, with how often.
+    ``pairs`` has a pair as often as it is linked, and ``packed`` has them as eight bytes each; groups of very many links have theirs
+    in ``many``, with how often.
     """
 
-    __slots__ = ("groups", "links", "many", "pairs", "text")
+    __slots__ = ("groups", "links", "many", "packed", "pairs", "text")
 
     def __init__(self, a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int], a_names: list[str], b_names: list[str]):
         pairs: list[int] = []
@@ -71,6 +73,12 @@ class Window:
         if n == 1 and len(b) == 1:
             self.pairs, self.links, self.groups = (a[0] << B_BITS | b[0],), 1, 1
             self.text = f"{a_names[a[0]]}|{b_names[b[0]]}"
+            self.packed = array("q", self.pairs).tobytes()
+            return
+        if a_sizes == b_sizes:  # token by token, as in most rare words
+            self.pairs, self.links, self.groups = tuple([x << B_BITS | y for x, y in zip(a, b)]), n, n
+            self.text = ";".join([f"{a_names[x]}|{b_names[y]}" for x, y in zip(a, b)])
+            self.packed = array("q", self.pairs).tobytes()
             return
         shown: list[str] = []
         i = k = 0
@@ -111,6 +119,7 @@ class Window:
                 pairs += [x << B_BITS | y for x in left for y in right]
         self.links += len(pairs)
         self.groups, self.text, self.pairs = len(shown), ";".join(shown), tuple(pairs)
+        self.packed = array("q", pairs).tobytes()
 
 
 class Aligner:
@@ -129,20 +138,23 @@ class Aligner:
         for text, pieces in zip(texts, self.model.encode(texts, num_threads=1)):
             data = b" " + text.encode()
             # the first vocabulary has every byte, so its tokens lose nothing if their sizes add up
-            a = np.array(self.coder.encode_ordinary(" " + text) if text else (), np.uint32)
-            if not text or self.a.size[a].sum() != len(data) or self.b.joined(pieces) != data:
+            a = self.coder.encode_ordinary(" " + text) if text else []
+            if not text or sum(map(self.a.sizes.__getitem__, a)) != len(data) or self.b.joined(pieces) != data:
                 yield 0, 0, []
             else:
                 yield len(a), len(pieces), self._windows(a, pieces)
 
-    def _windows(self, a_ids: np.ndarray, b: list[int]) -> list[Window]:
-        b_ids = np.array(b, np.uint32)
+    def _windows(self, a: list[int], b: list[int]) -> list[Window]:
+        a_ids, b_ids = np.array(a, np.uint32), np.array(b, np.uint32)
         a_sizes, b_sizes = self.a.size[a_ids], self.b.size[b_ids]
-        a_starts, b_starts = np.cumsum(a_sizes) - a_sizes, np.cumsum(b_sizes) - b_sizes
-        anchors = np.intersect1d(a_starts[self.a.spaced[a_ids]], b_starts[self.b.spaced[b_ids]], assume_unique=True)
-        anchors = anchors[anchors > 0]
-        i = np.concatenate([[0], np.searchsorted(a_starts, anchors), [len(a_ids)]])
-        k = np.concatenate([[0], np.searchsorted(b_starts, anchors), [len(b)]])
+        a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+        # at the byte where a token of the first vocabulary starts with a space, which one it is
+        i, k = np.flatnonzero(self.a.spaced[a_ids]), np.flatnonzero(self.b.spaced[b_ids])
+        spaced = np.zeros(a_ends[-1], np.int64)
+        spaced[a_ends[i] - a_sizes[i]] = i
+        i = spaced[b_ends[k] - b_sizes[k]]
+        met = i > 0
+        i, k = np.concatenate([[0], i[met], [len(a)]]), np.concatenate([[0], k[met], [len(b)]])
         # both tuples of each window side by side, with a mark between
         number = np.arange(len(i) - 1)
         tuples = np.full(len(a_ids) + len(b) + len(number), MARK, np.uint32)
@@ -155,20 +167,21 @@ class Aligner:
             held.clear()
         found = list(map(held.get, keys))
         if None in found:
-            a, i, k, a_sizes, b_sizes = (x.tolist() for x in (a_ids, i, k, a_sizes, b_sizes))
+            i, k, a_size, b_size = i.tolist(), k.tolist(), self.a.sizes, self.b.sizes
             for n, window in enumerate(found):
                 if window is None:
                     key = keys[n]
                     if key not in held:
-                        p, q, r, s = i[n], i[n + 1], k[n], k[n + 1]
-                        held[key] = Window(a[p:q], b[r:s], a_sizes[p:q], b_sizes[r:s], self.a.names, self.b.names)
+                        left, right = a[i[n] : i[n + 1]], b[k[n] : k[n + 1]]
+                        sizes = [a_size[x] for x in left], [b_size[y] for y in right]
+                        held[key] = Window(left, right, *sizes, self.a.names, self.b.names)
                     found[n] = held[key]
         return found
 
 
 def linked_pairs(windows: list[Window]) -> tuple[np.ndarray, np.ndarray]:
     """Of a document's windows, the distinct pairs of ids in order, and how often each is linked."""
-    pairs, times = np.unique(np.fromiter(chain.from_iterable([w.pairs for w in windows]), np.int64), return_counts=True)
+    pairs, times = np.unique(np.frombuffer(b"".join([w.packed for w in windows]), np.int64), return_counts=True)
     many = [w.many for w in windows if w.many is not None]
     if not many:
         return pairs, times

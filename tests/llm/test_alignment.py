@@ -116,3 +116,12 @@ def test_window_of_many_repeats():
     assert (crossed.groups, crossed.links) == (1, 51 * 51)
     found = _pairs([crossed, single])
     assert found[7 << alignment.B_BITS | 9] == 50 * 33 and found[8 << alignment.B_BITS | 5] == 1 and found[1 << alignment.B_BITS | 3] == 50
+
+
+def test_windows_hold_their_pairs_ready_to_be_counted():
+    aligner = alignment.Aligner(A_FILE, B_FILE)
+    for _, _, windows in aligner.align(["Some words, 1234567 qzxv  jkwpq", "x", "é ▁a  b", ""]):
+        for w in windows:
+            assert [int.from_bytes(w.packed[n : n + 8], "little") for n in range(0, len(w.packed), 8)] == list(w.pairs)
+            left, right = zip(*((g.split("|")) for g in w.text.split(";")))
+            assert w.links == sum((x.count(",") + 1) * (y.count(",") + 1) for x, y in zip(left, right)) == len(w.pairs)
