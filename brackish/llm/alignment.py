@@ -25,13 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PIECES, Vocabulary
+from .bpe import PIECES, Tokens
 from .common import settle, sha256, slices
 
 WINDOWS_HELD = 250_000
 COMMON = 100_000
 B_BITS = 20  # ids of the second vocabulary lie below
 SLICE = 2 << 20
+MADE = 1 << 16  # bytes of keys whose windows are made at once: arrays of some 100 KB each stay in a cache
 MARK = 2**32 - 1  # no id
 
 
@@ -61,122 +62,148 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> dict[int, bytes]
 class Window:
     """The alignment of two tuples of ids: groups as text, their number, links, and the linked pairs of ids.
 
-    ``pairs`` has a pair as often as it is linked, and ``packed`` has them as eight bytes each; groups of very many links have theirs
-    in ``many``, with how often.
+    ``packed`` has a pair as often as it is linked, as eight bytes each; groups of very many links have theirs in ``many``, with
+    how often.
     """
 
-    __slots__ = ("groups", "links", "many", "packed", "pairs", "text")
+    __slots__ = ("groups", "links", "many", "packed", "text")
 
     def __init__(self, a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int], a_names: list[str], b_names: list[str]):
-        pairs: list[int] = []
-        self.many, self.links, n = None, 0, len(a)
-        if n == 1 and len(b) == 1:
-            self.pairs, self.links, self.groups = (a[0] << B_BITS | b[0],), 1, 1
-            self.text = f"{a_names[a[0]]}|{b_names[b[0]]}"
-            self.packed = array("q", self.pairs).tobytes()
-            return
-        if a_sizes == b_sizes:  # token by token, as in most rare words
-            self.pairs, self.links, self.groups = tuple([x << B_BITS | y for x, y in zip(a, b)]), n, n
-            self.text = ";".join([f"{a_names[x]}|{b_names[y]}" for x, y in zip(a, b)])
-            self.packed = array("q", self.pairs).tobytes()
-            return
-        shown: list[str] = []
-        i = k = 0
-        while i < n:
-            first, second = i, k
-            a_end, b_end = a_sizes[i], b_sizes[k]
-            i += 1
-            k += 1
-            while a_end != b_end:
-                if a_end < b_end:
-                    a_end += a_sizes[i]
-                    i += 1
-                else:
-                    b_end += b_sizes[k]
-                    k += 1
-            if i - first == 1:
-                x = a[first]
-                if k - second == 1:
-                    y = b[second]
-                    pairs.append(x << B_BITS | y)
-                    shown.append(f"{a_names[x]}|{b_names[y]}")
-                    continue
-                x <<= B_BITS
-                right = b[second:k]
-                pairs += [x | y for y in right]
-                shown.append(f"{a_names[a[first]]}|{','.join([b_names[y] for y in right])}")
-                continue
-            left, right = a[first:i], b[second:k]
-            shown.append(f"{','.join([a_names[x] for x in left])}|{','.join([b_names[y] for y in right])}")
-            if len(left) + len(right) > 64:
-                times, many = Counter(right), Counter() if self.many is None else self.many
-                for x, m in Counter(left).items():
-                    for y, o in times.items():
-                        many[x << B_BITS | y] += m * o
-                self.many = many
-                self.links += len(left) * len(right)
-            else:
-                pairs += [x << B_BITS | y for x in left for y in right]
-        self.links += len(pairs)
-        self.groups, self.text, self.pairs = len(shown), ";".join(shown), tuple(pairs)
-        self.packed = array("q", pairs).tobytes()
+        sides = (np.array(x, np.int64) for x in (a, b, a_sizes, b_sizes, [len(a)], [len(b)]))
+        ((self.groups, self.links, self.many, self.packed, self.text),) = alignments(*sides, a_names + b_names, len(a_names))
+
+    @property
+    def pairs(self) -> tuple[int, ...]:
+        return tuple(np.frombuffer(self.packed, np.int64).tolist())
+
+
+class Windows(dict):
+    """Windows by key. One that is asked for and not held is added without its alignment, and is in ``new`` until it has one."""
+
+    def __init__(self):
+        self.new: dict[bytes, Window] = {}
+
+    def __missing__(self, key: bytes) -> Window:
+        self[key] = self.new[key] = window = Window.__new__(Window)
+        return window
+
+
+def alignments(
+    a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, a_count: np.ndarray, b_count: np.ndarray,
+    names: list[str], b_name: int,
+) -> Iterator[tuple[int, int, Counter | None, bytes, str]]:
+    """What a ``Window`` holds, for windows one behind the other: ids and their sizes, and how many of them each window has.
+
+    A window's sides have as many bytes, so the windows are worked like one text. ``names`` has the first vocabulary's, from
+    ``b_name`` on the second's.
+    """
+    a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    ends = np.zeros(a_ends[-1] + 1, np.int8)
+    ends[a_ends] += 1
+    ends[b_ends] += 1
+    a_last, b_last = ends[a_ends] == 2, ends[b_ends] == 2
+    a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+    a_n, b_n = np.bincount(a_group), np.bincount(b_group)
+    a_stop, b_stop = np.cumsum(a_n), np.cumsum(b_n)
+    b_start = b_stop - b_n
+    # every group's left ids, then its right ones, each before its mark
+    a_at, b_at = np.arange(len(a)) + b_start[a_group], np.arange(len(b)) + a_stop[b_group]
+    shown, marks = np.empty(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int8)
+    shown[a_at], shown[b_at] = a, b + b_name
+    marks[a_at[a_last]], marks[b_at[b_last]] = 1, 2
+    written = [""] * (2 * len(shown))
+    written[::2], written[1::2] = map(names.__getitem__, shown.tolist()), map(",|;".__getitem__, marks.tolist())
+    # each left id with all right ones of its group, but for groups of very many links
+    large = (a_n > 1) & (a_n + b_n > 64)
+    times = np.where(large, 0, b_n)[a_group]
+    paired = np.cumsum(times)
+    right = np.arange(paired[-1]) + np.repeat(b_start[a_group] - paired + times, times)
+    packed = (np.repeat(a << B_BITS, times) | b[right]).tobytes()
+    # where each window ends
+    a_to, b_to = np.cumsum(a_count), np.cumsum(b_count)
+    group_to = a_group[a_to - 1] + 1
+    links = np.diff(np.cumsum(a_n * b_n)[group_to - 1], prepend=0)
+    held: dict[int, Counter] = {}
+    for g in np.flatnonzero(large).tolist():
+        many = held.setdefault(int(np.searchsorted(group_to, g, "right")), Counter())
+        lefts, rights = Counter(a[a_stop[g] - a_n[g] : a_stop[g]].tolist()), Counter(b[b_start[g] : b_stop[g]].tolist())
+        for x, m in lefts.items():
+            for y, o in rights.items():
+                many[x << B_BITS | y] += m * o
+    start = begin = 0
+    columns = np.diff(group_to, prepend=0), links, 8 * paired[a_to - 1], 2 * (a_to + b_to)
+    for n, (groups, linked, stop, end) in enumerate(zip(*(c.tolist() for c in columns))):
+        yield groups, linked, held.get(n), packed[start:stop], "".join(written[begin : end - 1])
+        start, begin = stop, end
 
 
 class Aligner:
-    """Alignments of texts; windows are held up to a number, then forgotten."""
+    """Alignments of texts; windows are held up to a number, and those of the texts at hand, then forgotten."""
 
     def __init__(self, byte_path: str, piece_path: str, held: int = WINDOWS_HELD):
-        voc = Vocabulary(byte_path)
+        voc = Tokens(byte_path)
         ranks = {t: i for t, i in voc.ids.items() if t.decode("utf-8", "replace") not in voc.special}
         self.coder = tiktoken.Encoding("plain", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.model = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.a, self.b = Side(voc.bytes), Side(piece_bytes(self.model))
-        self.held, self.windows = held, {}
+        self.names = self.a.names + self.b.names
+        self.held, self.windows = held, Windows()
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, list[Window]]]:
         """Numbers of tokens and the windows in order, for each text; nothing where the tokens are not the text."""
-        for text, pieces in zip(texts, self.model.encode(texts, num_threads=1)):
+        if len(self.windows) > self.held:
+            self.windows.clear()
+        rows: list[tuple[int, int, list[Window]]] = []
+        for text, b in zip(texts, self.model.encode(texts, num_threads=1, out_type="numpy")):
             data = b" " + text.encode()
+            a = np.frombuffer(array("I", self.coder.encode_ordinary(" " + text)), np.uint32)
             # the first vocabulary has every byte, so its tokens lose nothing if their sizes add up
-            a = self.coder.encode_ordinary(" " + text) if text else []
-            if not text or sum(map(self.a.sizes.__getitem__, a)) != len(data) or self.b.joined(pieces) != data:
-                yield 0, 0, []
-            else:
-                yield len(a), len(pieces), self._windows(a, pieces)
-
-    def _windows(self, a: list[int], b: list[int]) -> list[Window]:
-        a_ids, b_ids = np.array(a, np.uint32), np.array(b, np.uint32)
-        a_sizes, b_sizes = self.a.size[a_ids], self.b.size[b_ids]
+            if not text or self.a.size[a].sum() != len(data) or self.b.joined(b.tolist()) != data:
+                rows.append((0, 0, []))
+                continue
+            rows.append((len(a), len(b), list(map(self.windows.__getitem__, self._keys(a, b)))))
+        self._make()
+        yield from rows
+
+    def _keys(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        """Both tuples of each window, as bytes with a mark between."""
+        a_sizes, b_sizes = self.a.size[a], self.b.size[b]
         a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
         # at the byte where a token of the first vocabulary starts with a space, which one it is
-        i, k = np.flatnonzero(self.a.spaced[a_ids]), np.flatnonzero(self.b.spaced[b_ids])
+        i, k = np.flatnonzero(self.a.spaced[a]), np.flatnonzero(self.b.spaced[b])
         spaced = np.zeros(a_ends[-1], np.int64)
         spaced[a_ends[i] - a_sizes[i]] = i
         i = spaced[b_ends[k] - b_sizes[k]]
         met = i > 0
         i, k = np.concatenate([[0], i[met], [len(a)]]), np.concatenate([[0], k[met], [len(b)]])
-        # both tuples of each window side by side, with a mark between
         number = np.arange(len(i) - 1)
-        tuples = np.full(len(a_ids) + len(b) + len(number), MARK, np.uint32)
-        tuples[np.arange(len(a_ids)) + np.repeat(k[:-1] + number, np.diff(i))] = a_ids
-        tuples[np.arange(len(b)) + np.repeat(i[1:] + number + 1, np.diff(k))] = b_ids
+        tuples = np.full(len(a) + len(b) + len(number), MARK, np.uint32)
+        tuples[np.arange(len(a)) + np.repeat(k[:-1] + number, np.diff(i))] = a
+        tuples[np.arange(len(b)) + np.repeat(i[1:] + number + 1, np.diff(k))] = b
         data, cuts = tuples.tobytes(), (4 * (i + k + np.arange(len(i)))).tolist()
-        keys = [data[x:y] for x, y in zip(cuts, cuts[1:])]
-        held = self.windows
-        if len(held) > self.held:
-            held.clear()
-        found = list(map(held.get, keys))
-        if None in found:
-            i, k, a_size, b_size = i.tolist(), k.tolist(), self.a.sizes, self.b.sizes
-            for n, window in enumerate(found):
-                if window is None:
-                    key = keys[n]
-                    if key not in held:
-                        left, right = a[i[n] : i[n + 1]], b[k[n] : k[n + 1]]
-                        sizes = [a_size[x] for x in left], [b_size[y] for y in right]
-                        held[key] = Window(left, right, *sizes, self.a.names, self.b.names)
-                    found[n] = held[key]
-        return found
+        return [data[x:y] for x, y in zip(cuts, cuts[1:])]
+
+    def _make(self) -> None:
+        """Aligns the new windows, some at a time."""
+        keys, windows = list(self.windows.new), list(self.windows.new.values())
+        self.windows.new.clear()
+        start = size = 0
+        for n, key in enumerate(keys, 1):
+            size += len(key)
+            if size < MADE and n < len(keys):
+                continue
+            some = keys[start:n]
+            ids = np.frombuffer(b"".join(some), np.uint32).astype(np.int64)
+            marks, stops = np.flatnonzero(ids == MARK), np.cumsum(np.fromiter(map(len, some), np.int64, len(some))) // 4
+            starts = np.concatenate([[0], stops[:-1]])
+            left = np.repeat(np.tile([True, False], len(some)), np.stack([marks - starts, stops - marks], 1).ravel())
+            right = ~left
+            right[marks] = False
+            a, b = ids[left], ids[right]
+            made = alignments(a, b, self.a.size[a], self.b.size[b], marks - starts, stops - marks - 1, self.names, len(self.a.names))
+            for w, alignment in zip(windows[start:n], made):
+                w.groups, w.links, w.many, w.packed, w.text = alignment
+            start, size = n, 0
 
 
 def linked_pairs(windows: list[Window]) -> tuple[np.ndarray, np.ndarray]:

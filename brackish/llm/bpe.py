@@ -30,16 +30,24 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Vocabulary:
-    """Merges and ids of a byte-level BPE file, as arrays."""
+class Tokens:
+    """Ids and bytes of the tokens of a byte-level BPE file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
-        model, letters = held["model"], byte_alphabet()
-        self.ids: dict[bytes, int] = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items()}
+        self.model, letters = held["model"], {ord(c): b for c, b in byte_alphabet().items()}
+        self.ids: dict[bytes, int] = {t.translate(letters).encode("latin-1"): i for t, i in self.model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in held.get("added_tokens", ())}
         self.bytes = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+
+
+class Vocabulary(Tokens):
+    """Merges and ids of a byte-level BPE file, as arrays."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        model, letters = self.__dict__.pop("model"), byte_alphabet()
         self.of_byte = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         pairs, made = [], []
         for merge in model["merges"]:

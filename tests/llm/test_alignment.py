@@ -125,3 +125,26 @@ def test_windows_hold_their_pairs_ready_to_be_counted():
             assert [int.from_bytes(w.packed[n : n + 8], "little") for n in range(0, len(w.packed), 8)] == list(w.pairs)
             left, right = zip(*((g.split("|")) for g in w.text.split(";")))
             assert w.links == sum((x.count(",") + 1) * (y.count(",") + 1) for x, y in zip(left, right)) == len(w.pairs)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 100])
+def test_new_windows_of_many_texts_are_made_together(monkeypatch, most):
+    calls, whole = [], alignment.alignments
+
+    def counted(a, *rest):
+        calls.append(len(a))
+        return whole(a, *rest)
+
+    texts = [f"{t} and x{n}y zq{n * 7919}w" for n in range(40) for t in (ODD[0], ODD[2], ODD[6], ODD[13], ODD[15])] + ["", "▁mark", ODD[12]]
+    one_by_one = alignment.Aligner(A_FILE, B_FILE)
+    expected = [next(one_by_one.align([t])) for t in texts]
+    monkeypatch.setattr(alignment, "alignments", counted)
+    monkeypatch.setattr(alignment, "MADE", most)
+    aligner = alignment.Aligner(A_FILE, B_FILE)
+    found = list(aligner.align(texts))
+    assert len(calls) == 1 if most > 100 else len(calls) > 10
+    assert not aligner.windows.new and len(aligner.windows) > 80
+    for x, y in zip(found, expected, strict=True):
+        assert x[:2] == y[:2] and [(w.groups, w.links, w.many, w.packed, w.text) for w in x[2]] == [(w.groups, w.links, w.many, w.packed, w.text) for w in y[2]]
+    calls.clear()
+    assert list(aligner.align(texts)) == found and not calls  # the same windows, none made again
